@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshloom.llm import exact_dedup, packing, quality_rules, token_counts
+from meshloom.llm import exact_dedup, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_mixing": mixing.op6_mixing,
         "op8_token_counts": token_counts.op8_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
     }
