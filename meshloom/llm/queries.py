@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshloom.llm import exact_dedup, mixing, packing, quality_rules, token_counts
+from meshloom.llm import exact_dedup, html_text, line_dedup, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable]:
@@ -12,10 +12,12 @@ def queries() -> dict[str, Callable]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_mixing": mixing.op6_mixing,
+        "op1_html_extraction": html_text.op1_html_extraction,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_token_counts": token_counts.op8_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
