@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshloom.llm import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts
+from meshloom.llm import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op10_ngram_join": ngram_join.op10_ngram_join,
         "op7_lm_scoring": lm_scoring.op7_lm_scoring,
+        "op9_pii": pii.op9_pii,
         "op8_token_counts": token_counts.op8_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
     }
