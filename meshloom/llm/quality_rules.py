@@ -77,22 +77,26 @@ def add_quality(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """
     schema = docs.select(*keep).schema
     names = [n for n, _ in FIELDS]
+    carried = text_col in keep
+    source = text_col if carried else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            rows = [measure(t, compressor) for t in table.column("_text").to_pylist()]
+            rows = [measure(t, compressor) for t in table.column(source).to_pylist()]
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             for (name, kind), values in zip(FIELDS, columns):
                 table = table.append_column(name, pa.array(values, kind))
-            table = table.drop_columns(["_text"])
+            if not carried:
+                table = table.drop_columns([source])
             if only_kept:
                 table = table.filter(table.column("kept"))
             yield from table.to_batches()
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, f"{out}, {DDL}")
+    needed = docs.select(*keep) if carried else docs.select(*keep, docs[text_col].alias("_text"))
+    return needed.mapInArrow(run, f"{out}, {DDL}")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

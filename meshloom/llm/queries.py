@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from meshloom.llm import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_html_extraction": html_text.op1_html_extraction,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_mixing": mixing.op6_mixing,
-        "op1_html_extraction": html_text.op1_html_extraction,
-        "op4_line_dedup": line_dedup.op4_line_dedup,
-        "op10_ngram_join": ngram_join.op10_ngram_join,
         "op7_lm_scoring": lm_scoring.op7_lm_scoring,
-        "op9_pii": pii.op9_pii,
         "op8_token_counts": token_counts.op8_token_counts,
-        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op9_pii": pii.op9_pii,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
+    twin = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return twin | {"op2_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
