@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("q_graph", "q_partition")
 
 
 def _modules():
