@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import SPACE, durable, join_on_hot
+from meshloom.llm.common import durable, join_on_hot
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 5
@@ -24,8 +24,8 @@ NEAR = 0.1
 def with_lines(docs: DataFrame) -> DataFrame:
     """docs(_row, site, text) -> a row per line that has a word: _row, site, pos, line (128-bit hash), trimmed."""
     lines = docs.select("_row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    trimmed = F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return lines.select("_row", "site", "pos", F.substring(F.unhex(F.md5(trimmed)), 1, 16).alias("line"), F.length(trimmed).alias("_n")).where("_n > 0").drop("_n")
+    trimmed = lines.withColumn("raw", F.btrim("raw", F.lit(" \t\n\v\f\r"))).where("raw <> ''")
+    return trimmed.select("_row", "site", "pos", F.unhex(F.md5("raw")).alias("line"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
@@ -54,7 +54,8 @@ def remove_spread_lines(docs: DataFrame, site_col: str = "source", text_col: str
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     row = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
     keyed = docs.select(*names).withColumn("_row", row)
-    lines = with_lines(keyed.select("_row", F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text")))
+    # hashes and places only: splitting and hashing the texts is most of the work, so it is done once
+    lines = durable(with_lines(keyed.select("_row", F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))))
     spread = durable(spread_lines(lines, min_sites))
     total = lines.count()
     hits = join_on_hot(lines.select("_row", "pos", "line"), spread, "line", "places", total, "inner")
