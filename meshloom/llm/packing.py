@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import durable
-from meshloom.llm.tokens import IdCache, default_path
+from meshloom.llm.tokens import default_path, id_encoder
 
 #: Pieces of a shard, islands of a shard, chromosomes of an island, epochs, and generations of an epoch.
 SHARD_PIECES, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 3, 4, 2, 2
@@ -38,11 +38,11 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = IdCache(path)
+        encode = id_encoder(path)
         for batch in batches:
             rows = []
             for row, doc, text in zip(batch["row_id"].tolist(), batch["doc_id"].tolist(), batch["text"].tolist()):
-                ids = cache.text_ids(text if isinstance(text, str) else "") + END
+                ids = encode(text if isinstance(text, str) else "") + END
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
