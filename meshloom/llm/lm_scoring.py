@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from meshloom.llm.chunked import Chunk, answers, buckets_for, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, unpack, unpack_ids, unpack_sorted, unpack_texts
 from meshloom.llm.common import durable
-from meshloom.llm.ngram_join import WordHashes, mix64
+from meshloom.llm.hashing import mix64, word_hashes
 
 CHUNK_BYTES = 16 << 20
 #: Key bits by order: single words decide exact columns, longer n-grams only the model's estimates.
@@ -48,11 +48,11 @@ def fold_of(doc_id: int | None) -> int:
 class Tokens:
     """The tokens of a chunk's texts: keys of each order, aligned, and where the documents begin and end."""
 
-    def __init__(self, texts: list, hashes: WordHashes) -> None:
+    def __init__(self, texts: list) -> None:
         parts, sizes = [], []
         for t in texts:
-            words = (t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split()
-            parts += [np.array([BOS, BOS]), hashes.of(words), np.array([EOS])]
+            words = word_hashes(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass"))
+            parts += [np.array([BOS, BOS]), words, np.array([EOS])]
             sizes.append(len(words) + 1)
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.sizes = np.array(sizes, np.int64)
@@ -66,6 +66,21 @@ class Tokens:
         self.keys = [k >> np.uint64(64 - bits) for k, bits in zip((one, two, three), BITS)]
 
 
+def counted(keys: np.ndarray, bits: int, train: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, how often each is in training text, and in the fold that weights are learned from)."""
+    if bits > 62:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return distinct, np.bincount(at[train], minlength=len(distinct)).astype(np.uint32), np.bincount(at[deleted], minlength=len(distinct)).astype(np.uint32)
+    # two flags ride on the key's free bits, so plain sorting does it, without a permutation
+    flagged = np.sort((keys << np.uint64(2)) | (train.astype(np.uint64) << np.uint64(1)) | deleted.astype(np.uint64))
+    sorted_keys = flagged >> np.uint64(2)
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    if not len(first):
+        return sorted_keys, np.empty(0, np.uint32), np.empty(0, np.uint32)
+    t = np.add.reduceat((flagged >> np.uint64(1)).astype(np.uint32) & np.uint32(1), first)
+    return sorted_keys[first], t.astype(np.uint32), np.add.reduceat(flagged.astype(np.uint32) & np.uint32(1), first).astype(np.uint32)
+
+
 def cuts_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     edges = np.array([-(-(b << bits) // buckets) for b in range(buckets)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
@@ -117,19 +132,16 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     training text at all every token is unknown: scores come from the uniform share. Other columns are not read.
     """
     buckets = buckets_for(docs)
-    hashes = WordHashes()
 
     def keep(chunk: Chunk) -> Iterator[tuple]:
         yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.texts)
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
-        tokens = Tokens(chunk.texts, hashes)
+        tokens = Tokens(chunk.texts)
         fold = np.repeat(np.array([fold_of(i) for i in chunk.ids], np.int64), tokens.sizes)
         sent: list[list] = [[b, chunk.key] for b in range(buckets)]
         for keys, bits in zip(tokens.keys, BITS):
-            distinct, at = np.unique(keys, return_inverse=True)
-            train = np.bincount(at[fold != TEST], minlength=len(distinct)).astype(np.uint32)
-            deleted = np.bincount(at[fold == DELETED], minlength=len(distinct)).astype(np.uint32)
+            distinct, train, deleted = counted(keys, bits, fold != TEST, fold == DELETED)
             cuts = cuts_of(distinct, bits, buckets)
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
@@ -152,13 +164,20 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                     out[f"types_{what}"], out[f"total_{what}"], out[f"docs_{what}"] = ([None] * len(rows) + [x] for x in seen)
         return pd.DataFrame(out)
 
-    def lookup(tokens: Tokens, right: pd.DataFrame, what: str) -> list[np.ndarray]:
-        """Each token's totals by order."""
-        out = []
-        for order, (keys, bits) in enumerate(zip(tokens.keys, BITS), 1):
-            distinct, at = np.unique(keys, return_inverse=True)
-            parts = {b: unpack(blob) for b, blob in zip(right["bucket"], right[f"{what}{order}"])}
-            out.append(np.concatenate([parts[b] for b in sorted(parts)]).astype(np.int64)[at] if len(distinct) else np.empty(0, np.int64))
+    def lookup(tokens: Tokens, right: pd.DataFrame, whats: str, some: np.ndarray | None = None) -> list[list[np.ndarray]]:
+        """For each of `whats`, the totals by order of the tokens (of those where `some` holds)."""
+        out: list[list[np.ndarray]] = [[] for _ in whats]
+        for order in (1, 2, 3):
+            keys = tokens.keys[order - 1]
+            if some is None:
+                at = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+            else:
+                distinct = np.sort(keys)
+                distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])] if len(keys) else distinct
+                at = np.searchsorted(distinct, keys[some])
+            for what, found in zip(whats, out):
+                parts = {b: unpack(blob) for b, blob in zip(right["bucket"], right[f"{what}{order}"])}
+                found.append(np.concatenate([parts[b] for b in sorted(parts)])[at].astype(np.int64) if len(keys) else np.empty(0, np.int64))
         return out
 
     def only_fold(chunk: Chunk) -> Iterator[tuple]:
@@ -174,11 +193,10 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     answered = answered.where(F.col("chunk").isNotNull())
 
     def cells(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens = Tokens(unpack_texts(left["texts"].iloc[0]), hashes)
-        counts = [t - h for t, h in zip(lookup(tokens, right, "t"), lookup(tokens, right, "h"))]
-        bucket, f = estimates(counts, tokens.place, kept_docs, kept_total)
+        tokens = Tokens(unpack_texts(left["texts"].iloc[0]))
         mine = np.repeat(unpack(left["ids"].iloc[0]), tokens.sizes) == DELETED
-        bucket, f = bucket[mine], f[:, mine]
+        counts = [t - h for t, h in zip(*lookup(tokens, right, "th", mine))]  # of whole documents, so neighbours stay
+        bucket, f = estimates(counts, tokens.place[mine], kept_docs, kept_total)
         step = np.where(f > 0, np.minimum(-np.log2(f, out=np.zeros_like(f), where=f > 0), STEPS).astype(np.int64), STEPS + 1)
         code = bucket
         for s in step:
@@ -192,8 +210,8 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     weights = learn_weights(pd.DataFrame([r.asDict() for r in sums.orderBy("code").toLocalIterator()], columns=["code", "bucket", "n", "s1", "s2", "s3"]), uniform)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens = Tokens(unpack_texts(left["texts"].iloc[0]), hashes)
-        counts = lookup(tokens, right, "t")
+        tokens = Tokens(unpack_texts(left["texts"].iloc[0]))
+        (counts,) = lookup(tokens, right, "t")
         bucket, f = estimates(counts, tokens.place, n_docs, total)
         w = weights[bucket]
         log_p = np.log10(w[:, 0] * uniform + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2])
