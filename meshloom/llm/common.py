@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: reads of it survive lost executors."""
+    """df, computed once and kept in the shared checkpoint folder: reads of it survive lost executors.
+
+    A checkpoint keeps how rows are dealt out, so a join or grouping by the same key needs no further shuffle.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -33,6 +37,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written once as compressed Parquet below the shared folder and read again: for tables of much data."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables, and shuffle files and checkpoints that nothing refers to any more.
+
+    Spark's cleaner learns what is unreferenced from the driver's garbage collection, which a driver with little to do
+    seldom runs by itself.
+    """
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1)), F.array().cast("array<string>"))

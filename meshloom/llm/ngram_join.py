@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.chunked import CHUNK_BYTES, Chunk, answers, buckets_for, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, unpack, unpack_ids, unpack_sorted, unpack_texts
-from meshloom.llm.common import durable, join_on_hot
+from meshloom.llm.common import durable, forget, fresh_path, join_on_hot, stored
 from meshloom.llm.components import components
+from meshloom.llm.hashing import mix64, word_hashes
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
@@ -43,30 +44,6 @@ ROW_COST = 0.5
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers (the finalizer of splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when full, so memory is bounded."""
-
-    def __init__(self, most: int = 500_000) -> None:
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     """The sorted distinct shingles of a text's word hashes; a text of fewer words is one shingle, an empty one none."""
     if not len(words):
@@ -77,21 +54,31 @@ def shingle_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
         total = np.full(rows, np.uint64(width))
         for j in range(width):
             total = total * _M + words[j : j + rows]
-    return np.unique(mix64(total))
+    total = np.sort(mix64(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-def text_sets(texts: list, hashes: WordHashes) -> list[np.ndarray]:
+def text_sets(texts: list) -> list[np.ndarray]:
     """Sets of texts (str or UTF-8 bytes); only A-Z are lower-cased."""
-    raws = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
-    return [shingle_set(hashes.of(raw.lower().split())) for raw in raws]
+    return [shingle_set(word_hashes(t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass"))) for t in texts]
+
+
+def _asked(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys under which a chunk asks for the elements of its distinct sets, one set after the other."""
+    return np.concatenate([s >> np.uint64(64 - ASK_BITS) for s in sets] or [np.empty(0, np.uint64)])
+
+
+def _once(sets: list[np.ndarray]) -> dict[bytes, np.ndarray]:
+    """The distinct sets of a chunk by digest; not the empty one."""
+    return {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s)}
 
 
 def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Asked keys of a chunk, sorted, and in how many of its distinct sets each is (2 for more)."""
-    once = {s.tobytes(): s for s in sets}
-    keys = np.concatenate([s >> np.uint64(64 - ASK_BITS) for s in once.values()] or [np.empty(0, np.uint64)])
-    keys, counts = np.unique(keys, return_counts=True)
-    return keys, np.minimum(counts, 2).astype(np.uint8)
+    keys = np.sort(_asked(sets))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    return keys[first], np.minimum(counts, 2).astype(np.uint8)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -107,13 +94,12 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     that set; it is null if they are less than 75 % of the set, so that the document can link with nothing.
     """
     buckets = buckets_for(docs)
-    hashes = WordHashes()
 
     def keep(chunk: Chunk) -> Iterator[tuple]:
         yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.texts)
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
-        keys, counts = _distinct(text_sets(chunk.texts, hashes))
+        keys, counts = _distinct(list(_once(text_sets(chunk.texts)).values()))
         cuts = _cuts(keys, buckets)
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
@@ -134,24 +120,29 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "shared": blobs})
 
     def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sets = text_sets(unpack_texts(left["texts"].iloc[0]), hashes)
-        keys, _ = _distinct(sets)
-        cuts = _cuts(keys, buckets)
-        shared = np.zeros(len(keys), bool)
+        sets = text_sets(unpack_texts(left["texts"].iloc[0]))
+        once = _once(sets)
+        asked = _asked(list(once.values()))
+        order = np.argsort(asked)
+        keys = asked[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        cuts = _cuts(keys[first], buckets)
+        shared = np.zeros(len(first), bool)
         for b, blob in zip(right["bucket"], right["shared"]):
             lo, hi = cuts[b], cuts[b + 1]
             shared[lo:hi] = np.unpackbits(unpack(blob), count=hi - lo)
-        digests, elements, seen = [], [], set()
-        for s in sets:
-            digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-            held = None
-            if digest is not None and digest not in seen:
-                seen.add(digest)
-                some = s[shared[np.searchsorted(keys, s >> np.uint64(64 - ASK_BITS))]]
-                if DEN * len(some) >= NUM * len(s):
-                    held = some.tobytes()
-            digests.append(digest)
-            elements.append(held)
+        told = np.empty(len(asked), bool)
+        told[order] = np.repeat(shared, np.diff(np.append(first, len(keys))))
+        held: dict[bytes, bytes] = {}
+        at = 0
+        for digest, s in once.items():
+            some = s[told[at : at + len(s)]]
+            at += len(s)
+            if DEN * len(some) >= NUM * len(s):
+                held[digest] = some.tobytes()
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        # one document of the chunk carries a set's elements for all that have it
+        elements = [held.pop(d, None) if d is not None else None for d in digests]
         return pd.DataFrame({"doc_id": unpack_ids(left["ids"].iloc[0]), "n_shingles": [len(s) for s in sets], "digest": digests, "elements": elements})
 
     kept = scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes)
@@ -310,24 +301,37 @@ def link_classes(classes: DataFrame) -> DataFrame:
     """classes(node, n, elements) -> (node, label): components of the links between classes."""
     largest = classes.agg(F.max("n")).first()[0] or 0
     table = bands(largest)
-    rows = durable(index_rows(classes, table, allocate(classes, table)).select("key", "node", "full").distinct())
+    spark = classes.sparkSession
+    every = fresh_path(spark, "index")
+    plan = allocate(classes, table)
+    forget(spark)
+    rows = stored(index_rows(classes, table, plan).select("key", "node", "full"), every)
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("full").alias("some")).where("c > 1 and some")
-    rows = durable(rows.join(groups.select("key", "c"), "key"))
+    met, ranked = fresh_path(spark, "met"), fresh_path(spark, "ranked")
+    rows = stored(rows.join(groups.select("key", "c"), "key"), met)
+    forget(spark, every)
     company = rows.groupBy("node").agg(F.sum("c").alias("company"))
-    rows = durable(rows.join(company, "node").select("key", "node", "full", "company"))
+    rows = stored(rows.join(company, "node").select("key", "node", "full", "company"), ranked)
+    forget(spark, met)
     hub = rows.where("full").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     star = rows.join(hub, "key").where("node != hub")
     pairs = durable(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    forget(spark)
     links = durable(verified(pairs, classes))
+    forget(spark)
     labels = components(links, classes)
     # keys that still hold several components
     named = rows.join(labels, "node")
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = durable(named.join(open_, "key").select("key", "node", "full", "label"))
+    forget(spark, ranked)
     other = left.select("key", F.col("node").alias("other"), F.col("full").alias("other_full"), F.col("label").alias("other_label"))
     more = left.where("full").join(other, "key").where("label != other_label and (not other_full or node < other)")
     more = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = durable(verified(durable(more), classes))
+    more = durable(more)
+    forget(spark)
+    found = durable(verified(more, classes))
+    forget(spark)
     return labels if found.isEmpty() else components(links.union(found), classes)
 
 
@@ -338,11 +342,17 @@ def near_duplicate_components(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     short. Rows with a null id take part; a component of such rows only has a null id. A repeated row is a copy of
     itself. Other columns are not read.
     """
-    found = durable(shared_shingles(docs, chunk_bytes))
+    spark = docs.sparkSession
+    wide, classes = fresh_path(spark, "shingles"), fresh_path(spark, "classes")
+    found = stored(shared_shingles(docs, chunk_bytes), wide)
+    forget(spark)
     same = found.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.max("elements").alias("elements"), F.count(F.lit(1)).alias("copies"))
-    same = durable(same.withColumn("node", F.monotonically_increasing_id()))
+    same = stored(same.withColumn("node", F.monotonically_increasing_id()), classes)
+    found = durable(found.select("doc_id", "n_shingles", "digest"))
+    forget(spark, wide)
     labels = link_classes(same.where(F.col("elements").isNotNull()).select("node", "n", "elements"))
     named = durable(same.select("digest", "node", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node"))))
+    forget(spark, classes)
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = named.join(smallest, "label").select("digest", "component_id", "copies")
     alone = found.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
