@@ -11,17 +11,16 @@ from meshloom.llm.common import durable
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) for every row of nodes(node): label is the least node of the component; edges are (a, b).
 
-    Each round a node takes the least label among its own and its neighbours', and then that label's label, so paths
-    shrink by halves. A node with very many neighbours is met by aggregation and by joins that Spark can split.
+    Each round a node that has edges goes over into the least of itself and its neighbours, or where that one goes, and
+    edges inside what has merged drop out: at least half of the nodes with edges merge, and a star is gone in a round.
+    A node with very many neighbours is met by aggregation and by joins that Spark can split.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    left = durable(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = durable(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = durable(step)
-        up = step.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        labels = durable(step.join(up, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", "_l").alias("label")))
-        if labels.where(F.col("label") != F.col("old")).isEmpty():
-            return labels.select("node", "label")
-        labels = labels.drop("old")
+    while not left.isEmpty():
+        to = durable(left.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("old"), F.least("a", "to").alias("to")))
+        hop = durable(to.join(to.select(F.col("old").alias("to"), F.col("to").alias("new")), "to").select("old", "new"))
+        labels = durable(labels.join(hop, labels["label"] == hop["old"], "left").select("node", F.coalesce("new", "label").alias("label")))
+        ends = left.join(hop.withColumnsRenamed({"old": "a", "new": "x"}), "a").join(hop.withColumnsRenamed({"old": "b", "new": "y"}), "b")
+        left = durable(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return labels

@@ -12,8 +12,9 @@
 4. Empty subsets say nothing and aren't indexed. A set with so many thin segments that the sum may fail is odd; if a
    linked pair fails to meet in a segment, both of its sets are odd, so odd sets are also indexed by their prefixes.
 5. Sets under one index key are candidates. First each meets only the key's hub, the set with most company; found links
-   are contracted, and only keys that still hold several components have their remaining pairs tested. Every candidate
-   pair is verified exactly on the shingles.
+   are contracted. Sets of keys that still hold several components go on to their other partners there: a key may be a
+   passage that thousands of texts share which have little else in common, so of those pairs only the ones are tested
+   that also share one of their rarest elements (see rare_pairs). Every candidate pair is verified exactly.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ASK_BITS = 48
 SEGMENTS, MORE_SEGMENTS = 0.33, 4
 #: What an index row costs, in candidate pairs.
 ROW_COST = 0.5
+#: Cells of the table of rough frequencies: 2 MB, whatever the input's size.
+RARITY_CELLS = 1 << 18
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -320,21 +323,77 @@ def link_classes(classes: DataFrame) -> DataFrame:
     links = durable(verified(pairs, classes))
     forget(spark)
     labels = components(links, classes)
-    # keys that still hold several components
+    # keys that still hold several components: their sets may link elsewhere than at a hub
     named = rows.join(labels, "node")
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = durable(named.join(open_, "key").select("key", "node", "full", "label"))
+    again = fresh_path(spark, "again")
+    unsettled = stored(classes.join(named.join(open_, "key").select("node").distinct(), "node", "left_semi"), again)
     forget(spark, ranked)
-    other = left.select("key", F.col("node").alias("other"), F.col("full").alias("other_full"), F.col("label").alias("other_label"))
-    more = left.where("full").join(other, "key").where("label != other_label and (not other_full or node < other)")
-    more = more.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = durable(more)
-    forget(spark)
-    found = durable(verified(more, classes))
+    more = durable(rare_pairs(unsettled, labels).join(pairs, ["a", "b"], "left_anti"))
     forget(spark)
+    found = durable(verified(more, unsettled))
+    forget(spark, again)
     return labels if found.isEmpty() else components(links.union(found), classes)
 
 
+def rarity(classes: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall in each of RARITY_CELLS cells of a hash: a rough frequency, of bounded size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(RARITY_CELLS, np.int64)
+        for batch in batches:
+            for blob in batch["elements"]:
+                np.add.at(sums, _cell(np.frombuffer(blob, np.uint64)), 1)
+        seen = np.flatnonzero(sums)
+        yield pd.DataFrame({"cell": seen, "c": sums[seen]})
+
+    sums = classes.select("elements").mapInPandas(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(RARITY_CELLS, np.int64)
+    out[sums["cell"].to_numpy(np.int64)] = sums["c"].to_numpy(np.int64)
+    return out
+
+
+def _cell(elements: np.ndarray) -> np.ndarray:
+    return (mix64(elements) % np.uint64(RARITY_CELLS)).astype(np.int64)
+
+
+def rare_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes(node, n, elements) that may link and have different labels.
+
+    Put the elements of every set in one order, the rare ones first. Linked sets share at least 75 % of either, so the
+    first element that they share is among the first n - ceil(0.75 n) + 1 of both; elements that one text alone has come
+    before all and are not indexed. Two sets are paired at that first shared element only if what either has from there on
+    (`onward`) is enough for a link, and if their sizes are: sets with little in common but a passage meet at the passage,
+    with too little onward.
+    """
+    frequency = rarity(classes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, nodes, sizes, onward = [], [], [], []
+            for node, n, blob in zip(batch["node"].tolist(), batch["n"].tolist(), batch["elements"].tolist()):
+                elements = np.frombuffer(blob, np.uint64)
+                first = len(elements) - -(-NUM * n // DEN) + 1
+                if first > 0:
+                    keys.append(elements[np.lexsort((elements, frequency[_cell(elements)]))[:first]].view(np.int64))
+                    nodes.append(np.full(first, node))
+                    sizes.append(np.full(first, n))
+                    onward.append(len(elements) - np.arange(first))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes), "onward": np.concatenate(onward)})
+
+    spark = classes.sparkSession
+    rows = durable(classes.mapInPandas(run, "key long, node long, n long, onward long").join(labels, "node"))
+    open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = durable(rows.join(open_, "key"))
+    forget(spark)
+    other = left.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "onward", "label")])
+    close = F.least("onward", "o_onward") * (NUM + DEN) >= (F.col("n") + F.col("o_n")) * NUM
+    fit = (F.col("n") * DEN >= F.col("o_n") * NUM) & (F.col("o_n") * DEN >= F.col("n") * NUM)
+    met = left.join(other, (left["key"] == other["key"]) & (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & close & fit)
+    return met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+
+
 def near_duplicate_components(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document of docs(doc_id, text): n_shingles and component_id, the least doc_id reachable by links.
 
