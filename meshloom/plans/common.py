@@ -14,6 +14,11 @@ def r4(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 4) + F.lit(0.0)
 
 
+def r6(c: Column | str) -> Column:
+    """Rounded to 6 places: for means of few short decimals, which often lie on a half at 4 places."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
 def long_form(df: DataFrame, *keys: str) -> DataFrame:
     """(*keys, dim, v) from an array column x, rounded."""
     return df.select(*keys, F.posexplode("x").alias("dim", "v")).withColumn("v", r4("v"))

@@ -117,7 +117,7 @@ def _scores(spark, sf_dir):
 
 
 def link_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).withColumn("score", r4("score"))
+    return _scores(spark, sf_dir)
 
 
 def auroc(spark, sf_dir):
@@ -201,7 +201,7 @@ _CS = cte("nodes") + ", cs AS (SELECT client_id, node_id, split, label AS y, lis
 
 ORACLE = {
     "id_mapping_first_seen": f"WITH {_MAP} SELECT user_id, idx FROM m",
-    "edge_mapping": f"WITH {_MAP}, {_IMAP} SELECT event_id, m.idx AS user_idx, i.idx AS item_idx, epoch(ts)::BIGINT AS epoch FROM (SELECT *, date_trunc('second', ts) AS s FROM events) e JOIN m USING (user_id) JOIN i USING (event_type)",
+    "edge_mapping": f"WITH {_MAP}, {_IMAP} SELECT event_id, m.idx AS user_idx, i.idx AS item_idx, floor(epoch(ts))::BIGINT AS epoch FROM events e JOIN m USING (user_id) JOIN i USING (event_type)",
     "time_strings": "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS epoch FROM orders",
     "time_slice": cte("inter") + f" SELECT client_id, count(*) AS n, count(DISTINCT user_id) AS users FROM inter WHERE ts >= '{START}' AND ts < '{TEST}' GROUP BY 1",
     "sliding_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -213,7 +213,7 @@ ORACLE = {
     "buffer_choice": f"WITH b AS (SELECT event_type, ceil(count(*) / 100)::BIGINT AS buffers FROM events GROUP BY 1) SELECT event_type, s::INT AS step, {sql_hash('event_type', 's')} % buffers AS buffer FROM b, range(10) t(s)",
     "negative_samples": _NEG + " SELECT client_id, user_id, of, k, item_id FROM neg",
     "label_edges": _NEG + " SELECT client_id, y, count(*) AS n FROM lab GROUP BY ALL",
-    "link_scores": _SC + " SELECT client_id, user_id, item_id, y, round(score, 4) + 0.0 AS score FROM sc",
+    "link_scores": _SC + " SELECT client_id, user_id, item_id, y, score FROM sc",
     "auroc": _SC + _AU + " SELECT client_id, round(auroc, 4) AS auroc FROM au",
     "hit_rate_at_2": _SC + _hit("sc") + " SELECT client_id, round(hit_rate, 4) AS hit_rate FROM hr",
     "hit_rate_subset": _SC + ", sub AS (SELECT sc.* FROM sc JOIN customer ON user_id = c_custkey WHERE c_acctbal < 0)" + _hit("sub") + " SELECT client_id, round(hit_rate, 4) AS hit_rate FROM hr",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import unit
 from meshloom.operators import federate
-from meshloom.plans.common import r4, sql_hash
+from meshloom.plans.common import r4, r6, sql_hash
 from meshloom.sources import tables as T
 from meshloom.sources.tables import cte
 
@@ -27,7 +27,7 @@ def _clusters(spark):
 
 
 def fedavg_unweighted(spark, sf_dir):
-    return federate.mean(T.params(spark, sf_dir), CLIENTS).withColumn("v", r4("v"))
+    return federate.mean(T.params(spark, sf_dir), CLIENTS).withColumn("v", r6("v"))
 
 
 def fedavg_weighted(spark, sf_dir):
@@ -36,7 +36,7 @@ def fedavg_weighted(spark, sf_dir):
 
 
 def fedavg_subset(spark, sf_dir):
-    return federate.mean(T.params(spark, sf_dir), CLIENTS, "layer1").withColumn("v", r4("v"))
+    return federate.mean(T.params(spark, sf_dir), CLIENTS, "layer1").withColumn("v", r6("v"))
 
 
 def clusterwise_update(spark, sf_dir):
@@ -101,7 +101,7 @@ def gcfl_split_predicate(spark, sf_dir):
 def scale_aligned_mean(spark, sf_dir):
     p = T.params(spark, sf_dir)
     scaled = p.withColumn("scale", F.when(F.col("client_id") % 2 == 0, 100.0).otherwise(1000.0)).withColumn("payload", F.col("v") * F.col("scale"))
-    return federate.scale_aligned_mean(scaled).select("name", "pos", r4("value").alias("value"), "scale")
+    return federate.scale_aligned_mean(scaled).select("name", "pos", r6("value").alias("value"), "scale")
 
 
 def param_scale(spark, sf_dir):
@@ -113,7 +113,7 @@ def row_mask(spark, sf_dir):
     """Parameters of the positions that a list keeps; the others become 0."""
     keep = T.load(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("pos"), F.lit(True).alias("k"))
     p = T.params(spark, sf_dir).join(keep, "pos", "left")
-    return p.select("client_id", "name", "pos", r4(F.when(F.col("k"), F.col("v")).otherwise(0.0)).alias("v"))
+    return p.select("client_id", "name", "pos", r6(F.when(F.col("k"), F.col("v")).otherwise(0.0)).alias("v"))
 
 
 def last_updates(spark, sf_dir):
@@ -136,9 +136,9 @@ _S = ", s AS (SELECT client_id, sum(n) AS size FROM params GROUP BY 1)"
 _C = f", ch AS (SELECT client_id, name, pos, v * ({_U} - 0.5::DOUBLE) AS v, n FROM params)"
 
 ORACLE = {
-    "fedavg_unweighted": _P + " SELECT name, pos, round(sum(v) / 5, 4) + 0.0 AS v FROM params GROUP BY ALL",
+    "fedavg_unweighted": _P + " SELECT name, pos, round(sum(v) / 5, 6) + 0.0 AS v FROM params GROUP BY ALL",
     "fedavg_weighted": _P + _S + " SELECT name, pos, round(sum(v * size) / (SELECT sum(size) FROM s), 4) + 0.0 AS v FROM params JOIN s USING (client_id) GROUP BY ALL",
-    "fedavg_subset": _P + " SELECT name, pos, round(sum(v) / 5, 4) + 0.0 AS v FROM params WHERE name = 'layer1' GROUP BY ALL",
+    "fedavg_subset": _P + " SELECT name, pos, round(sum(v) / 5, 6) + 0.0 AS v FROM params WHERE name = 'layer1' GROUP BY ALL",
     "clusterwise_update": _P + _S + _C + ", m AS (SELECT client_id % 2 AS cl, name, pos, sum(v * size) AS d FROM ch JOIN s USING (client_id) GROUP BY ALL), t AS (SELECT client_id % 2 AS cl, sum(size) AS total FROM s GROUP BY 1) SELECT p.client_id, p.name, p.pos, round(v + d / total, 4) + 0.0 AS v FROM params p JOIN m ON m.cl = p.client_id % 2 AND m.name = p.name AND m.pos = p.pos JOIN t ON t.cl = m.cl",
     "param_delta": _P + _C + " SELECT client_id, name, pos, round(params.v - ch.v, 4) + 0.0 AS v FROM params JOIN ch USING (client_id, name, pos)",
     "update_norm_max": _P + _C + ", q AS (SELECT sqrt(sum(v * v)) AS x FROM ch GROUP BY client_id) SELECT round(max(x), 4) AS max_norm FROM q",
@@ -150,9 +150,9 @@ ORACLE = {
     "uniform_client_sampling": "SELECT c AS client_id, e AS epoch FROM range(5) a(c), range(10) b(e) WHERE ((c - 2 * e) % 5 + 5) % 5 < 2",
     "random_client_sampling": f"SELECT epoch, client_id FROM (SELECT c AS client_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY {sql_hash('c', 'e')}, c) AS r FROM range(5) a(c), range(10) b(e)) WHERE r <= 2",
     "gcfl_split_predicate": "WITH p AS (SELECT year(o_orderdate) AS yr, c_nationkey, avg(o_totalprice / 1e6) AS u FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), o AS (SELECT yr, abs(avg(u - 0.25)) AS mean_norm, max(abs(u - 0.25)) AS max_norm, count(*) AS size FROM p GROUP BY 1) SELECT yr::INT AS yr, size, mean_norm < 0.05 AND max_norm > 0.1 AND size > 2 AND yr - 1974 > 20 AS split FROM o",
-    "scale_aligned_mean": _P + ", q AS (SELECT *, CASE WHEN client_id % 2 = 0 THEN 100.0 ELSE 1000.0 END::DOUBLE AS scale FROM params), t AS (SELECT name, max(scale) AS big FROM q GROUP BY 1) SELECT name, pos, round(avg(v * scale * big / scale) / any_value(big), 4) + 0.0 AS value, any_value(big) AS scale FROM q JOIN t USING (name) GROUP BY ALL",
+    "scale_aligned_mean": _P + ", q AS (SELECT *, CASE WHEN client_id % 2 = 0 THEN 100.0 ELSE 1000.0 END::DOUBLE AS scale FROM params), t AS (SELECT name, max(scale) AS big FROM q GROUP BY 1) SELECT name, pos, round(avg(v * scale * big / scale) / any_value(big), 6) + 0.0 AS value, any_value(big) AS scale FROM q JOIN t USING (name) GROUP BY ALL",
     "param_scale": _P + " SELECT client_id, name, CASE WHEN max(abs(v)) < 1e-3 THEN 1000.0 ELSE 100.0 END::DOUBLE AS scale FROM params GROUP BY ALL",
-    "row_mask": _P + " SELECT client_id, name, pos, CASE WHEN p_size <= 10 THEN round(v, 4) ELSE 0.0 END + 0.0 AS v FROM params JOIN part ON pos = p_partkey",
+    "row_mask": _P + " SELECT client_id, name, pos, CASE WHEN p_size <= 10 THEN round(v, 6) ELSE 0.0 END + 0.0 AS v FROM params JOIN part ON pos = p_partkey",
     "last_updates": cte("inter") + ", m AS (SELECT client_id, date_trunc('month', ts) AS month, count(*) AS n FROM inter GROUP BY ALL), r AS (SELECT client_id, n, row_number() OVER (PARTITION BY client_id ORDER BY month DESC) AS k, count(*) OVER (PARTITION BY client_id) AS rounds FROM m) SELECT client_id, rounds, (3 - k)::INT AS i, n FROM r WHERE k <= 3",
     "best_over_clusters": _P + ", a AS (SELECT client_id, name, avg(v) AS acc FROM params GROUP BY ALL) SELECT client_id, round(max(acc), 4) AS best FROM a GROUP BY 1",
 }
