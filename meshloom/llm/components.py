@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from meshloom.llm.common import durable
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) for every row of nodes(node): label is the least node of the component; edges are (a, b).
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels(node, label) after its components are merged along edges(a, b); at first a node's label is the node itself.
+
+    A label is the least one of those that merge.
 
     Each round a node that has edges goes over into the least of itself and its neighbours, or where that one goes, and
     edges inside what has merged drop out: at least half of the nodes with edges merge, and a star is gone in a round.
     A node with very many neighbours is met by aggregation and by joins that Spark can split.
     """
-    left = durable(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
+    ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    ends = ends.where("x <> y").select("x", "y")
+    left = durable(ends.union(ends.select("y", "x")).toDF("a", "b").distinct())
     while not left.isEmpty():
         to = durable(left.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("old"), F.least("a", "to").alias("to")))
         hop = durable(to.join(to.select(F.col("old").alias("to"), F.col("to").alias("new")), "to").select("old", "new"))

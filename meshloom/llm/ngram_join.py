@@ -11,10 +11,12 @@
    extra rows of a one-deletion neighbourhood elsewhere, it is skipped and the cheapest segment of the band gets 1.
 4. Empty subsets say nothing and aren't indexed. A set with so many thin segments that the sum may fail is odd; if a
    linked pair fails to meet in a segment, both of its sets are odd, so odd sets are also indexed by their prefixes.
-5. Sets under one index key are candidates. First each meets only the key's hub, the set with most company; found links
-   are contracted. Sets of keys that still hold several components go on to their other partners there: a key may be a
-   passage that thousands of texts share which have little else in common, so of those pairs only the ones are tested
-   that also share one of their rarest elements (see rare_pairs). Every candidate pair is verified exactly.
+5. Sets under one index key are candidates. A key's hub is the set there with most company. First each set meets a
+   single hub, the one of all its keys' with most company; found links are contracted. Under keys that still hold several
+   components each set then meets the hub, if it is in another component. Sets of keys that are open even then go on to
+   their other partners there: a key may be a passage that thousands of texts share which have little else in common, so
+   of those pairs only the ones are tested that also share one of their rarest elements (see rare_pairs). Every candidate
+   pair is verified exactly; pairs within a component tell nothing new and aren't tested.
 """
 
 from __future__ import annotations
@@ -283,7 +285,7 @@ def allocate(classes: DataFrame, table: list[tuple[int, int]]) -> dict[int, tupl
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of pairs(a, b) whose classes link: 100 |A and B| >= 75 |A or B|, counted exactly."""
+    """The rows of pairs(a, b), whose sizes allow a link, whose classes link: 100 |A and B| >= 75 |A or B|, counted exactly."""
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
 
@@ -295,9 +297,7 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (na + nb - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    sized = pairs.join(classes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(classes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    fit = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    return sized.where(fit).select("a", "b").join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
 def link_classes(classes: DataFrame) -> DataFrame:
@@ -310,30 +310,53 @@ def link_classes(classes: DataFrame) -> DataFrame:
     forget(spark)
     rows = stored(index_rows(classes, table, plan).select("key", "node", "full"), every)
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("full").alias("some")).where("c > 1 and some")
-    met, ranked = fresh_path(spark, "met"), fresh_path(spark, "ranked")
+    met, ranked, again, unsettled = (fresh_path(spark, name) for name in ("met", "ranked", "again", "unsettled"))
     rows = stored(rows.join(groups.select("key", "c"), "key"), met)
     forget(spark, every)
-    company = rows.groupBy("node").agg(F.sum("c").alias("company"))
-    rows = stored(rows.join(company, "node").select("key", "node", "full", "company"), ranked)
+    company = rows.groupBy("node").agg(F.sum("c").alias("company")).join(classes.select("node", "n"), "node")
+    rows = stored(rows.join(company, "node").select("key", "node", "full", "company", "n"), ranked)
     forget(spark, met)
-    hub = rows.where("full").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    star = rows.join(hub, "key").where("node != hub")
-    pairs = durable(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    labels = durable(classes.select("node", F.col("node").alias("label")))
+    # each set first meets one hub: the one with most company of all its keys' hubs
+    best = hub_pairs(rows.withColumn("label", F.col("node"))).groupBy("node").agg(F.max(F.struct("company", "hub")).alias("h"))
+    first = durable(unordered(best.select("node", F.col("h.hub").alias("hub"))))
+    labels = components(durable(verified(first, classes)), labels)
     forget(spark)
-    links = durable(verified(pairs, classes))
-    forget(spark)
-    labels = components(links, classes)
-    # keys that still hold several components: their sets may link elsewhere than at a hub
-    named = rows.join(labels, "node")
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    again = fresh_path(spark, "again")
-    unsettled = stored(classes.join(named.join(open_, "key").select("node").distinct(), "node", "left_semi"), again)
+    # keys that still hold several components: their sets may link elsewhere, with the hubs of these keys above all
+    rows = stored(open_rows(rows, labels), again)
     forget(spark, ranked)
-    more = durable(rare_pairs(unsettled, labels).join(pairs, ["a", "b"], "left_anti"))
+    second = durable(unordered(hub_pairs(rows)).join(first, ["a", "b"], "left_anti"))
+    labels = components(durable(verified(second, classes)), labels)
     forget(spark)
-    found = durable(verified(more, unsettled))
+    left = stored(classes.join(open_rows(rows.drop("label"), labels).select("node").distinct(), "node", "left_semi"), unsettled)
     forget(spark, again)
-    return labels if found.isEmpty() else components(links.union(found), classes)
+    more = durable(rare_pairs(left, labels).join(first.union(second), ["a", "b"], "left_anti"))
+    forget(spark)
+    links = durable(verified(more, left))
+    forget(spark, unsettled)
+    return components(links, labels)
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """(node, hub, company) for rows(key, node, full, company, n, label) whose label and key's hub's label differ.
+
+    Hubs are sets with the most company of those whose row is full; sizes of a pair allow a link.
+    """
+    hub = rows.where("full").groupBy("key").agg(F.max(F.struct("company", "node", "n", "label")).alias("h"))
+    met = rows.select("key", "node", "n", "label").join(hub, "key")
+    fit = (F.col("n") * DEN >= F.col("h.n") * NUM) & (F.col("h.n") * DEN >= F.col("n") * NUM)
+    return met.where((F.col("label") != F.col("h.label")) & fit).select("node", F.col("h.node").alias("hub"), F.col("h.company").alias("company"))
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their labels, of the keys under which several labels meet."""
+    named = rows.join(labels, "node")
+    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return named.join(open_, "key")
 
 
 def rarity(classes: DataFrame) -> np.ndarray:
