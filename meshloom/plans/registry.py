@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("q_graph", "q_partition", "q_params", "q_links")
+MODULES = ("q_graph", "q_partition", "q_params", "q_links", "q_private")
 
 
 def _modules():
