@@ -52,6 +52,12 @@ def test_html_keeps_the_article_only(spark):
     assert html_text.add_main_text(df.where("page_id < 0")).count() == 0
 
 
+def test_html_looks_for_attribute_names_outside_values():
+    page = """<body title="a hidden lake"><article><p data-x='hidden'>First paragraph with a <a href="/hidden-gems">hidden gem</a> and a <a href=/p?id=comments>link</a>.</p>
+    <p title="id=comments">Second <img alt="a hidden lake"> paragraph.</p><p hidden>Gone.</p><p CLASS = promo>Gone too.</p><p data-hidden=1>Third paragraph.</p></article></body>"""
+    assert html_text.extract_text(page) == "First paragraph with a hidden gem and a link.\n\nSecond paragraph.\n\nThird paragraph."
+
+
 def test_exact_dedup_of_odd_rows_and_a_second_batch(spark, odd, empty):
     index = exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"))
     assert index.ingest(empty).count() == 0
