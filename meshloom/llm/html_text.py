@@ -2,8 +2,10 @@
 
 Every DOM node gets a density: its characters per tag, where text inside links counts against it and is set against the
 body's share of link text. A node's score is the sum of its children's densities. The threshold is the smallest density
-on the path from the body to the densest-scoring node; within the part of the tree that reaches the threshold, the
-subtree with the largest sum of densities is the content (after Sun, Song and Liao, 2011).
+on the path from the body to the densest-scoring node. The tree is walked from the top through branches that reach the
+threshold; in each the subtree with the largest sum of densities is content (after Sun, Song and Liao, 2011). Density
+grows with a part's size, so a title or a short section beside a long one stays below the threshold; a branch is also
+walked if no larger a share of its text lies in links than of the best subtree's.
 """
 
 from __future__ import annotations
@@ -162,16 +164,17 @@ def score(root: Node) -> list[Node]:
     return nodes
 
 
-def content(page: str) -> tuple[Node, list[Node]] | None:
-    """The content root and all scored nodes; None if the page has no text.
+def content(page: str) -> tuple[Node, set[int]] | None:
+    """The root and the ids of the nodes under it that are no content; None if the page has no text.
 
-    The threshold is the least density on the path from the body to the node with the largest density sum. The answer is
-    the largest-sum node among those that reach the threshold, or its nearest ancestor of which it holds almost all.
+    The threshold is the least density on the path from the body to the node with the largest density sum. From the root,
+    a branch that neither reaches it nor is as free of links as that node is dropped. In each other branch the largest-sum
+    subtree is marked: nothing is dropped inside it. What else the branch has is judged in the same way.
     """
     root = parse(page)
     nodes = score(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    if not body.chars:
+    if not root.chars:
         return None
     best = max(nodes, key=lambda n: (n.total, n.chars))
     path, node = [best], best
@@ -179,16 +182,66 @@ def content(page: str) -> tuple[Node, list[Node]] | None:
         node = node.parent
         path.append(node)
     threshold = min(n.density for n in path)
-    inside = [n for n in nodes if n.density >= threshold and n.total > 0] or [best]
-    best = max(inside, key=lambda n: (n.total, n.chars))
+    above = set()
+    node = best
+    while node is not None:
+        above.add(id(node))
+        node = node.parent
+    # the largest-sum node of each subtree (a node without elements counts by its own density), and who holds a block
+    top: dict[int, Node] = {}
+    holds: set[int] = set()
+    for n in reversed(nodes):
+        mine = top.get(id(n))
+        if mine is None or (n.total or n.density, n.chars) >= (mine.total or mine.density, mine.chars):
+            top[id(n)] = mine = n
+        if n.parent is not None:
+            other = top.get(id(n.parent))
+            if other is None or (mine.total or mine.density, mine.chars) >= (other.total or other.density, other.chars):
+                top[id(n.parent)] = mine
+            if n.tag in BLOCKS or id(n) in holds:
+                holds.add(id(n.parent))
     # an unclosed tag can leave most of an article in one odd branch: go up while the parent only adds article text
-    while best.parent is not None and best is not body and (best.tag not in BLOCKS or best.tag in ("p", "li", "td", "tr", "tbody", "dd") or best.parent.tag in ("article", "main")):
-        best = best.parent
-    return best, nodes
-
-
-def blocks(top: Node) -> list[str]:
-    """The text blocks under top in page order, references decoded and white space collapsed."""
+    wide = best
+    while wide.parent is not None and wide is not body and (wide.tag not in BLOCKS or wide.tag in ("p", "li", "td", "tr", "tbody", "dd") or wide.parent.tag in ("article", "main")):
+        wide = wide.parent
+    marked, dropped, todo = {id(wide)}, set(), [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in marked:
+            continue
+        # what stands above the best subtree is walked only; elsewhere a branch's largest sum is content
+        if id(node) not in above:
+            mark = top[id(node)]
+            while mark is not node and mark.tag not in BLOCKS and id(mark) not in marked:
+                mark = mark.parent
+            marked.add(id(mark))
+            if mark is node:
+                continue
+        run: list[Node] = []
+        text = 0
+        for part in [*node.parts, None]:
+            if isinstance(part, str):
+                text += len(part) - part.count(" ") - part.count("\n")
+            elif part is not None and part.skip:
+                continue
+            elif part is not None and part.tag not in BLOCKS and id(part) not in holds:
+                run.append(part)
+            else:
+                # inline elements stay in the line of text that they stand in, unless it's mostly links
+                if 2 * sum(n.link_chars for n in run) > text + sum(n.chars for n in run):
+                    dropped.update(id(n) for n in run if n.density < threshold and id(n) not in marked)
+                run, text = [], 0
+                if part is None or not part.chars:
+                    continue
+                if id(part) in above or part.density >= threshold or part.link_chars * best.chars <= best.link_chars * part.chars:
+                    todo.append(part)
+                elif id(part) not in marked:
+                    dropped.add(id(part))
+    return root, dropped
+
+
+def blocks(top: Node, dropped: set[int] = frozenset()) -> list[str]:
+    """The text blocks under top in page order without the dropped nodes, references decoded and white space collapsed."""
     out, run = [], []
 
     def flush() -> None:
@@ -204,7 +257,7 @@ def blocks(top: Node) -> list[str]:
             flush()
         elif isinstance(part, str):
             run.append(part)
-        elif part.skip:
+        elif part.skip or id(part) in dropped:
             continue
         else:
             block = part.tag in BLOCKS
@@ -221,7 +274,7 @@ def blocks(top: Node) -> list[str]:
 def extract_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by an empty line; empty for a null or textless page."""
     found = content(page) if page else None
-    return "\n\n".join(blocks(found[0])) if found else ""
+    return "\n\n".join(blocks(*found)) if found else ""
 
 
 def add_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -58,6 +58,21 @@ def test_html_looks_for_attribute_names_outside_values():
     assert html_text.extract_text(page) == "First paragraph with a hidden gem and a link.\n\nSecond paragraph.\n\nThird paragraph."
 
 
+@pytest.mark.parametrize("second", [100, 25])
+def test_html_keeps_all_parts_of_an_article(second):
+    first = [f"Paragraph {i} of the first part, " + "with words of prose " * 5 for i in range(10)]
+    more = [f"Paragraph {i} of the second part, " + ("with words of prose " * 5)[:second] for i in range(8)]
+    parts = [" ".join(p.split()) for p in ["A title", *first, *more]]
+    one, two = ("".join(f"<p>{p}</p>" for p in ps) for ps in (first, more))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Some other page {i}</a></li>" for i in range(12)) + "</ul>"
+    for page in (
+        f"<html><body><h1>A title</h1><div>{one}</div><div>{two}</div></body></html>",
+        f"<html><body>{links}<h1>A title</h1><div>{one}</div>{links}<div>{two}</div><div>{links}</div></body></html>",
+        f"<body><div id=content><section><h1>A title</h1></section><section>{one}</section><section>{two}</section></div><div>{links}</div></body>",
+    ):
+        assert html_text.extract_text(page).split("\n\n") == parts
+
+
 def test_exact_dedup_of_odd_rows_and_a_second_batch(spark, odd, empty):
     index = exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"))
     assert index.ingest(empty).count() == 0
