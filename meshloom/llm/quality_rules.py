@@ -2,7 +2,7 @@
 
 A text that zstandard shrinks very much repeats itself; one that it hardly shrinks is noise. How far ordinary prose
 shrinks depends on its length, so each band of lengths has limits of its own. Whole texts are measured, and so is every
-fixed-size chunk, which finds a bad stretch inside a long document.
+fixed-size chunk, the last one being the text's last bytes, which finds a bad stretch inside a long document.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ SYMBOLS = b"#*$%&|<>"
 BANDS = ((0, 0.0, 3.0), (256, 1.15, 4.0), (1024, 1.35, 4.5), (4096, 1.5, 5.0), (16384, 1.6, 6.0), (65536, 1.65, 7.0))
 #: Chunks of this many bytes are measured by themselves when the text has more.
 CHUNK_BYTES = 4096
-#: Lowest and highest ratio of a full chunk, and the share of chunks that may lie outside.
+#: Lowest and highest ratio of a chunk. A text fails if more than this share of its bytes lies in chunks outside, or
+#: this many bytes on end do.
 CHUNK_BAND = (1.35, 5.0)
-CHUNK_SHARE = 0.5
+CHUNK_SHARE = 0.1
+CHUNK_RUN = 2 * CHUNK_BYTES
 
 FIELDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("bad_chunks", pa.int64()), ("n_chunks", pa.int64()))
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long, n_chunks long"
@@ -50,9 +52,18 @@ def bands_ok(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[bool, fl
         return False, 0.0, 0, 0
     _, low, high = next(b for b in reversed(BANDS) if len(raw) >= b[0])
     ratio = len(raw) / len(compressor.compress(raw))
-    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)] if len(raw) > CHUNK_BYTES else []
-    bad = sum(not CHUNK_BAND[0] <= CHUNK_BYTES / len(compressor.compress(c)) <= CHUNK_BAND[1] for c in chunks)
-    return low <= ratio <= high and bad <= CHUNK_SHARE * len(chunks), ratio, bad, len(chunks)
+    if len(raw) <= CHUNK_BYTES:
+        return low <= ratio <= high, ratio, 0, 0
+    last = len(raw) - CHUNK_BYTES
+    starts = [*range(0, last, CHUNK_BYTES), last]
+    bad = [s for s in starts if not CHUNK_BAND[0] <= CHUNK_BYTES / len(compressor.compress(raw[s : s + CHUNK_BYTES])) <= CHUNK_BAND[1]]
+    total = longest = run = end = 0
+    for s in bad:  # the last chunk may overlap the one before: bytes count once
+        run = run + s + CHUNK_BYTES - end if s <= end and run else CHUNK_BYTES
+        total += s + CHUNK_BYTES - max(s, end)
+        longest, end = max(longest, run), s + CHUNK_BYTES
+    good = total <= CHUNK_SHARE * len(raw) and longest < CHUNK_RUN
+    return low <= ratio <= high and good, ratio, len(bad), len(starts)
 
 
 def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:

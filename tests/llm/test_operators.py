@@ -109,6 +109,21 @@ def test_quality_bands_tell_noise_and_repetition_from_prose(docs):
     assert np.mean([quality_rules.bands_ok(t.encode(), c)[0] for t in prose]) > 0.8
 
 
+def test_quality_finds_a_bad_stretch_wherever_it_is(docs):
+    import base64
+
+    c = __import__("zstandard").ZstdCompressor(level=3)
+    prose = "\n".join(t for t in texts_of(docs).values() if quality_rules.measure(t, c)[6] and len(t) > 1000).encode()
+    noise = base64.b64encode(np.random.default_rng(2).bytes(60_000))
+    assert quality_rules.bands_ok(prose[:8096], c)[0] and quality_rules.bands_ok(prose[:100_000], c)[0]
+    for good, bad in ((4096, 4000), (51_000, 49_000), (90_000, 10_000)):
+        for text in (prose[:good] + noise[:bad], noise[:bad] + prose[:good]):
+            assert not quality_rules.bands_ok(text, c)[0], (good, bad)
+    one = prose[:8192] + noise[:4096]
+    assert quality_rules.bands_ok(one + prose[8192 : 4096 * 19], c)[0] and quality_rules.bands_ok(prose[: 4096 * 19 + 1] + noise[:4096], c)[0]
+    assert quality_rules.bands_ok(one, c)[2:] == (1, 3) and quality_rules.bands_ok(prose[:4097], c)[3] == 2
+
+
 def test_line_dedup_near_and_beyond_the_threshold(spark, odd, empty):
     many = [(i, f"own {i}\n  spread line \nfour sites" if i < 4 else f"own {i}\nspread line", f"s{i}") for i in range(12)]
     one_site = [(100 + i, f"x{i}\nlocal", "s0") for i in range(20)]
