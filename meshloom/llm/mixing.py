@@ -4,8 +4,9 @@ The words of each source are laid end to end and cut into blocks of fixed length
 each. For every output shard a multinomial draw over the sources, with the targets as probabilities, says how many of
 its slots each source gets; the few slots that a source's draws leave over its target go to sources under theirs. A
 source's slots are numbered, and number k takes block perm(k mod blocks), where perm is a pseudorandom permutation of
-the source's block indices that differs from pass to pass: a block is taken once before any is taken twice. Blocks are
-then joined by source and index.
+the source's block indices that differs from pass to pass: a block is taken once before any is taken twice. Targets are
+counted in words: a source has as many slots as its target needs, and only the first words of the last one's block are
+taken if the whole would be too much. Blocks are then joined by source and index.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.withColumn("target", F.when(F.col("cut"), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).drop("cap", "ratio", "level", "cut", "total")
 
 
-def permuted(index: Column, n: Column, key: Column) -> Column:
+def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Column:
     """A pseudorandom permutation of 0..n-1 under key: the swap-or-not shuffle (Hoang, Morris and Rogaway, 2012).
 
+    A round is its own inverse, so the inverse permutation takes the rounds from the last to the first.
+
     Each round pairs i with (K - i) mod n and swaps the two or not by a hash of the pair, so it is a bijection for any n.
     """
 
@@ -60,7 +63,7 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(key, r), n) + n - i, n)
         return F.when(F.pmod(F.xxhash64(key, r, F.greatest(i, partner), F.lit(1)), F.lit(2)) == 0, partner).otherwise(i)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
+    return F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
 
 
 def unit_draw(*keys: Column) -> Column:
@@ -72,10 +75,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     """Mixes docs(doc_id, source, size): (documents, slots, pieces).
 
     documents: row (unique), doc_id, source, source_id, size, source_size, target, at.
-    slots: shard, source_id, number, block - the mix, in output shards.
-    pieces: row, source_id, block, words - which words of a document lie in a block, by count.
+    slots: shard, source_id, number, block, words - the mix, in output shards; words are taken from the block's start.
+    pieces: row, source_id, block, start, words - which words of a document lie in a block, by place and count.
 
-    Documents of size 0 are in no block. Null sources are one source, the last. Ids may be null or repeated.
+    Documents of size 0, and so sources of size 0, are in no block. Null sources are one source, the last. Ids may be null or repeated.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("size").cast("long").alias("size"))
@@ -85,8 +88,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     targets = targets.withColumn("source_id", F.row_number().over(order) - 1)
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
-    wanted = F.least(F.round(F.col("target") / F.lit(block_words)).cast("long"), F.floor(MOST * F.col("source_size") / F.lit(block_words)).cast("long"))
-    targets = targets.withColumn("blocks", blocks).withColumn("wanted", F.greatest(wanted, F.lit(0).cast("long")))
+    targets = targets.withColumn("blocks", blocks)
+    # words in whole passes and in one more; that pass has the source's short last block at a place which decides how
+    # many blocks the words take, and how many words of the last of them
+    words = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
+    one_pass, n_blocks = F.greatest("source_size", F.lit(1).cast("long")), F.greatest("blocks", F.lit(1).cast("long"))
+    targets = targets.withColumn("rest", words % one_pass).withColumn("passes", ((words - F.col("rest")) / one_pass).cast("long"))
+    targets = targets.withColumn("place", permuted(n_blocks - 1, n_blocks, F.xxhash64(F.lit(seed), F.col("source_id"), F.col("passes")), True))
+    lost = F.col("blocks") * block_words - F.col("source_size")
+    even = F.ceil(F.col("rest") / F.lit(block_words))
+    more = F.when((F.col("place") < even) & (even * block_words - lost < F.col("rest")), even + 1).otherwise(even)
+    targets = targets.withColumn("more", more).withColumn("wanted", F.col("passes") * F.col("blocks") + F.col("more"))
+    before = (F.col("more") - 1) * block_words - F.when(F.col("place") < F.col("more") - 1, lost).otherwise(F.lit(0).cast("long"))
+    targets = targets.withColumn("last_words", F.when(F.col("more") > 0, F.col("rest") - before)).drop("passes", "rest", "place", "more")
     targets = durable(targets.coalesce(1))
 
     # each document's place: stretches of a source by hash, then a running sum inside and over the stretches' sums;
@@ -128,23 +142,29 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     lacks = balance.where(F.col("under") > 0).select("source_id", F.col("got").alias("first"), "under_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)).alias("j"))
     lacks = lacks.select("source_id", (F.col("first") + F.col("j")).alias("number"), (F.col("under_from") + F.col("j")).alias("spare"))
     slots = fits.unionByName(spare.join(lacks, "spare").select("shard", "source_id", "number"))
-    slots = slots.join(targets.select("source_id", "blocks"), "source_id")
+    slots = slots.join(targets.select("source_id", "source_size", "blocks", "wanted", "last_words"), "source_id")
     turn = F.floor(F.col("number") / F.col("blocks"))
     block = permuted(F.col("number") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source_id"), turn))
-    slots = slots.select("shard", "source_id", "number", block.alias("block"))
+    slots = slots.withColumn("block", block)
+    whole = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words)
+    cut_short = F.when(F.col("number") == F.col("wanted") - 1, F.col("last_words"))
+    slots = slots.select("shard", "source_id", "number", "block", F.coalesce(cut_short, whole).alias("words"))
 
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     pieces = placed.where(F.col("size") > 0).select("row", "source_id", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     ends = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size"))
-    pieces = pieces.select("row", "source_id", "block", (ends - F.greatest(F.col("block") * block_words, F.col("at"))).alias("words"))
+    starts = F.greatest(F.col("block") * block_words, F.col("at"))
+    pieces = pieces.select("row", "source_id", "block", (starts - F.col("block") * block_words).alias("start"), (ends - starts).alias("words"))
     return placed, slots, pieces
 
 
 def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """Per document of docs(doc_id, source, size): size, source_size, target and taken, the words that the mix takes."""
     placed, slots, pieces = mix(docs, block_words, seed)
-    taken = slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
-    sums = pieces.join(taken, ["source_id", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # a block is in at most MOST slots; all its slots but perhaps one take the whole of it
+    taken = slots.groupBy("source_id", "block").agg(F.collect_list("words").alias("upto"))
+    inside = F.aggregate("upto", F.lit(0).cast("long"), lambda n, upto: n + F.greatest(F.least(upto - F.col("start"), F.col("words")), F.lit(0).cast("long")))
+    sums = pieces.join(taken, ["source_id", "block"]).groupBy("row").agg(F.sum(inside).alias("taken"))
     out = placed.join(sums, "row", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 

@@ -186,6 +186,19 @@ def test_mixing_meets_targets_and_reruns_agree(docs, odd, empty):
     assert mixing.taken_words(sizes).count() == len(ODD) and mixing.taken_words(sizes.where("doc_id < 0")).count() == 0
 
 
+def test_mixing_meets_the_targets_of_small_sources(spark):
+    sizes = {"big": [700] * 30, "capped": [50], "more": [9, 1, 55], "tiny": [21], None: [5, 3], "none": [0], "some": [130] * 40, "word": [1]}
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)], "doc_id long, source string, size long")
+    for seed in range(3):
+        taken, target = Counter(), {}
+        for r in mixing.taken_words(df, seed=seed).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert set(target) == set(sizes) and all(abs(taken[s] - t) <= 0.5 for s, t in target.items()), (taken, target)
+        assert taken["capped"] == 150 and taken["tiny"] == 63 and taken[None] == 24 and taken["word"] == 3
+
+
 def test_lm_base_score_and_held_out_gain(docs, odd, empty):
     split = {d: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) + [None] for d, t in texts_of(docs).items()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in split}
