@@ -12,6 +12,8 @@ from meshloom.operators.ranking import positions, spaced_positions
 
 SLIDING, EXPANDING = ("4D-FED-GNN+",), ("STFL", "StaticGNN", "FedLink")
 FIRST_DAY = date(2012, 4, 3)
+#: Items in a cell when a user's free items are ranked.
+RANK_WIDTH = 4096
 
 
 def window_bounds(online: bool, method: str, first: date = FIRST_DAY, days: int = 20) -> tuple[date, date, int]:
@@ -64,14 +66,29 @@ def negatives(positives: DataFrame, edges: DataFrame, items: int, per: int = 2,
     """(client_id, user_id, item_id, k): for the k-th of `per` negatives of each positive pair, an item without an edge.
 
     Candidates are drawn by hash from the items 0..items-1, `tries` for each negative; the first without an edge is it.
-    A negative whose candidates all have edges is left out, which takes a user with nearly all items.
+    A negative whose candidates all have edges takes one of the user's items without an edge by a hashed rank, so only a
+    user with edges to all items has none.
     """
     pos = positives.select("client_id", "user_id", F.col("item_id").alias("of")).distinct()
+    known = edges.select("user_id", "item_id", F.lit(True).alias("_edge")).distinct()
     slots = pos.select("*", F.explode(F.sequence(F.lit(0), F.lit(per * tries - 1))).alias("kt"))
     slots = slots.withColumn("k", F.floor(F.col("kt") / tries).cast("int")).withColumn("t", F.pmod("kt", F.lit(tries)))
     slots = slots.withColumn("item_id", F.pmod(hash32("user_id", "of", "kt", seed=seed), F.lit(items)))
-    free = slots.join(edges.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return free.groupBy("client_id", "user_id", "of", "k").agg(F.min_by("item_id", "t").alias("item_id"))
+    slots = slots.join(known, ["user_id", "item_id"], "left")
+    key = ["client_id", "user_id", "of", "k"]
+    drawn = slots.groupBy(*key).agg(F.min_by("item_id", F.when(F.col("_edge").isNull(), F.col("t"))).alias("item_id"))
+
+    # the rest: free items are listed for users with open negatives only, who have edges to a large share of the items,
+    # as tries hardly ever fail otherwise; the list is about as long as their edges
+    left = drawn.where("item_id is null").select(*key)
+    listed = left.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(items - 1).cast("long"))).alias("item_id"))
+    listed = listed.join(known, ["user_id", "item_id"], "left_anti")
+    listed = positions(listed, ["user_id"], F.floor(F.col("item_id") / F.lit(RANK_WIDTH)), ["item_id"], "_rank")
+    counts = listed.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    left = left.join(counts, "user_id").withColumn("_kt", F.lit(per * tries) + F.col("k"))
+    left = left.withColumn("_rank", F.pmod(hash32("user_id", "of", "_kt", seed=seed), F.col("_n")))
+    rest = left.join(listed, ["user_id", "_rank"]).select(*key, F.col("item_id").cast(drawn.schema["item_id"].dataType))
+    return drawn.where("item_id is not null").unionByName(rest)
 
 
 def labelled(positives: DataFrame, negative: DataFrame) -> DataFrame:

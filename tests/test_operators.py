@@ -80,6 +80,15 @@ def test_negatives_are_no_edges(spark, sf_dir):
     assert neg.count() > 0 and neg.join(x, ["user_id", "item_id"], "left_semi").isEmpty()
 
 
+def test_every_positive_has_its_negatives_unless_the_user_has_all_items(spark):
+    has = {0: set(range(10)), 1: set(range(9)), 2: set(range(0, 10, 2)) | {1, 3, 5}, 3: {4}}
+    x = spark.createDataFrame([(u % 2, u, i) for u, own in has.items() for i in own] + [(1, 1, 77)], "client_id int, user_id long, item_id long")
+    pos = x.where("item_id < 10")
+    neg = temporal.negatives(pos, x, 10).collect()
+    assert all(r["item_id"] in set(range(10)) - has[r["user_id"]] for r in neg)
+    assert sorted((r["user_id"], r["of"], r["k"]) for r in neg) == sorted((u, i, k) for u in (1, 2, 3) for i in has[u] for k in (0, 1))
+
+
 def test_windows_by_method():
     start, end, days = temporal.window_bounds(True, "STFL")
     assert ((end - start).days, days) == (1, 19) and temporal.next_window(start, end, "STFL")[0] == start
