@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,20 @@ def forget(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """name with as many underscores before it as it takes to differ from all of taken, in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """The columns of df, by their whole names, without those named in `but`."""
+    out = {b.lower() for b in but}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in out]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1)), F.array().cast("array<string>"))

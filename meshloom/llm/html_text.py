@@ -17,63 +17,110 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from meshloom.llm.common import free_name
 
 #: Elements by role (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text to the parser, and none of the page's.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
+#: Any other element ends the page's head.
+HEAD = frozenset("head base link meta noscript script style template title".split())
 #: Never part of an article.
 BESIDE = frozenset("head nav aside footer header form button select option dialog menu object svg math canvas audio video label input".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = BLOCKS - frozenset("html body tbody td tfoot th thead tr caption".split())
-#: Opening the key ends the nearest open one of the values, up to the given container.
-IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-#: Words in class, id or role that mark what stands beside an article: whole tokens of a name cut at - and _ and case.
+#: Elements of which a new one ends an open one, by kind: what ends, and the containers beyond which nothing is ended.
+KINDS = {"item": ("li", "ul ol menu"), "term": ("dt dd", "dl"), "row": ("tr", "table"), "cell": ("td th", "tr table"), "option": ("option", "select")}
+ENDS = {tag: kind for kind, (ends, _) in KINDS.items() for tag in ends.split()}
+KINDS_OF = {tag: tuple(k for k, sides in KINDS.items() if tag in " ".join(sides).split()) for sides in KINDS.values() for tag in " ".join(sides).split()}
+#: Words in class, id or role that mark what stands beside an article: parts of a name cut at - and _ and case.
 BESIDE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices notification pagination popup promo promotion promoted recommended related respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Of these, words that an article may also be about: inside the content they count only for short or linked text.
+TOPICS = frozenset("banner consent cookie cookies menu navigation notice notices notification popup promotion recommended related replies respond search share sharing skip social subscription toc widget".split())
+#: Words that say nothing of what a part holds, beside which a word of BESIDE_WORDS is the whole name.
+PLAIN_WORDS = frozenset("area article bar block body bottom box btn button buttons col column container content global group header holder icon icons inner item items left link links list main middle module outer page panel post primary region right row secondary section site slot text top unit wrap wrapper".split())
+#: Text of more characters than this is not short.
+SHORT = 200
+
+#: A quote opens a value right after = only, and only if it is closed; elsewhere it is a character of a name or value.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.S)
 #: An attribute by its whole name with its value, which is consumed, so that no name is looked for inside a value.
-ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: The end of what a raw element holds.
+RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9])[^>]*(?:>|\\Z)", re.I | re.A) for tag in RAW}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    """An element: children in order (nodes or text), and what its subtree holds."""
+    """An element: children in order (nodes or text), and what its subtree holds.
+
+    skip is NO, MAYBE (left out unless it stands inside the content) or YES.
+    """
 
     __slots__ = ("tag", "parent", "parts", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool) -> None:
+    def __init__(self, tag: str, parent: "Node | None", skip: int) -> None:
         self.tag, self.parent, self.skip, self.parts = tag, parent, skip, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _beside(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element stands beside the article by its name, or is hidden. An article's own header is part of it."""
+NO, MAYBE, TOPIC, YES = range(4)
+
+
+def _beside(tag: str, attributes: str, parent: Node) -> int:
+    """Whether an element stands beside the article by its tag or name, or is hidden. An article's own header is part of it.
+
+    A name that consists of words of BESIDE_WORDS and plain ones is sure, or a TOPIC if all those words are topics; a
+    name that has other words as well is a MAYBE.
+    """
     if tag in BESIDE:
-        return tag != "header" or parent.tag not in ("article", "main")
+        return YES if tag != "header" or parent.tag not in ("article", "main") else NO
     if not attributes:
-        return False
+        return NO
+    found = NO
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" and not value.lower() == "false" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return YES
         if name == "style":
             if HIDDEN_STYLE.search(value):
-                return True
+                return YES
         elif name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-            if any(part.lower() in BESIDE_WORDS for part in NAME_PART.findall(value)):
-                return True
-    return False
+            for token in value.split():
+                words = {w.lower() for w in NAME_PART.findall(token)}
+                if beside := words & BESIDE_WORDS:
+                    sure = TOPIC if beside <= TOPICS else YES
+                    found = max(found, sure if words <= BESIDE_WORDS | PLAIN_WORDS else MAYBE)
+    return found
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, tolerant of missing ends; never fails. Depth is no limit: nothing here recurses."""
-    root = Node("#root", None, False)
-    at, pos, end = root, 0, len(page)
-    lowered = None
+    """The tree of a page, tolerant of missing ends; never fails. Time is linear in the page, whatever its depth.
+
+    Stacks of the open elements, by tag and by kind, tell what an end tag or a new element ends; an element is closed
+    once, so all climbing together is linear.
+    """
+    root = at = Node("#root", None, NO)
+    stacks: dict[str, list[Node]] = {"#block": []}
+
+    def names(tag: str) -> tuple:
+        return (tag, *KINDS_OF.get(tag, ()), "#block") if tag in BLOCKS else (tag, *KINDS_OF.get(tag, ()))
+
+    def closed(node: Node, upto: Node) -> Node:
+        """The parent of upto, after everything open from node up to it was closed."""
+        while True:
+            for name in names(node.tag):
+                stacks[name].pop()
+            if node is upto:
+                return node.parent
+            node = node.parent
+
+    pos, end, unclosed = 0, len(page), set()
     while pos < end:
         m = TOKEN.search(page, pos)
         if m is None:
@@ -84,44 +131,62 @@ def parse(page: str) -> Node:
         pos = m.end()
         if m.group(2) is None:
             continue
-        tag = m.group(2).lower()
+        tag, attributes = m.group(2).lower(), m.group(3)
         if m.group(1):
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                # a paragraph's or inline element's end does not close the blocks that stand open inside it
-                at = node.parent
+            if stacks.get(tag):
+                at = closed(at, stacks[tag][-1])
             continue
+        if tag not in HEAD and stacks.get("head"):
+            at = closed(at, stacks["head"][-1])
         if tag in RAW:
-            lowered = page.lower() if lowered is None else lowered
-            close = (lowered if len(lowered) == end else page).find(f"</{tag}", pos)
-            if close < 0:
+            close = None if tag in unclosed else RAW_END[tag].search(page, pos)
+            if close is not None:
+                pos = close.end()
+            elif tag in ("script", "style"):
                 pos = end
-            else:
-                close_end = page.find(">", close)
-                pos = end if close_end < 0 else close_end + 1
+            else:  # an element that never ends holds nothing
+                unclosed.add(tag)
             continue
-        if tag in ENDS_P:
-            node = at
-            while node.parent is not None and node.tag not in BLOCKS:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in IMPLIED:
-            same, stop = IMPLIED[tag]
-            node = at
-            while node.parent is not None and node.tag not in same and node.tag not in stop:
-                node = node.parent
-            if node.tag in same:
-                at = node.parent
-        child = Node(tag, at, _beside(tag, m.group(3), at))
+        if tag in ENDS_P and stacks["#block"] and stacks["#block"][-1].tag == "p":
+            at = closed(at, stacks["#block"][-1])
+        if (kind := ENDS.get(tag)) and stacks.get(kind) and ENDS.get(stacks[kind][-1].tag) == kind:
+            at = closed(at, stacks[kind][-1])
+        child = Node(tag, at, _beside(tag, attributes, at))
         at.parts.append(child)
-        if tag not in VOID and not m.group(3).endswith("/"):
+        # a slash ends an element unless it belongs to a bare value
+        if tag not in VOID and not re.search(r"(?:^|[\s\"'])/$", attributes):
             at = child
+            for name in names(tag):
+                stacks.setdefault(name, []).append(child)
     return root
 
 
+def settle_names(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """Turns TOPIC into YES or MAYBE, and MAYBE into NO where an element that is left out for its name holds most text.
+
+    A topic is sure if its text is short or half of it lies in links. A page's only content can stand in an element with
+    an unlucky name, such as search-results. Returns characters and those in links, by node.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(p for p in node.parts if isinstance(p, Node) and p.skip != YES)
+    chars: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len(p) - p.count(" ") - p.count("\n") for p in node.parts if isinstance(p, str))
+        c = own + sum(chars.get(id(p), 0) for p in node.parts if isinstance(p, Node))
+        chars[id(node)] = c
+        links[id(node)] = c if node.tag == "a" else sum(links.get(id(p), 0) for p in node.parts if isinstance(p, Node))
+    for node in order:
+        if node.skip == TOPIC:
+            node.skip = YES if chars[id(node)] <= SHORT or 2 * links[id(node)] > chars[id(node)] else MAYBE
+        if node.skip == MAYBE and 2 * chars[id(node)] > chars[id(root)]:
+            node.skip = NO
+    return chars, links
+
+
 def _in_order(root: Node) -> list[Node]:
     """Nodes outside skipped subtrees, parents before children."""
     out, todo = [], [root]
@@ -169,9 +234,12 @@ def content(page: str) -> tuple[Node, set[int]] | None:
 
     The threshold is the least density on the path from the body to the node with the largest density sum. From the root,
     a branch that neither reaches it nor is as free of links as that node is dropped. In each other branch the largest-sum
-    subtree is marked: nothing is dropped inside it. What else the branch has is judged in the same way.
+    subtree is marked: nothing is dropped inside it. What else the branch has is judged in the same way. Inside the best
+    subtree a MAYBE stays if its text isn't mostly links and, unless an article or main element says that all of it is
+    content, isn't short.
     """
     root = parse(page)
+    chars, links = settle_names(root)
     nodes = score(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     if not root.chars:
@@ -204,6 +272,14 @@ def content(page: str) -> tuple[Node, set[int]] | None:
     wide = best
     while wide.parent is not None and wide is not body and (wide.tag not in BLOCKS or wide.tag in ("p", "li", "td", "tr", "tbody", "dd") or wide.parent.tag in ("article", "main")):
         wide = wide.parent
+    sure, todo = any(n.tag in ("article", "main") for n in path), [wide]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, Node):
+                if part.skip == MAYBE and 2 * links[id(part)] <= chars[id(part)] and (sure or chars[id(part)] > SHORT):
+                    part.skip = NO
+                if part.skip == NO:
+                    todo.append(part)
     marked, dropped, todo = {id(wide)}, set(), [root]
     while todo:
         node = todo.pop()
@@ -280,20 +356,23 @@ def extract_text(page: str | None) -> str:
 def add_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep` of pages with `text` and `n_chars` (code points). One row per row of pages, without a shuffle.
 
-    A null or empty page gives an empty text. Broken markup never fails: what is open at the end is closed. Names in
-    `keep` may not be text or n_chars; other columns are not read.
+    A null or empty page gives an empty text. Broken markup never fails: what is open at the end is closed, and time is
+    linear in a page's length, whatever its depth. Repeated rows are extracted one by one. A column of `keep` that is
+    named like a result (text, n_chars) gives way to it; other columns are not read, so their names don't matter.
     """
-    schema = pages.select(*keep).schema
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
+    kept = pages.select(*[f"`{c}`" for c in keep])
+    source = free_name(keep, "html")
+    schema = T.StructType([*kept.schema, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            texts = [extract_text(p) for p in table.column("_html").to_pylist()]
-            table = table.drop_columns(["_html"]).append_column("text", pa.array(texts, pa.string()))
+            texts = [extract_text(p) for p in table.column(source).to_pylist()]
+            table = table.drop_columns([source]).append_column("text", pa.array(texts, pa.string()))
             yield from table.append_column("n_chars", pa.array(map(len, texts), pa.int64())).to_batches()
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(run, f"{out}, text string, n_chars long")
+    return pages.select(*[f"`{c}`" for c in keep], pages[html_col].alias(source)).mapInArrow(run, schema)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
