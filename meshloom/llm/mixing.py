@@ -18,6 +18,8 @@ from meshloom.llm.common import SPACE, durable
 
 #: Words of a block; slots of an output shard; rounds of the permutation; documents of a stretch of a source.
 BLOCK_WORDS, SHARD_SLOTS, ROUNDS, STRETCH = 64, 8192, 24, 4096
+#: Slots that a task makes rows of.
+TASK_SLOTS = 1 << 20
 #: No document is taken more often than this.
 MOST = 3
 #: Cells of [0, 1) in which a draw finds its source.
@@ -26,7 +28,7 @@ SEED = 20240229
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text, 0 for null."""
+    """Words of a whole text, however long; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
 
 
@@ -57,6 +59,7 @@ def permuted(index: Column, n: Column, key: Column, inverse: bool = False) -> Co
     A round is its own inverse, so the inverse permutation takes the rounds from the last to the first.
 
     Each round pairs i with (K - i) mod n and swaps the two or not by a hash of the pair, so it is a bijection for any n.
+    The rounds are a fold over a sequence: written out as nested expressions they double the plan with each round.
     """
 
     def step(i: Column, r: Column) -> Column:
@@ -78,12 +81,14 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     slots: shard, source_id, number, block, words - the mix, in output shards; words are taken from the block's start.
     pieces: row, source_id, block, start, words - which words of a document lie in a block, by place and count.
 
-    Documents of size 0, and so sources of size 0, are in no block. Null sources are one source, the last. Ids may be null or repeated.
+    Documents of size 0, and so sources of size 0, are in no block. Null sources are one source, the last. Ids may be null
+    or repeated. A document's place in its source follows from a hash of its columns, and rows that are equal in all of
+    them lie side by side, so the mix is the same however the rows are dealt out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("size").cast("long").alias("size"))
-    rows = durable(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("size").cast("long").alias("size"))
+    groups = durable(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
+    sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("source_rows"))
     targets = source_targets(sizes)
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     targets = targets.withColumn("source_id", F.row_number().over(order) - 1)
@@ -103,18 +108,18 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     targets = targets.withColumn("last_words", F.when(F.col("more") > 0, F.col("rest") - before)).drop("passes", "rest", "place", "more")
     targets = durable(targets.coalesce(1))
 
-    # each document's place: stretches of a source by hash, then a running sum inside and over the stretches' sums;
+    # each group's place: stretches of a source by hash, then a running sum inside and over the stretches' sums;
     # sources go by id from here on, with one row per source, which is joined without moving the documents when small
-    named = rows.join(targets.select(F.col("source").alias("_s"), "source_id", "source_rows", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    stretch = F.pmod(F.xxhash64(F.lit(seed), F.col("row")), F.ceil(F.col("source_rows") / F.lit(STRETCH)).cast("long"))
-    named = named.withColumn("stretch", stretch)
-    sums = named.groupBy("source_id", "stretch").agg(F.sum("size").alias("s"))
+    named = groups.join(targets.select(F.col("source").alias("_s"), "source_id", "source_rows", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    named = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")).withColumn("words", F.col("size") * F.col("copies"))
+    named = named.withColumn("stretch", F.pmod("h", F.ceil(F.col("source_rows") / F.lit(STRETCH)).cast("long")))
+    sums = named.groupBy("source_id", "stretch").agg(F.sum("words").alias("s"))
     upto = Window.partitionBy("source_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("from", F.coalesce(F.sum("s").over(upto), F.lit(0).cast("long"))).drop("s")
-    inside = Window.partitionBy("source_id", "stretch").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumn("in", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    placed = placed.join(sums, ["source_id", "stretch"]).withColumn("at", F.col("from") + F.col("in")).drop("from", "in", "stretch", "source_rows")
-    placed = durable(placed)
+    inside = Window.partitionBy("source_id", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = named.withColumn("in", F.coalesce(F.sum("words").over(inside), F.lit(0).cast("long")))
+    placed = placed.join(sums, ["source_id", "stretch"]).withColumn("at", F.col("from") + F.col("in"))
+    placed = durable(members(placed).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "source_id", "size", "source_size", "target", "at"))
 
     # draws: a slot's number in [0, 1) falls into a cell, which knows the few sources that reach into it
     n = targets.agg(F.sum("wanted").alias("n")).first()["n"] or 0
@@ -135,7 +140,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     balance = balance.withColumn("over", F.greatest(F.col("got") - F.col("wanted"), F.lit(0))).withColumn("under", F.greatest(F.col("wanted") - F.col("got"), F.lit(0)))
     prior = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
     balance = balance.withColumn("over_from", F.coalesce(F.sum("over").over(prior), F.lit(0).cast("long"))).withColumn("under_from", F.coalesce(F.sum("under").over(prior), F.lit(0).cast("long")))
-    numbered = counts.where(F.col("slots") > 0).select("shard", "source_id", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("slots") - 1)).alias("number"))
+    # a shard's share of a source is a bounded number of slots; they are dealt out anew before they become rows
+    spread = counts.where(F.col("slots") > 0).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SLOTS)), "shard", "source_id")
+    numbered = spread.select("shard", "source_id", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("slots") - 1)).alias("number"))
     numbered = numbered.join(balance.select("source_id", "wanted", "over_from"), "source_id")
     fits = numbered.where(F.col("number") < F.col("wanted")).select("shard", "source_id", "number")
     spare = numbered.where(F.col("number") >= F.col("wanted")).select("shard", (F.col("over_from") + F.col("number") - F.col("wanted")).alias("spare"))
@@ -158,14 +165,28 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     return placed, slots, pieces
 
 
+def members(groups: DataFrame) -> DataFrame:
+    """A row for each of a group's `copies` rows, at the place where it begins; groups of many are spread over tasks."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STRETCH)))
+    parts = groups.select("*", part.alias("j")).repartition("h", "j")
+    each = parts.select("*", F.explode(F.sequence(F.col("j") * STRETCH, F.least(F.col("copies"), (F.col("j") + 1) * STRETCH) - 1)).alias("k"))
+    return each.withColumn("at", F.col("at") + F.col("k") * F.col("size"))
+
+
 def taken_words(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """Per document of docs(doc_id, source, size): size, source_size, target and taken, the words that the mix takes."""
+    """Per document of docs(doc_id, source, size): size, source_size, target and taken, the words that the mix takes.
+
+    A row per input row: an empty table gives none, a document of size 0 has taken 0, and rows that are equal in all three
+    columns get the shares of neighbours. Other columns are not read. Reruns over the same rows agree, however they are
+    dealt out.
+    """
     placed, slots, pieces = mix(docs, block_words, seed)
     # a block is in at most MOST slots; all its slots but perhaps one take the whole of it
     taken = slots.groupBy("source_id", "block").agg(F.collect_list("words").alias("upto"))
     inside = F.aggregate("upto", F.lit(0).cast("long"), lambda n, upto: n + F.greatest(F.least(upto - F.col("start"), F.col("words")), F.lit(0).cast("long")))
-    sums = pieces.join(taken, ["source_id", "block"]).groupBy("row").agg(F.sum(inside).alias("taken"))
-    out = placed.join(sums, "row", "left")
+    # both sides grow with the words, so neither is for every task, whatever its compressed size
+    sums = pieces.join(taken.hint("merge"), ["source_id", "block"]).groupBy("row").agg(F.sum(inside).alias("taken"))
+    out = placed.join(sums.hint("merge"), "row", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
