@@ -17,8 +17,13 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; where none is set, as in tests, a temporary one is set."""
+    """The checkpoint folder that driver and executors share; where none is set, a local session gets a temporary one.
+
+    On a cluster a folder of one machine would be none, so there the setting is a must.
+    """
     if not (set_to := spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(set_to)

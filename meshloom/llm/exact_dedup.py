@@ -41,14 +41,18 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Takes the index out of the session's catalog; its files stay, and results that were handed out stay valid."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate docs against the index and among themselves, append what is new, and return a row per document.
 
         Of equal new texts, the one with the most code points, then the smallest id (null last) stays. A digest that an
         earlier batch appended keeps that batch's document, so none of the new ones stays. group_size counts the rows of
         this batch and those of the batch that appended the digest. Rows that agree in id and length are one document:
-        all of them are kept or dropped together. Other columns are ignored, whatever their names; an empty input gives
-        an empty result and appends nothing.
+        all of them are kept or dropped together. Texts of any length are digested whole where they are read; only digests
+        move. Other columns are ignored, whatever their names; an empty input gives an empty result and appends nothing.
 
         Columns: doc_id, keep_id, group_size, kept, text_sha256.
         """
@@ -84,7 +88,9 @@ class DigestIndex:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` as the first batch of a new index."""
     index = DigestIndex(spark, fresh_path(spark, "digest-index"))
-    return index.ingest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = index.ingest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index.close()
+    return out
 
 
 ORACLE = """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import durable, join_on_hot
+from meshloom.llm.common import columns_of, durable, free_name, join_on_hot
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 5
@@ -22,18 +22,18 @@ NEAR = 0.1
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """docs(_row, site, text) -> a row per line that has a word: _row, site, pos, line (128-bit hash), trimmed."""
-    lines = docs.select("_row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    """docs(row, site, text) -> a row per line that has a word: row, site, pos, line (128-bit hash of it, trimmed)."""
+    lines = docs.select("row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     trimmed = lines.withColumn("raw", F.btrim("raw", F.lit(" \t\n\v\f\r"))).where("raw <> ''")
-    return trimmed.select("_row", "site", "pos", F.unhex(F.md5("raw")).alias("line"))
+    return trimmed.select("row", "site", "pos", F.unhex(F.md5("raw")).alias("line"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
-    """Lines on at least min_sites distinct sites: line, places (how many), first (the place with the smallest _row, pos).
+    """Lines on at least min_sites distinct sites: line, places (how many), first (the place with the smallest row, pos).
 
     A null site counts as no site.
     """
-    sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count(F.lit(1)).alias("places"), F.min(F.struct("_row", "pos")).alias("first"))
+    sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.count(F.lit(1)).alias("places"), F.min(F.struct("row", "pos")).alias("first"))
     found = durable(sketch.where(F.col("places") >= min_sites).select("line", "places", "first", F.hll_sketch_estimate("sites").cast("double").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - near)))
     sure = found.where(F.col("estimate") > min_sites * (1 + near))
     unsure = found.where(F.col("estimate") <= min_sites * (1 + near))
@@ -47,32 +47,36 @@ def remove_spread_lines(docs: DataFrame, site_col: str = "source", text_col: str
 
     Lines are equal when they are after trimming; lines without a word are never removed. With keep_first, the place
     with the smallest id (null last, then a hash of the text), then line number, keeps the line, so a document that many
-    sites copy whole is not lost. A null text has no lines and stays null. Repeated rows are treated alike. All columns
-    of docs are returned; columns of the names n_lines and n_removed would clash and are replaced. No document is
-    dropped, even if nothing is left of its text.
+    sites copy whole is not lost. A null text has no lines and stays null, an empty one has one; an empty table gives an
+    empty result. Texts of any length are read whole, and what is removed of one is found in time linear in its lines.
+    Repeated rows are treated alike. All columns of docs are returned, whatever their names, but for columns named
+    n_lines or n_removed, which give way to the results. No document is dropped, even if nothing is left of its text.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     row = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
-    keyed = docs.select(*names).withColumn("_row", row)
+    # the user's columns travel in a struct, so their names can't clash with the names here
+    doc = free_name(docs.columns, "doc")
+    keyed = docs.select(F.struct(*columns_of(docs, ("n_lines", "n_removed"))).alias(doc), row.alias("row"))
+    whole = F.col(doc).getField(text_col)
     # hashes and places only: splitting and hashing the texts is most of the work, so it is done once
-    lines = durable(with_lines(keyed.select("_row", F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))))
+    lines = durable(with_lines(keyed.select("row", F.col(doc).getField(site_col).cast("string").alias("site"), whole.alias("text"))))
     spread = durable(spread_lines(lines, min_sites))
     total = lines.count()
-    hits = join_on_hot(lines.select("_row", "pos", "line"), spread, "line", "places", total, "inner")
+    hits = join_on_hot(lines.select("row", "pos", "line"), spread, "line", "places", total, "inner")
     if keep_first:
-        hits = hits.where(F.struct("_row", "pos") != F.col("first"))
+        hits = hits.where(F.struct("row", "pos") != F.col("first"))
     # a null field makes a struct key null-unsafe to join on, so the key's parts are joined without nulls
-    key = [F.col("_row.z").alias("_z"), F.coalesce("_row.i", F.lit(0)).alias("_i"), F.coalesce("_row.h", F.lit(0)).alias("_h")]
-    gone = hits.select(*key, "pos").groupBy("_z", "_i", "_h").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    parts = F.split(F.col(text_col), "\n")
-    out = keyed.select("*", *key).join(gone.hint("shuffle_hash"), ["_z", "_i", "_h"], "left")
+    key = [F.col("row.z").alias("z"), F.coalesce("row.i", F.lit(0)).alias("i"), F.coalesce("row.h", F.lit(0)).alias("h")]
+    gone = hits.select(*key, "pos").groupBy("z", "i", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    parts = F.split(whole, "\n")
+    out = keyed.select(doc, *key).join(gone.hint("shuffle_hash"), ["z", "i", "h"], "left")
     # what stays are the slices between removed lines: linear in the number of lines
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(parts)))
-    slices = F.transform(F.sequence(F.lit(1), F.size("_gone") + 1), lambda j: F.slice(parts, F.element_at(edges, j) + 2, F.element_at(edges, j + 1) - F.element_at(edges, j) - 1))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(slices), "\n"))
-    cleaned = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return out.select(*cleaned, F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(parts)))
+    slices = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda j: F.slice(parts, F.element_at(edges, j) + 2, F.element_at(edges, j + 1) - F.element_at(edges, j) - 1))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.flatten(slices), "\n"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    cleaned = [(text if c.lower() == text_col.lower() else F.col(doc).getField(c)).alias(c) for c in names]
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+    return out.select(*cleaned, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from meshloom.llm.common import free_name
 
 #: Symbols that the base rule counts (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -29,7 +32,6 @@ CHUNK_SHARE = 0.1
 CHUNK_RUN = 2 * CHUNK_BYTES
 
 FIELDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("bad_chunks", pa.int64()), ("n_chunks", pa.int64()))
-DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunks long, n_chunks long"
 
 
 def repeated_words(words: list) -> int:
@@ -80,34 +82,44 @@ def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
     return len(words), len(text) - spaces, symbols, sum(lines.values()) - len(lines), repeats, failed, good and not failed, ratio, bad, chunks
 
 
-def add_quality(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), only_kept: bool = False) -> DataFrame:
-    """The columns `keep` of docs with the quality fields; with only_kept, only of documents that pass.
+def add_quality(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with the quality fields.
 
-    Every document gets a row, a repeated one as many rows. Other columns are not read, so their names may clash with
-    the fields' names; names in `keep` may not. There is no shuffle: each document is judged by itself.
+    Every document gets a row, a repeated one as many rows; an empty table gives none. Null and empty texts have no words
+    and fail; texts of any length are measured whole. Other columns are not read, so their names don't matter; a column
+    of `keep` that is named like a field gives way to it. There is no shuffle: each document is judged by itself.
     """
-    schema = docs.select(*keep).schema
-    names = [n for n, _ in FIELDS]
-    carried = text_col in keep
-    source = text_col if carried else "_text"
+    fields = {name for name, _ in FIELDS}
+    keep = tuple(c for c in keep if c.lower() not in fields)
+    kept = docs.select(*[f"`{c}`" for c in keep])
+    source = free_name(keep, "text")
+    kinds = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.float64(): T.DoubleType()}
+    schema = T.StructType([*kept.schema, *[T.StructField(name, kinds[kind]) for name, kind in FIELDS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             rows = [measure(t, compressor) for t in table.column(source).to_pylist()]
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            for (name, kind), values in zip(FIELDS, columns):
+            table = table.drop_columns([source])
+            for (name, kind), values in zip(FIELDS, list(zip(*rows)) if rows else [[] for _ in FIELDS]):
                 table = table.append_column(name, pa.array(values, kind))
-            if not carried:
-                table = table.drop_columns([source])
-            if only_kept:
-                table = table.filter(table.column("kept"))
             yield from table.to_batches()
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    needed = docs.select(*keep) if carried else docs.select(*keep, docs[text_col].alias("_text"))
-    return needed.mapInArrow(run, f"{out}, {DDL}")
+    return docs.select(*[f"`{c}`" for c in keep], docs[text_col].alias(source)).mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text passes; cases are those of add_quality."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=3)
+        verdict = [name for name, _ in FIELDS].index("kept")
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([measure(t, compressor)[verdict] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

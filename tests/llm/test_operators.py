@@ -312,21 +312,3 @@ def test_word_hashes_tell_words_apart(docs, monkeypatch):
         assert len(words) == len(found)
         assert all(seen.setdefault(w, h) == h for w, h in zip(words, found.tolist()))
     assert len(set(seen.values())) == len(seen)
-
-
-def test_pipeline_packs_what_is_kept(spark, sf_dir):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "mixing", "packing"]
-    fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
-    assert fill[0] <= 2048 and 0 < fill[1] <= out.count()
-
-
-@pytest.mark.parametrize("name", ["quality", "lines", "near_duplicates", "mix"])
-def test_pipeline_stages_keep_the_columns(docs, name):
-    import corpus_pipeline
-
-    some = docs.where("doc_id is not null").limit(60)
-    out = getattr(corpus_pipeline, name)(docs.sparkSession, some, "")
-    assert out.columns == docs.columns and getattr(corpus_pipeline, name)(docs.sparkSession, some.where("doc_id < 0"), "").count() == 0
