@@ -6,24 +6,51 @@ one place whatever chunk it came from, and answers each chunk with one packed ro
 answers then meet the chunk's documents again. A key that a third of all documents hold is sent once per chunk, so no
 bucket grows with the frequency of a key.
 
-A chunk is named by the scan partition and its place in it, with a checksum of its ids and texts: a scan that deals
-documents out otherwise than an earlier one is noticed and fails instead of mixing up answers.
+A chunk is named by the scan partition and its place in it, with a hash of its ids and texts: a scan that deals documents
+out otherwise than an earlier one is noticed and fails instead of mixing up answers.
+
+There are chunks times buckets packed rows, so the sizes of both grow with the square root of the corpus once that is
+large (see Sizes): rows then stay in proportion to the corpus, and so does the number of tasks, but for the square root.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a chunk. A larger corpus is better served by larger chunks (fewer rows per bucket and chunk).
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, and behind a bucket, at least.
+CHUNK_BYTES = BUCKET_BYTES = 8 << 20
+#: A chunk's bytes times a bucket's are this many times the corpus's bytes at least, so that a packed row isn't tiny.
+ROW_SHARE = 200
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How a corpus is cut: bytes of text in a chunk, and buckets of the key space.
+
+    A bucket's task holds what all chunks ask of it, so buckets follow from the corpus's bytes, not from the session. 30
+    GB are chunks and buckets of 8 MB, 100 TB of 140 MB.
+    """
+
+    chunk_bytes: int
+    buckets: int
+
+
+def sizes_for(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Sizes:
+    """Sizes for docs(text): one aggregate over the text's lengths, and at least a bucket for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = math.isqrt(ROW_SHARE * total)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // max(bucket_bytes, least)))
+    return Sizes(max(chunk_bytes, least), max(1, buckets))
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -49,8 +76,9 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def pack_texts(texts: list[str]) -> bytes:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def pack_texts(texts: list) -> bytes:
+    """Texts, as str or UTF-8 bytes."""
+    raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.array([len(r) for r in raw], np.uint32)
     return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw))
 
@@ -63,32 +91,34 @@ def unpack_texts(blob: bytes) -> list[bytes]:
 
 
 class Chunk:
-    """Documents of one chunk: ids (None where null) and texts ('' where null)."""
+    """Documents of one chunk: ids as text (None where null), texts ('' where null), and the texts' bytes."""
 
-    def __init__(self, key: str, ids: list, texts: list[str]) -> None:
-        self.key, self.ids, self.texts = key, ids, texts
+    def __init__(self, key: str, ids: list, texts: list[str], raw: list[bytes]) -> None:
+        self.key, self.ids, self.texts, self.raw = key, ids, texts, raw
 
 
 def chunks_of(batches: Iterator[pd.DataFrame], chunk_bytes: int) -> Iterator[Chunk]:
     """The chunks of one scan partition, in order; a chunk closes with the document that fills it."""
-    part, seq, ids, texts, size, crc = TaskContext.get().partitionId(), 0, [], [], 0, 0
+    part, seq, ids, texts, raw, size, seen = TaskContext.get().partitionId(), 0, [], [], [], 0, xxhash.xxh3_64()
     for batch in batches:
         for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
             t = t if isinstance(t, str) else ""
-            i = None if i is None or i != i else int(i)
+            i = i if isinstance(i, str) else None
             ids.append(i)
             texts.append(t)
-            size += len(t)
-            crc = zlib.crc32(f"{i}:{len(t)};".encode(), crc)
+            raw.append(t.encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            seen.update(f"{i}:{len(raw[-1])};".encode())
+            seen.update(raw[-1])
             if size >= chunk_bytes:
-                yield Chunk(f"{part}.{seq}.{crc:08x}", ids, texts)
-                seq, ids, texts, size, crc = seq + 1, [], [], 0, 0
+                yield Chunk(f"{part}.{seq}.{seen.hexdigest()}", ids, texts, raw)
+                seq, ids, texts, raw, size, seen = seq + 1, [], [], [], 0, xxhash.xxh3_64()
     if ids:
-        yield Chunk(f"{part}.{seq}.{crc:08x}", ids, texts)
+        yield Chunk(f"{part}.{seq}.{seen.hexdigest()}", ids, texts, raw)
 
 
 def scan_chunks(docs: DataFrame, run: Callable[[Chunk], Iterator[tuple]], ddl: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows that run gives for each chunk of docs(doc_id, text)."""
+    """The rows that run gives for each chunk of docs(doc_id, text); ids of any type go as text."""
     names = [part.strip().split()[0] for part in ddl.split(",")]
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,11 +130,6 @@ def scan_chunks(docs: DataFrame, run: Callable[[Chunk], Iterator[tuple]], ddl: s
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("text")).mapInPandas(over, ddl)
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """Buckets of the key space: as many as shuffle partitions, so a bucket is one task's share."""
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def answers(asked: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
     """answer applied to all rows of each bucket; asked has columns bucket and chunk."""
     return asked.groupBy("bucket").applyInPandas(answer, ddl)
@@ -122,12 +147,9 @@ def meet(packed: DataFrame, answered: DataFrame, run: Callable[[pd.DataFrame, pd
 
 
 def pack_ids(ids: list) -> bytes:
-    """Document ids with nulls."""
-    null = np.array([i is None for i in ids], np.uint8)
-    return pack(np.concatenate([np.array([0 if i is None else i for i in ids], np.int64), null.astype(np.int64)]))
+    """Document ids as text, with nulls."""
+    return pack_texts(["" if i is None else f"={i}" for i in ids])
 
 
-def unpack_ids(blob: bytes) -> pd.Series:
-    both = unpack(blob)
-    values, null = both[: len(both) // 2], both[len(both) // 2 :]
-    return pd.Series(pd.arrays.IntegerArray(values.copy(), null.astype(bool)))
+def unpack_ids(blob: bytes) -> list:
+    return [i[1:].decode("utf-8", "surrogatepass") if i else None for i in unpack_texts(blob)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import durable
+from meshloom.llm.common import durable, join_on_hot
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -13,17 +13,28 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
     A label is the least one of those that merge.
 
-    Each round a node that has edges goes over into the least of itself and its neighbours, or where that one goes, and
-    edges inside what has merged drop out: at least half of the nodes with edges merge, and a star is gone in a round.
-    A node with very many neighbours is met by aggregation and by joins that Spark can split.
+    Rounds work on labels, never on all nodes: a label that has edges goes over into the least of itself and its
+    neighbours, or where that one goes, and edges inside what has merged drop out. At least half of the labels with edges
+    merge in a round, and a star is gone in one. A label with very many neighbours is met by aggregation and by joins that
+    Spark can split; the nodes learn their new label at the end, where one label may hold a third of them.
     """
     ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
     ends = ends.where("x <> y").select("x", "y")
     left = durable(ends.union(ends.select("y", "x")).toDF("a", "b").distinct())
+    moved = None  # old label, new label
     while not left.isEmpty():
         to = durable(left.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("old"), F.least("a", "to").alias("to")))
         hop = durable(to.join(to.select(F.col("old").alias("to"), F.col("to").alias("new")), "to").select("old", "new"))
-        labels = durable(labels.join(hop, labels["label"] == hop["old"], "left").select("node", F.coalesce("new", "label").alias("label")))
+        if moved is None:
+            moved = hop
+        else:
+            step = hop.select(F.col("old").alias("new"), F.col("new").alias("newest"))
+            moved = durable(moved.join(step, "new", "left").select("old", F.coalesce("newest", "new").alias("new")))
         ends = left.join(hop.withColumnsRenamed({"old": "a", "new": "x"}), "a").join(hop.withColumnsRenamed({"old": "b", "new": "y"}), "b")
         left = durable(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    return labels
+    if moved is None:
+        return labels
+    held = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+    moved = durable(moved.join(held, moved["old"] == held["label"]).select("label", "new", "nodes"))
+    out = join_on_hot(labels, moved, "label", "nodes", labels.count())
+    return durable(out.select("node", F.coalesce("new", "label").alias("label")))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.chunked import Chunk, answers, buckets_for, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, unpack, unpack_ids, unpack_sorted, unpack_texts
+from meshloom.llm.chunked import Chunk, answers, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_sorted, unpack_texts
 from meshloom.llm.common import durable
 from meshloom.llm.hashing import mix64, word_hashes
 
@@ -40,9 +40,9 @@ BOS, EOS = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA9661)
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fold_of(doc_id: int | None) -> int:
+def fold_of(doc_id: str | None) -> int:
     """crc32 of the id as text, mod FOLDS; a null id counts as training text that weights are not learned from."""
-    return 2 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
+    return 2 if doc_id is None else zlib.crc32(doc_id.encode()) % FOLDS
 
 
 class Tokens:
@@ -129,15 +129,20 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
 
     Tokens are the words, with A-Z in lower case, and one end; a null or empty text has the end only. Documents with
     crc32(id) mod 5 = 1 are held out; a null id is trained on. Repeated rows count as often as they are there. With no
-    training text at all every token is unknown: scores come from the uniform share. Other columns are not read.
+    training text at all every token is unknown: scores come from the uniform share. Texts of any length are scored whole;
+    one that is longer than a chunk is a chunk by itself. Documents with equal texts on the same side of the split get
+    equal scores. Other columns are not read. Pairs and triples of words are told apart by 48 bits: two that fall on one
+    key share their counts.
     """
-    buckets = buckets_for(docs)
+    docs = docs.select("doc_id", "text")
+    sizes = sizes_for(docs, chunk_bytes)
+    chunk_bytes, buckets = sizes.chunk_bytes, sizes.buckets
 
     def keep(chunk: Chunk) -> Iterator[tuple]:
-        yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.texts)
+        yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.raw)
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
-        tokens = Tokens(chunk.texts)
+        tokens = Tokens(chunk.raw)
         fold = np.repeat(np.array([fold_of(i) for i in chunk.ids], np.int64), tokens.sizes)
         sent: list[list] = [[b, chunk.key] for b in range(buckets)]
         for keys, bits in zip(tokens.keys, BITS):
@@ -181,7 +186,7 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         return out
 
     def only_fold(chunk: Chunk) -> Iterator[tuple]:
-        yield chunk.key, pack(np.array([fold_of(i) for i in chunk.ids], np.int64)), pack_texts(chunk.texts)
+        yield chunk.key, pack(np.array([fold_of(i) for i in chunk.ids], np.int64)), pack_texts(chunk.raw)
 
     ask_ddl = "bucket int, chunk string, " + ", ".join(f"k{o} binary, t{o} binary, h{o} binary" for o in (1, 2, 3))
     answer_ddl = "chunk string, bucket int, " + ", ".join(f"t{o} binary, h{o} binary" for o in (1, 2, 3)) + ", types_t long, total_t long, docs_t long, types_h long, total_h long, docs_h long"
@@ -222,7 +227,7 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         return pd.DataFrame(
             {
                 "doc_id": ids,
-                "held_out": [fold_of(None if i is pd.NA else int(i)) == TEST for i in ids],
+                "held_out": [fold_of(i) == TEST for i in ids],
                 "n_tokens": tokens.sizes,
                 "n_known": add((counts[0] > 0).astype(np.int64)),
                 "train_tokens": total,
@@ -231,8 +236,9 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
             }
         )
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes), answered, score, ddl)
+    ddl = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = meet(scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes), answered, score, ddl)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.chunked import CHUNK_BYTES, Chunk, answers, buckets_for, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, unpack, unpack_ids, unpack_sorted, unpack_texts
+from meshloom.llm.chunked import CHUNK_BYTES, Chunk, answers, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_sorted, unpack_texts
 from meshloom.llm.common import durable, forget, fresh_path, join_on_hot, stored
 from meshloom.llm.components import components
 from meshloom.llm.hashing import mix64, word_hashes
@@ -98,13 +98,14 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     elements holds the shingles that other texts have too, as 64-bit integers, of the first document of a chunk with
     that set; it is null if they are less than 75 % of the set, so that the document can link with nothing.
     """
-    buckets = buckets_for(docs)
+    sizes = sizes_for(docs, chunk_bytes)
+    chunk_bytes, buckets = sizes.chunk_bytes, sizes.buckets
 
     def keep(chunk: Chunk) -> Iterator[tuple]:
-        yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.texts)
+        yield chunk.key, pack_ids(chunk.ids), pack_texts(chunk.raw)
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
-        keys, counts = _distinct(list(_once(text_sets(chunk.texts)).values()))
+        keys, counts = _distinct(list(_once(text_sets(chunk.raw)).values()))
         cuts = _cuts(keys, buckets)
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
@@ -153,7 +154,8 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     kept = scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes)
     asked = scan_chunks(docs, ask, "bucket int, chunk string, keys binary, counts binary", chunk_bytes)
     answered = answers(asked, answer, "chunk string, bucket int, shared binary")
-    return meet(kept, answered, choose, "doc_id long, n_shingles long, digest binary, elements binary")
+    out = meet(kept, answered, choose, "doc_id string, n_shingles long, digest binary, elements binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def bands(largest: int) -> list[tuple[int, int]]:
@@ -342,8 +344,9 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 
     Hubs are sets with the most company of those whose row is full; sizes of a pair allow a link.
     """
-    hub = rows.where("full").groupBy("key").agg(F.max(F.struct("company", "node", "n", "label")).alias("h"))
-    met = rows.select("key", "node", "n", "label").join(hub, "key")
+    hub = rows.groupBy("key").agg(F.max(F.when(F.col("full"), F.struct("company", "node", "n", "label"))).alias("h"), F.count(F.lit(1)).alias("under"))
+    hub = durable(hub.where("h is not null and under > 1"))
+    met = join_on_hot(rows.select("key", "node", "n", "label"), hub, "key", "under", rows.count(), "inner")
     fit = (F.col("n") * DEN >= F.col("h.n") * NUM) & (F.col("h.n") * DEN >= F.col("n") * NUM)
     return met.where((F.col("label") != F.col("h.label")) & fit).select("node", F.col("h.node").alias("hub"), F.col("h.company").alias("company"))
 
@@ -420,10 +423,12 @@ def rare_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicate_components(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document of docs(doc_id, text): n_shingles and component_id, the least doc_id reachable by links.
 
-    Null and empty texts, and those of white space, have no shingles and link with nothing. Equal texts link, however
-    short. Rows with a null id take part; a component of such rows only has a null id. A repeated row is a copy of
-    itself. Other columns are not read.
+    Ids are of any type that has an order and a form as text. Null and empty texts, and those of white space, have no
+    shingles and link with nothing. Equal texts link, however short. Texts of any length are compared whole. Rows with a
+    null id take part; a component of such rows only has a null id. A repeated row is a copy of itself. An empty table
+    gives an empty result. Other columns are not read.
     """
+    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     wide, classes = fresh_path(spark, "shingles"), fresh_path(spark, "classes")
     found = stored(shared_shingles(docs, chunk_bytes), wide)
@@ -435,8 +440,8 @@ def near_duplicate_components(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     labels = link_classes(same.where(F.col("elements").isNotNull()).select("node", "n", "elements"))
     named = durable(same.select("digest", "node", "least", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node"))))
     forget(spark, classes)
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = named.join(smallest, "label").select("digest", "component_id", "copies")
+    smallest = durable(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    final = join_on_hot(named.select("digest", "label", "copies"), smallest, "label", "sets", named.count(), "inner").select("digest", "component_id", "copies")
     alone = found.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rest = found.where(F.col("digest").isNotNull()).select("doc_id", "n_shingles", "digest")
     out = join_on_hot(rest, durable(final), "digest", "copies", rest.count(), "inner")

@@ -4,8 +4,9 @@ A document is a bag of pre-tokens, so its token count is the sum over them of fr
 documents asks once for each of its distinct pre-tokens; a bucket of the pre-token space encodes every distinct one
 once, whatever number of chunks asked, and answers with the numbers of pieces; ids are never kept or moved.
 
-The pre-tokens here are the text's units between single spaces (see tokens.units): merges never cross their ends, so
-the sum is exactly what the library gives for the whole text.
+Texts are first cut at spaces into units (see tokens.units), which most texts share, and each distinct unit of a chunk is
+cut into pre-tokens once. Merges never cross a pre-token's ends, so the sum is exactly what the library gives for the
+whole text. For a tokenizer file whose pre-tokens aren't those of byte-level BPE a whole text is one pre-token.
 """
 
 from __future__ import annotations
@@ -17,83 +18,101 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meshloom.llm.chunked import Chunk, answers, buckets_for, meet, pack, pack_ids, pack_texts, scan_chunks, unpack, unpack_ids, unpack_texts
-from meshloom.llm.tokens import default_path, encode_units, units
+from meshloom.llm.chunked import Chunk, answers, meet, pack, pack_ids, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_texts
+from meshloom.llm.tokens import cutter, default_path, piece_counts, units
 
-DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+DDL = "doc_id string, n_bytes long, n_tokens long, over_limit boolean"
 #: Larger than elsewhere: a chunk then repeats fewer of its neighbours' pre-tokens.
 CHUNK_BYTES = 16 << 20
 
 
-def _vocabulary(chunk: Chunk) -> tuple[dict, list[Counter]]:
-    """Distinct units of the chunk in order of appearance, and each document's bag of them."""
-    places: dict = {}
-    bags = []
-    for text in chunk.texts:
-        head, *rest = units(text)
+class Vocabulary:
+    """A chunk's distinct units and pre-tokens in order of appearance, and its documents' bags of units."""
+
+    def __init__(self, chunk: Chunk, path: str) -> None:
+        cut = cutter(path)
+        self.places: dict[str, int] = {}
+        self.bags = [self._bag(text, cut is not None) for text in chunk.texts]
+        #: Pre-tokens of unit u: parts[ends[u - 1] : ends[u]], as places in `tokens`.
+        self.tokens: dict[str, int] = {}
+        parts, ends = [], []
+        for u in self.places:
+            for t in cut(u) if cut else [u]:
+                parts.append(self.tokens.setdefault(t, len(self.tokens)))
+            ends.append(len(parts))
+        self.parts, self.ends = np.array(parts, np.uint32), np.array(ends, np.uint32)
+
+    def _bag(self, text: str, by_space: bool) -> Counter:
+        head, *rest = units(text) if by_space else [text]
         bag = Counter([" " + u for u in rest])
         if head:
             bag[head] += 1
         for u in bag:
-            if u not in places:
-                places[u] = len(places)
-        bags.append(bag)
-    return places, bags
+            self.places.setdefault(u, len(self.places))
+        return bag
 
 
-def _bucket(unit: str, buckets: int) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % buckets
+def _bucket(token: str, buckets: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets
 
 
 def count_tokens(docs: DataFrame, limit: int = 512, tokenizer_path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document of docs(doc_id, text): n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens).
 
     A null text counts as empty and has no tokens. Every input row gives one row, a repeated one as many; ids may be
-    null. Other columns are not read. tokenizer_path must exist on the executors.
+    null. Texts of any length are counted whole; one that is longer than a chunk is a chunk by itself. An empty table
+    gives an empty result. Other columns are not read. tokenizer_path, a tokenizers (.json) or sentencepiece (.model)
+    file, must exist on the executors.
     """
     path = tokenizer_path or default_path()
-    buckets = buckets_for(docs)
+    docs = docs.select("doc_id", "text")
+    sizes = sizes_for(docs, chunk_bytes)
+    chunk_bytes, buckets = sizes.chunk_bytes, sizes.buckets
 
     def keep(chunk: Chunk) -> Iterator[tuple]:
-        places, bags = _vocabulary(chunk)
-        at = np.array([places[u] for bag in bags for u in bag], np.uint32)
-        times = np.array([n for bag in bags for n in bag.values()], np.uint32)
-        sizes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in chunk.texts], np.uint64)
-        where = np.array([_bucket(u, buckets) for u in places], np.uint32)
-        yield chunk.key, pack_ids(chunk.ids), pack(sizes), pack(np.array([len(b) for b in bags], np.uint32)), pack(at), pack(times), pack(where)
+        v = Vocabulary(chunk, path)
+        at = np.array([v.places[u] for bag in v.bags for u in bag], np.uint32)
+        times = np.array([n for bag in v.bags for n in bag.values()], np.uint32)
+        bytes_of = np.array([len(raw) for raw in chunk.raw], np.uint64)
+        where = np.array([_bucket(t, buckets) for t in v.tokens], np.uint32)
+        yield chunk.key, pack_ids(chunk.ids), pack(bytes_of), pack(np.array([len(b) for b in v.bags], np.uint32)), pack(at), pack(times), pack(v.parts), pack(v.ends), pack(where)
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
         by: dict[int, list[str]] = {}
-        for u in _vocabulary(chunk)[0]:
-            by.setdefault(_bucket(u, buckets), []).append(u)
-        for b, us in by.items():
-            yield b, chunk.key, pack_texts(us)
+        for t in Vocabulary(chunk, path).tokens:
+            by.setdefault(_bucket(t, buckets), []).append(t)
+        for b, ts in by.items():
+            yield b, chunk.key, pack_texts(ts)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [[u.decode("utf-8", "surrogatepass") for u in unpack_texts(blob)] for blob in rows["units"]]
-        distinct = list({u: None for us in asked for u in us})
+        asked = [[t.decode("utf-8", "surrogatepass") for t in unpack_texts(blob)] for blob in rows["tokens"]]
+        distinct = list({t: None for ts in asked for t in ts})
         pieces: dict[str, int] = {}
         for i in range(0, len(distinct), 20_000):
             part = distinct[i : i + 20_000]
-            pieces.update(zip(part, map(len, encode_units(part, path))))
-        out = [pack(np.array([pieces[u] for u in us], np.uint32)) for us in asked]
+            pieces.update(zip(part, piece_counts(part, path)))
+        out = [pack(np.array([pieces[t] for t in ts], np.uint32)) for ts in asked]
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "pieces": out})
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        where, at, times, n = (unpack(row[c]) for c in ("where", "at", "times", "n"))
+        where, parts, ends, at, times, n = (unpack(row[c]) for c in ("where", "parts", "ends", "at", "times", "n"))
         pieces = np.zeros(len(where), np.int64)
         for b, blob in zip(right["bucket"], right["pieces"]):
             pieces[where == b] = unpack(blob)
-        ends = np.cumsum(n, dtype=np.int64)
-        sums = np.concatenate([[0], np.cumsum(pieces[at] * times.astype(np.int64))])
-        tokens = sums[ends] - sums[ends - n.astype(np.int64)]
+        upto = np.concatenate([[0], np.cumsum(pieces[parts])])[ends]
+        of_unit = np.diff(upto, prepend=0)
+        last = np.cumsum(n, dtype=np.int64)
+        sums = np.concatenate([[0], np.cumsum(of_unit[at] * times.astype(np.int64))])
+        tokens = sums[last] - sums[last - n.astype(np.int64)]
         return pd.DataFrame({"doc_id": unpack_ids(row["ids"]), "n_bytes": unpack(row["sizes"]).astype(np.int64), "n_tokens": tokens, "over_limit": tokens > limit})
 
-    kept = scan_chunks(docs, keep, "chunk string, ids binary, sizes binary, n binary, at binary, times binary, where binary", chunk_bytes)
-    asked = scan_chunks(docs, ask, "bucket int, chunk string, units binary", chunk_bytes)
-    return meet(kept, answers(asked, answer, "chunk string, bucket int, pieces binary"), total, DDL)
+    kept = scan_chunks(docs, keep, "chunk string, ids binary, sizes binary, n binary, at binary, times binary, parts binary, ends binary, where binary", chunk_bytes)
+    asked = scan_chunks(docs, ask, "bucket int, chunk string, tokens binary", chunk_bytes)
+    out = meet(kept, answers(asked, answer, "chunk string, bucket int, pieces binary"), total, DDL)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

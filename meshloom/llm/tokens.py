@@ -46,11 +46,40 @@ def units(text: str) -> list[str]:
     return joined
 
 
-def encode_units(new: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each unit as little-endian unsigned 32-bit integers; special strings are handled as the library does."""
-    if not new:
+@cache
+def cutter(path: str) -> Callable[[str], list[str]] | None:
+    """How a unit is cut into pre-tokens under a byte-level BPE file; None for any other file.
+
+    A unit that holds a special string isn't cut: the library takes the string out before it looks for pre-tokens.
+    """
+    import regex
+
+    if path.endswith(".model"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    special = [t["content"] for t in file.get("added_tokens", [])]
+    if not _byte_level(file) or any(" " in s for s in special):
+        return None
+    find = regex.compile(PRE_TOKEN).findall
+    marks = regex.compile("|".join(map(regex.escape, special))).search if special else lambda unit: None
+    return lambda unit: [unit] if marks(unit) else find(unit)
+
+
+def piece_counts(texts: list[str], path: str) -> list[int]:
+    """How many tokens each text has by itself, as the file's library counts them."""
+    if not texts:
         return []
-    return [np.asarray(e.ids, "<u4") for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)]
+    if path.endswith(".model"):
+        return [len(ids) for ids in sentence_pieces(path).encode(texts)]
+    return [len(e.ids) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@cache
+def sentence_pieces(path: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
 
 
 def _bytes_by_sign() -> dict[str, int]:
@@ -60,6 +89,14 @@ def _bytes_by_sign() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _byte_level(file: dict) -> bool:
+    """Whether a tokenizers file is a byte-level BPE with the usual pre-tokens and nothing that crosses them."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return plain and usual and not file.get("normalizer") and not any(t.get(k) for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+
+
 def _ranked(file: dict):
     """A tiktoken encoding with the same ids as a byte-level BPE file, or None if the file is of another kind.
 
@@ -67,13 +104,9 @@ def _ranked(file: dict):
     """
     import tiktoken
 
-    model, before = file["model"], file.get("pre_tokenizer") or {}
-    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-    if not plain or file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
-        return None
-    added = file.get("added_tokens", [])
-    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+    if not _byte_level(file):
         return None
+    model, added = file["model"], file.get("added_tokens", [])
     special = {t["content"]: t["id"] for t in added}
     vocabulary = model["vocab"]
     joined = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
@@ -89,8 +122,11 @@ def id_encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them for the file.
 
     Special strings in a text become their special tokens, as is the library's default. A byte-level BPE file is run by
-    the faster of the two public libraries that give its ids; every other file by the tokenizers library.
+    the faster of the two public libraries that give its ids; every other .json file by the tokenizers library, and a
+    .model file by sentencepiece.
     """
+    if path.endswith(".model"):
+        return lambda text: np.asarray(sentence_pieces(path).encode(text), "<u4").tobytes()
     with open(path, encoding="utf-8") as f:
         ranked = _ranked(json.load(f))
     if ranked is not None:
