@@ -3,17 +3,20 @@
 Documents longer than a sequence are cut into full pieces, which fill sequences of their own, and one shorter first
 piece. The rest is bin packing. Pieces are dealt into shards of bounded size by a hash of their place, so every shard
 sees the same mix of lengths. Each shard is evolved by several islands: a chromosome is a partition of the shard's
-pieces into bins; crossover injects whole well-filled bins of one parent into another, removes the bins that hold a
-piece twice and puts displaced pieces back by best fit. Between epochs the best chromosome of an island moves to the
-next one. Epochs are Spark stages: what moves is (shard, island, genes), never texts or ids.
-
-Few bins matter at all only because of what a shard leaves unfilled: a shard of thousands of pieces ends within one bin
-of its lower bound ceil(tokens / capacity) when short pieces exist, so sharding costs at most that per shard.
+pieces into bins; crossover injects whole well-filled bins of one parent into another and removes the bins that hold a
+piece twice. Displaced pieces are first exchanged for smaller ones of a bin where that fills it better (the dominance
+step of Falkenauer's hybrid, 1996), then put back by best fit. Between epochs the best chromosome of an island moves to
+the next one. Epochs are Spark stages: what moves is (shard, island, genes), never texts or ids. A shard at its lower
+bound ceil(tokens / capacity) is left alone, and so is an island that has not improved for PATIENCE children.
+
+One island begins with best fit by falling length among its chromosomes, so no shard needs more bins than that; the others
+begin with first fit in random order.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 from meshloom.llm.common import durable
 from meshloom.llm.tokens import default_path, id_encoder
 
-#: Pieces of a shard, islands of a shard, chromosomes of an island, epochs, and generations of an epoch.
-SHARD_PIECES, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 3, 4, 2, 2
+#: Pieces of a shard, islands of a shard, chromosomes of an island.
+SHARD_PIECES, ISLANDS, POPULATION = 4096, 3, 8
+#: Epochs at most, children of an island in an epoch at most, and children without improvement after which it stops.
+EPOCHS, CHILDREN, PATIENCE = 3, 80, 30
+#: Bins of a child that the exchange step looks at, at most: others are left to later children.
+EXCHANGED = 256
 END = np.zeros(1, "<u4").tobytes()
 
 
@@ -33,7 +40,8 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None
     """docs(doc_id, text) -> row_id, doc_id, piece, start, length, ids_crc32.
 
     Each text is encoded and ends with id 0. Only a document of more than `capacity` ids is cut: into full pieces, after
-    a shorter first piece where its length is no multiple. row_id tells repeated documents apart.
+    a shorter first piece where its length is no multiple. row_id tells repeated documents apart. Null and empty texts
+    have the end id only; a text of any length is encoded whole; an empty table gives no pieces.
     """
     path = tokenizer_path or default_path()
 
@@ -94,70 +102,141 @@ def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int,
     return -len(fill), float(np.mean((fill / capacity) ** 2))
 
 
+def exchange(lengths: np.ndarray, bins: np.ndarray, room: list, loose: list[int], capacity: int, rng: np.random.Generator) -> list[int]:
+    """Swaps one or two pieces of a bin for one or two loose ones that fill it better; returns what is loose then.
+
+    bins and room are updated. Loose pieces get smaller by it, so best fit can place them more easily.
+    """
+    free = sorted((int(lengths[i]), i) for i in loose)
+    chosen = set(rng.permutation(len(room))[:EXCHANGED].tolist())
+    held: dict[int, list[int]] = {}
+    for i in np.flatnonzero(np.isin(bins, list(chosen))).tolist():
+        held.setdefault(int(bins[i]), []).append(i)
+    for b, pieces in held.items():
+        if not room[b] or len(free) < 2:
+            continue
+        outs = [(int(lengths[i]), (i,)) for i in pieces] + [(int(lengths[i] + lengths[j]), (i, j)) for k, i in enumerate(pieces[:12]) for j in pieces[k + 1 : 12]]
+        best = None
+        for size, out in outs:
+            space = size + room[b]
+            at = bisect_right(free, (space, len(lengths))) - 1
+            if at >= 0 and free[at][0] > size and (best is None or free[at][0] - size > best[0]):
+                best = (free[at][0] - size, out, (free[at],))
+            # two loose pieces: a few choices of the larger one, each with the best smaller one beside it
+            for k in range(max(0, at - 3), at + 1):
+                other = min(bisect_right(free, (space - free[k][0], len(lengths))) - 1, k - 1)
+                if other >= 0 and (gain := free[k][0] + free[other][0] - size) > 0 and (best is None or gain > best[0]):
+                    best = (gain, out, (free[k], free[other]))
+            if best and best[0] == room[b]:
+                break
+        if best:
+            gain, out, come = best
+            for piece in come:
+                free.remove(piece)
+                bins[piece[1]] = b
+            for i in out:
+                bins[i] = -1
+                insort(free, (int(lengths[i]), i))
+            room[b] -= gain
+    return [i for _, i in free]
+
+
+def put_back(lengths: np.ndarray, child: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Places the pieces of child that are in no bin (-1): exchange, then best fit by falling length."""
+    placed = child >= 0
+    count = int(child.max()) + 1
+    room = (capacity - np.bincount(child[placed], weights=lengths[placed], minlength=count).astype(np.int64)).tolist()
+    loose = np.array(exchange(lengths, child, room, np.flatnonzero(~placed).tolist(), capacity, rng), np.int64)
+    best_fit(lengths, loose[np.argsort(-lengths[loose], kind="stable")], child, room, capacity)
+    return child
+
+
 def crossover(lengths: np.ndarray, one: np.ndarray, other: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """one with a random half of other's best-filled bins injected whole; what that displaces is put back by best fit."""
+    """one with some of other's well-filled bins injected whole; what that displaces is put back."""
     fill = fill_of(lengths, other)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    injected = rng.choice(good, size=max(1, len(good) // 2), replace=False)
+    injected = rng.choice(good, size=int(rng.integers(1, max(2, len(good) // 2 + 1))), replace=False)
     moved = np.isin(other, injected)
     broken = np.unique(one[moved])  # bins of one that would hold a piece twice
-    loose = np.isin(one, broken) & ~moved
-    child = np.full(len(one), -1, np.int64)
-    stay = ~moved & ~loose
-    keys = np.where(stay, one, other + len(one) + 1)
+    stay = ~moved & ~np.isin(one, broken)
     placed = stay | moved
-    child[placed] = np.unique(keys[placed], return_inverse=True)[1]
-    count = int(child.max()) + 1
-    room = (capacity - np.bincount(child[placed], weights=lengths[placed], minlength=count).astype(np.int64)).tolist()
-    out = np.flatnonzero(loose)
-    out = out[np.argsort(-lengths[out], kind="stable")]
-    best_fit(lengths, out, child, room, capacity)
-    return child
+    child = np.full(len(one), -1, np.int64)
+    child[placed] = np.unique(np.where(stay, one, other + len(one) + 1)[placed], return_inverse=True)[1]
+    return put_back(lengths, child, capacity, rng)
 
 
 def mutate(lengths: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Empties the least filled bins and a few random ones and puts their pieces back by best fit."""
+    """Empties a few of the least filled bins and a few random ones and puts their pieces back."""
     fill = fill_of(lengths, bins)
-    drop = np.union1d(np.argsort(fill)[: max(1, len(fill) // 20)], rng.integers(0, len(fill), max(1, len(fill) // 50)))
+    few = int(rng.integers(1, 5))
+    drop = np.union1d(np.argsort(fill)[:few], rng.integers(0, len(fill), few))
+    if len(drop) == len(fill):
+        return bins
     loose = np.isin(bins, drop)
     child = np.full(len(bins), -1, np.int64)
     child[~loose] = np.unique(bins[~loose], return_inverse=True)[1]
-    count = int(child.max()) + 1
-    room = (capacity - np.bincount(child[~loose], weights=lengths[~loose], minlength=count).astype(np.int64)).tolist()
-    out = np.flatnonzero(loose)
-    best_fit(lengths, out[np.argsort(-lengths[out], kind="stable")], child, room, capacity)
-    return child
+    return put_back(lengths, child, capacity, rng)
 
 
-def first_chromosome(lengths: np.ndarray, capacity: int, rng: np.random.Generator, shake: float) -> np.ndarray:
-    """Best fit of the pieces by falling length, which is shaken by the given share."""
+def by_best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best fit of the pieces by falling length."""
     bins, room = np.full(len(lengths), -1, np.int64), []
-    best_fit(lengths, np.argsort(-lengths * (1 + shake * rng.random(len(lengths))), kind="stable"), bins, room, capacity)
+    best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, room, capacity)
     return bins
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Replaces the worst chromosome by a child of two others, again and again; stops at the lower bound."""
-    bound = -(-int(lengths.sum()) // capacity)
+def by_chance(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Best fit of the pieces in random order."""
+    bins, room = np.full(len(lengths), -1, np.int64), []
+    best_fit(lengths, rng.permutation(len(lengths)), bins, room, capacity)
+    return bins
+
+
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return -(-int(lengths.sum()) // capacity)
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, children: int, patience: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Replaces the worst chromosome by a better child of two others, again and again; the best one comes first.
+
+    Parents are the better ones of random pairs. Stops at the lower bound, after `children`, or after `patience` of them
+    in a row that did not improve on the best.
+    """
+    bound = lower_bound(lengths, capacity)
     score = [fitness(lengths, c, capacity) for c in population]
-    for _ in range(generations * len(population)):
-        if -max(score)[0] <= bound:
+    best, since = max(score), 0
+    for _ in range(children):
+        if -best[0] <= bound or since >= patience:
             break
-        a, b = rng.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
-        child = crossover(lengths, population[a], population[b], capacity, rng) if a != b else population[a]
-        child = mutate(lengths, child, capacity, rng)
+        pairs = rng.integers(0, len(population), (2, 2))
+        a, b = (int(x) if score[x] >= score[y] else int(y) for x, y in pairs)
+        child = crossover(lengths, population[a], population[b], capacity, rng) if a != b else mutate(lengths, population[a], capacity, rng)
+        if rng.random() < 0.3:
+            child = mutate(lengths, child, capacity, rng)
         worst = min(range(len(population)), key=score.__getitem__)
         if (s := fitness(lengths, child, capacity)) > score[worst]:
             population[worst], score[worst] = child, s
-    order = sorted(range(len(population)), key=score.__getitem__, reverse=True)
-    return [population[i] for i in order]
-
-
-def _island(shard: int, island: int, epoch: int) -> np.random.Generator:
-    return np.random.default_rng([shard & 0x7FFFFFFF, island, epoch])
-
-
-def pack_sequences(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
+        since = 0 if s > best else since + 1
+        best = max(best, s)
+    return [population[i] for i in sorted(range(len(population)), key=score.__getitem__, reverse=True)]
+
+
+def settled(lengths: np.ndarray, island: int, epoch: int, shard: int, elites: list[np.ndarray], capacity: int, children: int, patience: int) -> np.ndarray:
+    """The best chromosome of an island after an epoch that begins with `elites` (its own and a guest, if any)."""
+    rng = np.random.default_rng([shard & 0x7FFFFFFF, island, epoch])
+    population = list(elites)
+    if not epoch:
+        falling = by_best_fit(lengths, capacity)
+        if int(falling.max()) + 1 <= lower_bound(lengths, capacity):
+            return falling
+        if island == 0:
+            population.append(falling)
+    while len(population) < POPULATION:
+        population.append(by_chance(lengths, capacity, rng))
+    return evolve(lengths, population, capacity, children, patience, rng)[0]
+
+
+def pack_sequences(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN, patience: int = PATIENCE) -> DataFrame:
     """pieces with a `length` column (1 to capacity), row_id and piece -> the same with sequence_id and offset.
 
     Full pieces are sequences of their own. Ties do not matter: pieces of one length are interchangeable. An empty
@@ -172,27 +251,35 @@ def pack_sequences(pieces: DataFrame, capacity: int = 2048, shard_pieces: int =
     genes = rest.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct("_place", "row_id", "piece", "length"))).alias("g"))
     shard_rows = genes.select("_shard", F.col("g.length").alias("lengths"))
     state = shard_rows.select("_shard", "lengths", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(None).cast("binary").alias("guest"), F.lit(None).cast("binary").alias("home"))
-    ddl = "_shard int, lengths array<long>, island int, guest binary, home binary"
+    ddl = "_shard int, lengths array<long>, island int, guest binary, home binary, done boolean"
 
     def epoch_of(epoch: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     lengths = np.asarray(row.lengths, np.int64)
-                    rng = _island(row[0], row.island, epoch)
-                    population = [np.frombuffer(x, "<i4").astype(np.int64) for x in (row.home, row.guest) if x is not None]
-                    shake = 0.02 + 0.1 * row.island
-                    fresh = [first_chromosome(lengths, capacity, rng, shake * (k > 0 or row.island > 0)) for k in range(POPULATION - len(population))]
-                    elite = evolve(lengths, population + fresh, capacity, generations, rng)[0]
-                    yield pd.DataFrame({"_shard": [row[0]], "lengths": [row.lengths], "island": [row.island], "guest": [None], "home": [elite.astype("<i4").tobytes()]})
+                    elites = [np.frombuffer(x, "<i4").astype(np.int64) for x in (row.home, row.guest) if x is not None]
+                    elite = settled(lengths, row.island, epoch, row[0], elites, capacity, children, patience)
+                    done = int(elite.max()) + 1 <= lower_bound(lengths, capacity)
+                    yield pd.DataFrame({"_shard": [row[0]], "lengths": [row.lengths], "island": [row.island], "guest": [None], "home": [elite.astype("<i4").tobytes()], "done": [done]})
 
         return run
 
+    over = None  # shards at their bound, an island of each
     for epoch in range(epochs):
-        if epoch:  # the elite of the island before comes as a guest
+        if epoch:
+            done = state.where("done").select("_shard").distinct()
+            reached = state.join(done, "_shard", "left_semi")
+            over = reached if over is None else over.unionByName(reached)
+            state = state.join(done, "_shard", "left_anti").drop("done")
+            # the elite of the island before comes as a guest
             sent = state.select("_shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("home").alias("guest"))
             state = state.drop("guest").join(sent, ["_shard", "island"]).select("_shard", "lengths", "island", "guest", "home")
         state = durable(state.repartition("_shard", "island").mapInPandas(epoch_of(epoch), ddl))
+        if state.where("not done").isEmpty():
+            break
+    if over is not None:
+        state = state.unionByName(over)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
