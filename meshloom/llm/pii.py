@@ -7,7 +7,8 @@ in one place is recognised where it is written otherwise in another. Marginals c
 documents of a batch are one graph whose parts are the documents. Only labels with a high marginal become spans, and the
 patterns' spans always stay.
 
-The weights are learned by pseudo-likelihood on a bounded sample of documents that the patterns have labelled.
+The weights are learned by pseudo-likelihood on a bounded sample of documents that the patterns have labelled: at most
+TRAIN_DOCS of at most TRAIN_BYTES. Features are made where the documents are; numbers come to the driver, never texts.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: At most so many documents, those with the least hash of id and text, are learned from.
-TRAIN_DOCS = 1500
+#: At most so many documents, those with the least hash of id and text, are learned from, and none of more bytes.
+TRAIN_DOCS, TRAIN_BYTES = 1500, 1 << 15
 #: Hashed feature space, passes and step of learning, decay of weights.
 DIMENSIONS, PASSES, STEP, DECAY = 1 << 13, 150, 0.5, 1e-4
-#: Rounds and damping of message passing; marginal from which a label becomes a span.
-BP_ROUNDS, DAMPING, CERTAIN = 12, 0.3, 0.9
+#: Message passing ends where no message of a document changes by more than SETTLED, or, should it swing for ever, after
+#: BP_ROUNDS; its damping; marginal from which a label becomes a span.
+SETTLED, BP_ROUNDS, DAMPING, CERTAIN = 1e-4, 1000, 0.3, 0.9
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,8 +113,11 @@ class Graph:
             node = len(self.doc)
             while at < len(spans) and spans[at][2] <= s:
                 at += 1
-            # spans of different kinds may overlap, so the next few are looked at too
-            label = next((k + 1 for b, k, t in spans[at : at + 4] if b < e and t > s), 0)
+            # spans of different kinds may overlap, so all that begin before the word's end are looked at
+            label, k = 0, at
+            while not label and k < len(spans) and spans[k][0] < e:
+                label = spans[k][1] + 1 if spans[k][2] > s else 0
+                k += 1
             around = [self._shape(text[slice(*words[j])]) if 0 <= j < len(words) else "" for j in (i - 1, i + 1)]
             self.doc.append(number)
             self.start.append(s)
@@ -123,14 +128,22 @@ class Graph:
             if before == i - 1:
                 self.chain.append((node - 1, node))
             before = i
-            for key in self._keys(w):
-                if key in last and last[key] != node:
-                    self.skip.append((last[key], node))
-                last[key] = node
+            keys = self._keys(w)
+            self.skip += [(other, node) for other in sorted({last[k] for k in keys if k in last})]  # each pair shares one potential
+            last.update(dict.fromkeys(keys, node))
+
+    def join(self, number: int, base: list[int], features: list[int], chain: list[int], skip: list[int]) -> None:
+        """Adds a document by its labels, features and edges, without its words."""
+        first, width = len(self.doc), len(features) // max(len(base), 1)
+        self.doc += [number] * len(base)
+        self.base += base
+        self.features += [features[i : i + width] for i in range(0, len(features), width)]
+        self.chain += [(first + a, first + b) for a, b in zip(chain[::2], chain[1::2])]
+        self.skip += [(first + a, first + b) for a, b in zip(skip[::2], skip[1::2])]
 
     @staticmethod
     def _shape(w: str) -> str:
-        return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", w[:64]))
+        return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", w))
 
     @staticmethod
     def _keys(w: str) -> list[str]:
@@ -196,8 +209,12 @@ class SkipChainCRF:
         return self
 
     def marginals(self, graph: Graph) -> np.ndarray:
-        """Label marginals by loopy message passing; words that the patterns have labelled are given."""
-        n, y = len(graph.doc), self.chain.shape[0]
+        """Label marginals by loopy message passing; words that the patterns have labelled are given.
+
+        Documents are parts of one graph that no edge joins. A document whose messages have settled takes no further part,
+        so each gets as many rounds as it needs, and evidence reaches every mention however far away.
+        """
+        y = self.chain.shape[0]
         own = self.node[np.array(graph.features)].sum(1)
         base = np.array(graph.base)
         given = base > 0
@@ -211,14 +228,24 @@ class SkipChainCRF:
         table = np.stack([self.chain, self.chain.T, self.skip])
         kind = np.repeat([0, 1, 2], [len(chain), len(chain), 2 * len(skip)])
         messages = np.zeros((len(source), y))
-        belief = own
-        for _ in range(BP_ROUNDS if len(source) else 0):
-            out = belief[source] - messages[back]
-            fresh = _log_sum(out[:, :, None] + table[kind], 1)
+        belief = own.copy()
+        doc = np.array(graph.doc)
+        of = doc[source] if len(source) else np.empty(0, int)
+        active = np.arange(len(source))
+        for _ in range(BP_ROUNDS):
+            if not len(active):
+                break
+            out = belief[source[active]] - messages[back[active]]
+            fresh = _log_sum(out[:, :, None] + table[kind[active]], 1)
             fresh -= _log_sum(fresh, 1)[:, None]
-            messages = DAMPING * messages + (1 - DAMPING) * fresh
-            belief = own.copy()
-            np.add.at(belief, target, messages)
+            fresh = DAMPING * messages[active] + (1 - DAMPING) * fresh
+            change = np.abs(fresh - messages[active]).max(1)
+            messages[active] = fresh
+            touched = np.unique(target[active])
+            belief[touched] = own[touched]
+            np.add.at(belief, target[active], fresh)
+            moving = np.unique(of[active][change > SETTLED])
+            active = active[np.isin(of[active], moving)]
         return np.exp(belief - _log_sum(belief, 1)[:, None])
 
 
@@ -249,16 +276,28 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: list[str]) -> dict[i
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> SkipChainCRF:
-    """A model of the at most `most` documents with least hash among those that have a digit or an @."""
+    """A model of the at most `most` documents with least hash among those of bounded size with a digit or an @.
+
+    Ties in the hash are repeated rows, which count once.
+    """
     mark = F.xxhash64("doc_id", "text")
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(mark.alias("m")).orderBy("m").limit(most)
-    marks = [r["m"] for r in some.collect()]
+    fit = docs.where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= TRAIN_BYTES))
+    marks = [r["m"] for r in fit.select(mark.alias("m")).distinct().orderBy("m").limit(most).collect()]
     graph = Graph()
     if marks:
-        # marks are at most `most` numbers, and so are the texts behind them but for repeated rows, which drop out here
-        rows = docs.where(mark.isin(marks)).select(mark.alias("m"), "text").dropDuplicates(["m"])
-        for number, row in enumerate(sorted(rows.toLocalIterator(), key=lambda r: r["m"])):
-            graph.add(number, row["text"], base_spans(row["text"]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for m, text in zip(batch["m"], batch["text"]):
+                    one = Graph()
+                    one.add(0, text, base_spans(text))
+                    rows.append((m, one.base, [f for fs in one.features for f in fs], [i for e in one.chain for i in e], [i for e in one.skip for i in e]))
+                yield pd.DataFrame(rows, columns=["m", "base", "features", "chain", "skip"])
+
+        rows = fit.where(mark.isin(marks)).select(mark.alias("m"), "text").mapInPandas(run, "m long, base array<int>, features array<int>, chain array<int>, skip array<int>")
+        for number, row in enumerate(sorted(rows.dropDuplicates(["m"]).collect(), key=lambda r: r["m"])):
+            graph.join(number, row["base"], row["features"], row["chain"], row["skip"])
     return SkipChainCRF().fit(graph)
 
 
@@ -266,8 +305,10 @@ def find_personal_data(docs: DataFrame, model: SkipChainCRF | None = None) -> Da
     """Per document of docs(doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are those of the patterns; spans lists theirs and the model's, as kind:start:end by start, in
-    code points. Null and empty texts have none. A row per input row; ids may be null or repeated; other columns are not
-    read. A document's size is limited by memory only: everything here is linear in it.
+    code points. Null and empty texts have none. A row per input row, none for an empty table; ids may be null or
+    repeated; other columns are not read. A document's size is limited by memory only: everything here is linear in it.
+    Where two labels are equally likely the first of email, ip, card, phone wins; spans of one start are told apart by
+    that order too.
     """
     docs = docs.select("doc_id", "text")
     crf = model or train(docs)
