@@ -41,8 +41,9 @@ def norm2(x: Column) -> Column:
     return F.sqrt(dot(x, x))
 
 
-def one_hot(value: Column, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (i == value).cast("int"))
+def one_hot(value: Column, width: int | Column) -> Column:
+    last = width - 1 if isinstance(width, Column) else F.lit(width - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: (i == value).cast("int"))
 
 
 def argmax(x: Column) -> Column:
@@ -50,6 +51,10 @@ def argmax(x: Column) -> Column:
     return F.array_position(x, F.array_max(x)) - 1
 
 
+def softmax(x: Column) -> Column:
+    return F.transform(log_softmax(x), F.exp)
+
+
 def relu(x: Column) -> Column:
     return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
 

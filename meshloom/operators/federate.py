@@ -21,7 +21,7 @@ def mean(params: DataFrame, clients: int, prefix: str | None = None) -> DataFram
 def weighted_mean(params: DataFrame, sizes: DataFrame) -> DataFrame:
     """Mean weighted by sizes(client_id, size) over all clients of sizes."""
     total = sizes.agg(F.sum("size").alias("total"))
-    weighed = params.join(F.broadcast(sizes), "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
+    weighed = params.join(sizes, "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
     return weighed.crossJoin(F.broadcast(total)).select(*KEY, (F.col("s") / F.col("total")).alias("v"))
 
 
@@ -35,9 +35,9 @@ def clusterwise(old: DataFrame, change: DataFrame, clusters: DataFrame, sizes: D
     """Every client's parameters plus its cluster's weighted mean change: (client_id, name, pos, v)."""
     member = clusters.join(sizes, "client_id")
     total = member.groupBy("cluster_id").agg(F.sum("size").alias("total"))
-    moved = change.join(F.broadcast(member), "client_id").groupBy("cluster_id", *KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
-    moved = moved.join(F.broadcast(total), "cluster_id").select("cluster_id", *KEY, (F.col("s") / F.col("total")).alias("d"))
-    held = old.select("client_id", *KEY, "v").join(F.broadcast(clusters), "client_id")
+    moved = change.join(member, "client_id").groupBy("cluster_id", *KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
+    moved = moved.join(total, "cluster_id").select("cluster_id", *KEY, (F.col("s") / F.col("total")).alias("d"))
+    held = old.select("client_id", *KEY, "v").join(clusters, "client_id")
     out = held.join(moved, ["cluster_id", *KEY], "left")
     return out.select("client_id", *KEY, (F.col("v") + F.coalesce("d", F.lit(0.0))).alias("v"))
 
@@ -53,7 +53,7 @@ def max_update_norm(change: DataFrame) -> DataFrame:
 def mean_update_norm(change: DataFrame, sizes: DataFrame) -> DataFrame:
     """Norm of the mean over clients of changes scaled by size / total size."""
     one = sizes.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("k"))
-    scaled = change.join(F.broadcast(sizes), "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
+    scaled = change.join(sizes, "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
     per = scaled.crossJoin(F.broadcast(one)).select((F.col("s") / F.col("total") / F.col("k")).alias("m"))
     return per.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean_norm"))
 
@@ -67,8 +67,8 @@ def pairwise_cosine(change: DataFrame) -> DataFrame:
     pairs = entries.select(F.explode("e").alias("p"), "e").select("p", F.explode("e").alias("q"))
     dots = pairs.groupBy(F.col("p.client_id").alias("a"), F.col("q.client_id").alias("b")).agg(F.sum(F.col("p.v") * F.col("q.v")).alias("dot"))
     size = norms(change, "client_id")
-    out = dots.join(F.broadcast(size.select(F.col("client_id").alias("a"), F.col("norm").alias("na"))), "a")
-    out = out.join(F.broadcast(size.select(F.col("client_id").alias("b"), F.col("norm").alias("nb"))), "b")
+    out = dots.join(size.select(F.col("client_id").alias("a"), F.col("norm").alias("na")), "a")
+    out = out.join(size.select(F.col("client_id").alias("b"), F.col("norm").alias("nb")), "b")
     return out.select("a", "b", (1 + F.col("dot") / F.greatest(F.col("na") * F.col("nb"), F.lit(1e-12))).alias("similarity"))
 
 
@@ -100,7 +100,7 @@ def split_predicate(mean_norm: Column, max_norm: Column, size: Column, rounds: C
 def scale_aligned_mean(scaled: DataFrame) -> DataFrame:
     """scaled(client_id, name, pos, payload, scale): mean payload at each layer's largest scale, and its value."""
     common = scaled.groupBy("name").agg(F.max("scale").alias("to"))
-    aligned = scaled.join(F.broadcast(common), "name").select(*KEY, (F.col("payload") * F.col("to") / F.col("scale")).alias("p"), "to")
+    aligned = scaled.join(common, "name").select(*KEY, (F.col("payload") * F.col("to") / F.col("scale")).alias("p"), "to")
     out = aligned.groupBy(*KEY, "to").agg(F.avg("p").alias("payload"))
     return out.select(*KEY, "payload", F.col("to").alias("scale"), (F.col("payload") / F.col("to")).alias("value"))
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from meshloom.functions.scalar import argmax
 
 
+#: Cells of a group's range of scores.
+CELLS = 1024
+
+
 def accuracy(scores: DataFrame, *by: str) -> DataFrame:
     """scores(*by, p, y) -> (*by, accuracy, n): the share of rows whose largest score is at place y."""
     right = (argmax(F.col("p")) == F.col("y")).cast("double")
@@ -23,11 +27,18 @@ def weighted_metric(metrics: DataFrame, value: str, weight: str) -> DataFrame:
 def auroc(scores: DataFrame, by: str) -> DataFrame:
     """scores(by, score, y) -> (by, auroc): ties count half.
 
-    Rows are first counted per distinct score, so a window sees a row per score and group, not one per pair. Null if a
-    group lacks positives or negatives.
+    Rows are first counted per distinct score. Negatives below a score are those of the cells below its own, and those
+    below it in its cell: cells cut a group's range of scores into CELLS equal parts, so no window sees a whole group.
+    Null if a group lacks positives or negatives.
     """
     per = scores.groupBy(by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = per.groupBy(by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    per = per.join(ends, by).withColumn("cell", F.least(F.floor((F.col("score") - F.col("lo")) / width * CELLS), F.lit(CELLS - 1))).drop("lo", "hi")
+    cells = per.groupBy(by, "cell").agg(F.sum("q").alias("c"))
+    before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.join(cells.select(by, "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("under")), [by, "cell"])
+    below = F.col("under") + F.coalesce(F.sum("q").over(Window.partitionBy(by, "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = per.select(by, "p", "q", (F.col("p") * (below + F.col("q") / 2.0)).alias("w"))
     out = won.groupBy(by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return out.select(by, (F.col("w") / F.when(F.col("p") * F.col("q") > 0, F.col("p") * F.col("q"))).alias("auroc"))
@@ -36,11 +47,13 @@ def auroc(scores: DataFrame, by: str) -> DataFrame:
 def hit_rate(scores: DataFrame, k: int, by: str) -> DataFrame:
     """scores(by, user_id, item_id, score, y) -> (by, hit_rate): users with a positive among their k best, of all users.
 
-    Ties go to the smaller item. Only the k best of a user are ever kept, by aggregation.
+    Ties go to the smaller item. Spark keeps only k rows of a user before the shuffle, as the filter on the place in the
+    window tells it.
     """
-    best = scores.groupBy(by, "user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id", "y"))), 1, k).alias("top"))
-    hit = F.exists("top", lambda r: r["y"] == 1).cast("double")
-    return best.groupBy(by).agg(F.avg(hit).alias("hit_rate"))
+    place = F.row_number().over(Window.partitionBy(by, "user_id").orderBy(F.desc("score"), "item_id", "y"))
+    best = scores.select(by, "user_id", "y", place.alias("place")).where(F.col("place") <= k)
+    hits = best.groupBy(by, "user_id").agg(F.max((F.col("y") == 1).cast("double")).alias("hit"))
+    return hits.groupBy(by).agg(F.avg("hit").alias("hit_rate"))
 
 
 def confusion(pred: DataFrame, *by: str) -> DataFrame:

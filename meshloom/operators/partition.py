@@ -10,26 +10,42 @@ from meshloom.functions.scalar import hash32
 from meshloom.operators.ranking import shuffled_positions
 
 
+#: Exponent of the powerlaw sizes (fixed value).
+POWER = 0.31653612251668856
+
+
+def least_held(table: list[tuple[int, int, float]], counts: dict[int, int], clients: int) -> int:
+    """The fewest rows that a client gets: whole ones, as cut_points deals them out."""
+    held, upto = [0] * clients, dict.fromkeys(counts, 0.0)
+    taken = dict.fromkeys(counts, 0)
+    for label, c, share in table:
+        upto[label] += share
+        cut = counts[label] if c == clients - 1 else int(round(upto[label], 9) * counts[label])
+        held[c] += cut - taken[label]
+        taken[label] = cut
+    return min(held)
+
+
 def dirichlet_shares(counts: dict[int, int], clients: int, beta: float, seed: int = 42, sizes: str = "average", tries: int = 1000) -> list[tuple[int, int, float]]:
     """(label, client, share) by a Dirichlet draw per label; counts are rows per label.
 
-    sizes is average (a client at its fair size takes no more), or lognormal, power, exponential, which weigh clients;
-    other names are an error. Draws are repeated until every client has max(1, min(10, rows // (clients * labels)))
+    sizes is average (a client at its fair size takes no more), equal (no such limit), or lognormal, powerlaw, exponential,
+    which weigh clients; other names are an error. Draws are repeated until every client has max(1, min(10, rows // (clients * labels)))
     rows; if none of `tries` does, the one with the largest smallest client is used.
     """
     rng = np.random.default_rng(seed)
     total, labels = sum(counts.values()), sorted(counts)
-    if sizes == "average":
+    if sizes in ("average", "equal"):
         weights = np.ones(clients)
     elif sizes == "lognormal":
         weights = rng.lognormal(0, 2, clients)
-    elif sizes == "power":
-        weights = rng.power(0.3165, clients)
+    elif sizes == "powerlaw":
+        weights = rng.power(POWER, clients)
     elif sizes == "exponential":
         weights = rng.exponential(1, clients)
     else:
         raise ValueError(f"unknown size distribution {sizes!r}")
-    least, best, best_low = max(1, min(10, total // (clients * max(1, len(labels))))), None, -1.0
+    least, best, best_low = max(1, min(10, total // (clients * max(1, len(labels))))), None, -1
     for _ in range(tries):
         held, table = np.zeros(clients), []
         for label in labels:
@@ -39,8 +55,9 @@ def dirichlet_shares(counts: dict[int, int], clients: int, beta: float, seed: in
             p = p / p.sum() if p.sum() > 0 else np.full(clients, 1 / clients)
             held += p * counts[label]
             table += [(label, c, float(x)) for c, x in enumerate(p)]
-        if held.min() > best_low:
-            best, best_low = table, held.min()
+        low = least_held(table, counts, clients)
+        if low > best_low:
+            best, best_low = table, low
         if best_low >= least:
             break
     return best or []

@@ -25,6 +25,7 @@ class PrivacySpec:
     clip_norm: float = 1.0
     mechanism: str = "gaussian"
     sensitivity: float | None = None
+    seed: int = 0
 
     def __post_init__(self) -> None:
         if self.epsilon <= 0 or not 0 < self.delta < 1 or self.clip_norm <= 0:
@@ -33,7 +34,7 @@ class PrivacySpec:
             raise ValueError(f"unknown mechanism {self.mechanism!r}")
 
 
-#: name -> (value, spec, keys of the entry) -> noised value
+#: name -> (value, spec, keys of the entry) -> noised value; keys include the release, so no two share their noise
 MECHANISMS: dict[str, Callable[[Column, PrivacySpec, tuple], Column]] = {}
 
 
@@ -76,12 +77,16 @@ def clip_stats(sums: DataFrame, limit: float) -> DataFrame:
 def clipped_sum(sums: DataFrame, limit: float, *keys: str) -> DataFrame:
     """Sum over clients of entries (client_id, *keys, v), each client clipped to norm `limit`."""
     factor = clip_stats(sums, limit).select("client_id", "factor")
-    return sums.join(F.broadcast(factor), "client_id").groupBy(*keys).agg(F.sum(F.col("v") * F.col("factor")).alias("v"))
+    return sums.join(factor, "client_id").groupBy(*keys).agg(F.sum(F.col("v") * F.col("factor")).alias("v"))
 
 
-def private_sum(sums: DataFrame, spec: PrivacySpec, *keys: str) -> DataFrame:
+def private_sum(sums: DataFrame, spec: PrivacySpec, *keys: str, release: int | None = None) -> DataFrame:
+    """The clipped sum by keys, noised. Give each round its own `release` and keep spec.seed secret: noise that is drawn
+    from the same seed and release is the same, and would cancel between two sums.
+    """
     clean = clipped_sum(sums, spec.clip_norm, *keys)
-    return clean.withColumn("v", MECHANISMS[spec.mechanism](F.col("v"), spec, keys))
+    more = () if release is None and not spec.seed else (F.lit(f"{spec.seed}/{0 if release is None else release}"),)
+    return clean.withColumn("v", MECHANISMS[spec.mechanism](F.col("v"), spec, (*keys, *more)))
 
 
 def accountant(rounds: DataFrame) -> DataFrame:
@@ -90,15 +95,32 @@ def accountant(rounds: DataFrame) -> DataFrame:
     return rounds.withColumn("epsilon_spent", F.sum("epsilon").over(upto)).withColumn("delta_spent", F.sum("delta").over(upto))
 
 
+#: Half of a 64-bit number's bits, and their mask.
+HALF, LOW = 32, (1 << 32) - 1
+
+
+def wrapped_sum(column: str) -> Column:
+    """The sum of whole numbers modulo 2**64: halves are summed apart, as numbers that don't overflow below 2**31 rows."""
+    low = F.sum(F.col(column).bitwiseAND(F.lit(LOW)))
+    high = F.sum(F.shiftrightunsigned(F.col(column), HALF)) + F.shiftrightunsigned(low, HALF)
+    return F.shiftleft(high, HALF).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
+
+
 def masked(sums: DataFrame, clients: int, *keys: str, scale: float = 1e6, seed: int = 42) -> DataFrame:
     """(client_id, *keys, m): fixed-point values under masks that cancel over all clients 0..clients-1.
 
     Every client must have every key, or its masks stay in the sum; see masked_sum.
     """
-    total = F.round(F.col("v") * scale).cast("long")
+    value = F.round(F.col("v") * scale).cast("long")
+    low, high = value.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(value, HALF)
     for other in range(clients):
-        pair = hash32(F.least(F.col("client_id"), F.lit(other)), F.greatest(F.col("client_id"), F.lit(other)), *keys, seed=seed)
-        total = total + F.when(F.col("client_id") < other, pair).when(F.col("client_id") > other, -pair).otherwise(F.lit(0))
+        ends = F.least(F.col("client_id"), F.lit(other)), F.greatest(F.col("client_id"), F.lit(other))
+        # 64 bits that wrap around, so a masked value is as likely to be any number as any other; -p is ~p + 1
+        pair = F.shiftleft(hash32(*ends, *keys, seed=seed), HALF).bitwiseXOR(hash32(*ends, *keys, seed=seed + 1))
+        larger = F.col("client_id") > other
+        term = F.when(F.col("client_id") < other, pair).when(larger, F.bitwise_not(pair)).otherwise(F.lit(0).cast("long"))
+        low, high = low + term.bitwiseAND(F.lit(LOW)) + larger.cast("long"), high + F.shiftrightunsigned(term, HALF)
+    total = F.shiftleft(high + F.shiftrightunsigned(low, HALF), HALF).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
     return sums.select("client_id", *keys, total.alias("m"))
 
 
@@ -106,7 +128,7 @@ def masked_sum(sums: DataFrame, clients: int, *keys: str, scale: float = 1e6, se
     """The sum by key of masked values: equal to the plain sum in fixed point. Keys that a client lacks count 0 there."""
     every = sums.select(*keys).distinct().withColumn("client_id", F.explode(F.sequence(F.lit(0), F.lit(clients - 1))))
     filled = every.join(sums, ["client_id", *keys], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    return masked(filled, clients, *keys, scale=scale, seed=seed).groupBy(*keys).agg((F.sum("m") / scale).alias("v"))
+    return masked(filled, clients, *keys, scale=scale, seed=seed).groupBy(*keys).agg((wrapped_sum("m") / scale).alias("v"))
 
 
 def chunk_plan(sizes: DataFrame, slots: int) -> DataFrame:

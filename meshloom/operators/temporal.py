@@ -38,6 +38,19 @@ def time_slice(df: DataFrame, start: Column, end: Column, ts: str = "ts") -> Dat
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
+def step_graph(df: DataFrame, start: Column, end: Column, most: int | None = None) -> DataFrame:
+    """Edges of one time step both ways: (client_id, src_kind, src, dst).
+
+    df(client_id, user_id, item_id, ts, pos): those with start <= ts < end, or of each client's the last `most` by pos, a
+    whole number without ties. Nodes are those of the whole graph, whatever the step holds.
+    """
+    some = time_slice(df, start, end)
+    if most is not None:
+        some = last_edges(some, most, "client_id", "pos", RANK_WIDTH)
+    there = some.select("client_id", F.lit("user").alias("src_kind"), F.col("user_id").alias("src"), F.col("item_id").alias("dst"))
+    return there.unionByName(some.select("client_id", F.lit("item").alias("src_kind"), F.col("item_id").alias("src"), F.col("user_id").alias("dst")))
+
+
 def first_seen_index(df: DataFrame, value: str, order: str, width: int = 1 << 16) -> DataFrame:
     """(value, idx): distinct values numbered from 0 in the order of their first row by `order`, a whole number."""
     first = df.groupBy(value).agg(F.min(order).alias("_first"))
@@ -45,8 +58,14 @@ def first_seen_index(df: DataFrame, value: str, order: str, width: int = 1 << 16
 
 
 def mapped_edges(df: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Interactions by dense indices; an unknown user or item is an error to the caller, here its rows are counted out."""
-    return df.join(users.withColumnRenamed("idx", "user_idx"), "user_id").join(items.withColumnRenamed("idx", "item_idx"), "item_id")
+    """Interactions by dense indices; a user or item that the maps lack makes the query fail when it runs."""
+    joined = df.join(users.withColumnRenamed("idx", "user_idx"), "user_id", "left").join(items.withColumnRenamed("idx", "item_idx"), "item_id", "left")
+
+    def known(idx: str, key: str) -> Column:
+        unknown = F.raise_error(F.concat(F.lit(f"no index for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        return F.when(F.col(idx).isNotNull(), F.col(idx)).otherwise(unknown.cast("long"))
+
+    return joined.withColumn("user_idx", known("user_idx", "user_id")).withColumn("item_idx", known("item_idx", "item_id"))
 
 
 def last_edges(df: DataFrame, most: int, by: str, order: str, width: int) -> DataFrame:

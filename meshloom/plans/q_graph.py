@@ -31,9 +31,8 @@ def degree_stats(spark, sf_dir):
 def degree_onehot(spark, sf_dir):
     graphs, edges = T.order_graphs(spark, sf_dir)
     d = graph.degrees(edges, ("graph_id",))
-    width = d.agg(F.max("degree").alias("m")).first()["m"] + 1
-    hot = d.select("graph_id", "node_id", F.posexplode(one_hot(F.col("degree"), int(width))).alias("dim", "v"))
-    return hot.where("v = 1").select("graph_id", "node_id", "dim")
+    wide = d.withColumn("width", d.agg((F.max("degree") + 1).cast("int")).scalar())
+    return wide.select("graph_id", "node_id", (F.array_position(one_hot(F.col("degree"), F.col("width")), 1) - 1).cast("int").alias("dim"))
 
 
 def undirected_closure(spark, sf_dir):
@@ -67,8 +66,8 @@ def planetoid_split(spark, sf_dir):
 
 def gap_fill(spark, sf_dir):
     known = T.load(spark, sf_dir, "embeddings").where("vec_id % 7 <> 3").select("vec_id", F.col("embedding")[0].cast("double").alias("x0"))
-    top = known.agg(F.max("vec_id").alias("m")).first()["m"]
-    ids = spark.range(0, (-1 if top is None else top) + 1)
+    ends = known.agg(F.max("vec_id").alias("m")).where("m is not null")
+    ids = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("id"))
     return ids.join(known, ids["id"] == known["vec_id"], "left").select("id", r4(F.coalesce("x0", F.lit(0.0))).alias("x0"))
 
 

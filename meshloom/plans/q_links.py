@@ -93,7 +93,7 @@ def _positives(spark, sf_dir):
 
 def _negatives(spark, sf_dir):
     x = T.interactions(spark, sf_dir)
-    items = T.load(spark, sf_dir, "part").count()
+    items = T.load(spark, sf_dir, "part").count()  # a count from the file's footer
     return temporal.negatives(_positives(spark, sf_dir), x, items)
 
 
@@ -109,7 +109,7 @@ def label_edges(spark, sf_dir):
 def _scores(spark, sf_dir):
     """Labelled pairs with the dot product of a user's and an item's vector."""
     e = T.load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    n = e.count()
+    n = e.agg(F.count(F.lit(1))).scalar()
     pairs = temporal.labelled(_positives(spark, sf_dir), _negatives(spark, sf_dir))
     pairs = pairs.withColumn("u", F.col("user_id") % n).withColumn("i", F.col("item_id") % n)
     scored = pairs.join(e.select(F.col("vec_id").alias("u"), F.col("x").alias("xu")), "u").join(e.select(F.col("vec_id").alias("i"), F.col("x").alias("xi")), "i")

@@ -25,10 +25,10 @@ def partition_hash_dirichlet(spark, sf_dir):
 
 
 def partition_dirichlet(spark, sf_dir):
-    """With drawn shares; random by nature, so rows only."""
+    """With shares drawn from a seed, which the twin has as numbers."""
     nodes = _labelled(spark, sf_dir)
     counts = {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()}
-    shares = partition.dirichlet_shares(counts, 5, 10.0)
+    shares = partition.dirichlet_shares(counts, 5, 10.0, sizes="equal")
     return partition.by_label_cuts(nodes, spark.createDataFrame(shares, "label int, client_id int, share double"))
 
 
@@ -90,7 +90,11 @@ _VIEW = cte("nodes", "edges") + """, view AS (SELECT client_id, node_id FROM nod
  vi AS (SELECT client_id, node_id, row_number() OVER (PARTITION BY client_id ORDER BY node_id) - 1 AS local_idx FROM view),
  ve AS (SELECT a.client_id, src, dst, a.local_idx AS s, b.local_idx AS t FROM edges JOIN vi a ON src = a.node_id JOIN vi b ON dst = b.node_id AND a.client_id = b.client_id)"""
 
+_DRAWN = ", ".join(f"({label}, {c}, {share!r}::DOUBLE)" for label, c, share in partition.dirichlet_shares(dict.fromkeys(range(10), 1000), 5, 10.0, sizes="equal"))
+_FIXED = "sh AS (SELECT l AS label, c AS client_id, (c + 1 + l % 3)::DOUBLE / (15 + 5 * (l % 3)) AS share FROM (SELECT unnest(range(10)) AS l), (SELECT unnest(range(5)) AS c))"
+
 ORACLE = {
+    "partition_dirichlet": _CUTS.replace(_FIXED, f"sh AS (SELECT * FROM (VALUES {_DRAWN}) v(label, client_id, share))") + " SELECT * FROM a",
     "partition_hash_dirichlet": _CUTS + " SELECT * FROM a",
     "partition_label_block": _PLACED + f" SELECT node_id, label, (CASE WHEN pos < floor(n * 0.6::DOUBLE) THEN (label % 10) % 5 ELSE {sql_hash('node_id', seed=43)} % 5 END)::INT AS client_id, pos < floor(n * 0.6::DOUBLE) AS block FROM p",
     "partition_size_stats": _CUTS + " SELECT client_id, count(*) AS n, count(DISTINCT label) AS labels FROM a GROUP BY 1",

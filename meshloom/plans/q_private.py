@@ -77,7 +77,7 @@ def factor_mean(spark, sf_dir):
 
 def rank_by_energy(spark, sf_dir):
     singular = T.params(spark, sf_dir).groupBy("name", F.col("pos").alias("k")).agg(F.sum("n").cast("double").alias("s"))
-    return lowrank.rank_by_energy(singular, 0.9)
+    return lowrank.rank_by_energy(singular, 0.9, "name")
 
 
 def model_size(spark, sf_dir):

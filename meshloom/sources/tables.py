@@ -32,8 +32,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: i with 7i+1 and i+1 modulo the number of nodes, both ways, distinct, without loops."""
     ids = load(spark, sf_dir, "embeddings").select("vec_id")
-    n = ids.count()
-    ends = F.explode(F.array(F.pmod(7 * F.col("vec_id") + 1, F.lit(n)), F.pmod(F.col("vec_id") + 1, F.lit(n))))
+    n = ids.agg(F.count(F.lit(1))).scalar()
+    ends = F.explode(F.array(F.pmod(7 * F.col("vec_id") + 1, n), F.pmod(F.col("vec_id") + 1, n)))
     one = ids.select(F.col("vec_id").alias("src"), ends.alias("dst"))
     return one.union(one.select("dst", "src")).where("src <> dst").distinct()
 
