@@ -31,6 +31,8 @@ from meshloom.llm.tokens import default_path, id_encoder
 SHARD_PIECES, ISLANDS, POPULATION = 4096, 3, 8
 #: Epochs at most, children of an island in an epoch at most, and children without improvement after which it stops.
 EPOCHS, CHILDREN, PATIENCE = 3, 80, 30
+#: Islands that a task evolves.
+TASK_ISLANDS = 16
 #: Bins of a child that the exchange step looks at, at most: others are left to later children.
 EXCHANGED = 256
 END = np.zeros(1, "<u4").tobytes()
@@ -265,6 +267,7 @@ def pack_sequences(pieces: DataFrame, capacity: int = 2048, shard_pieces: int =
 
         return run
 
+    tasks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * islands // TASK_ISLANDS)
     over = None  # shards at their bound, an island of each
     for epoch in range(epochs):
         if epoch:
@@ -275,7 +278,8 @@ def pack_sequences(pieces: DataFrame, capacity: int = 2048, shard_pieces: int =
             # the elite of the island before comes as a guest
             sent = state.select("_shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("home").alias("guest"))
             state = state.drop("guest").join(sent, ["_shard", "island"]).select("_shard", "lengths", "island", "guest", "home")
-        state = durable(state.repartition("_shard", "island").mapInPandas(epoch_of(epoch), ddl))
+        # little to read but much to compute: a fixed number of tasks, which adaptive execution doesn't join by their bytes
+        state = durable(state.repartition(tasks, "_shard", "island").mapInPandas(epoch_of(epoch), ddl))
         if state.where("not done").isEmpty():
             break
     if over is not None:
