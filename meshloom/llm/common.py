@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ def durable(df: DataFrame) -> DataFrame:
     A checkpoint keeps how rows are dealt out, so a join or grouping by the same key needs no further shuffle.
     """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    forget(df.sparkSession)  # many steps leave much in a small driver before it would collect by itself
+    return kept
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -62,6 +65,18 @@ def forget(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def short_plans(spark: SparkSession, characters: int = 8192) -> Iterator[None]:
+    """Bounds the plan texts that the driver keeps of each job: a job of a long chain of joins has megabytes of them."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, characters)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """name with as many underscores before it as it takes to differ from all of taken, in any case."""
     used = {t.lower() for t in taken}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.chunked import CHUNK_BYTES, Chunk, answers, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_sorted, unpack_texts
-from meshloom.llm.common import durable, forget, fresh_path, join_on_hot, stored
+from meshloom.llm.common import durable, forget, fresh_path, join_on_hot, short_plans, stored
 from meshloom.llm.components import components
 from meshloom.llm.hashing import mix64, word_hashes
 
@@ -344,9 +344,8 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 
     Hubs are sets with the most company of those whose row is full; sizes of a pair allow a link.
     """
-    hub = rows.groupBy("key").agg(F.max(F.when(F.col("full"), F.struct("company", "node", "n", "label"))).alias("h"), F.count(F.lit(1)).alias("under"))
-    hub = durable(hub.where("h is not null and under > 1"))
-    met = join_on_hot(rows.select("key", "node", "n", "label"), hub, "key", "under", rows.count(), "inner")
+    hub = rows.where("full").groupBy("key").agg(F.max(F.struct("company", "node", "n", "label")).alias("h"))
+    met = rows.select("key", "node", "n", "label").join(hub, "key")
     fit = (F.col("n") * DEN >= F.col("h.n") * NUM) & (F.col("h.n") * DEN >= F.col("n") * NUM)
     return met.where((F.col("label") != F.col("h.label")) & fit).select("node", F.col("h.node").alias("hub"), F.col("h.company").alias("company"))
 
@@ -428,8 +427,13 @@ def near_duplicate_components(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     null id take part; a component of such rows only has a null id. A repeated row is a copy of itself. An empty table
     gives an empty result. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    with short_plans(docs.sparkSession):
+        return _components(docs.select("doc_id", "text"), chunk_bytes)
+
+
+def _components(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
+    forget(spark)  # what earlier steps of the session left in the driver
     wide, classes = fresh_path(spark, "shingles"), fresh_path(spark, "classes")
     found = stored(shared_shingles(docs, chunk_bytes), wide)
     forget(spark)
