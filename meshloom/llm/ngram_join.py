@@ -278,12 +278,9 @@ def allocate(classes: DataFrame, table: list[tuple[int, int]]) -> dict[int, tupl
     cold = ranked.where(F.col("u") * 2 <= F.col("of")).select("band", F.col("u").alias("r"), F.col("segment").alias("deep"), F.col("pairs").alias("p"), "sets")
     mean = 1 / SEGMENTS
     swaps = hot.join(cold, ["band", "r"]).where(F.col("saved") > F.col("p") * (1 + mean) + F.col("sets") * F.lit(mean * ROW_COST))
-    plan: dict[int, tuple[list, list]] = {}
-    for band, skip, deep in swaps.select("band", "skip", "deep").toLocalIterator():
-        segs, es = plan.setdefault(band, ([], []))
-        segs += [skip, deep]
-        es += [-1, 1]
-    return {b: (np.array(s), np.array(e)) for b, (s, e) in plan.items()}
+    told = swaps.select("band", "skip", "deep").toArrow()
+    band, skip, deep = (told[c].to_numpy() for c in told.column_names)
+    return {int(b): (np.concatenate([skip[band == b], deep[band == b]]), np.repeat([-1, 1], int((band == b).sum()))) for b in np.unique(band)}
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -372,9 +369,9 @@ def rarity(classes: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(sums)
         yield pd.DataFrame({"cell": seen, "c": sums[seen]})
 
-    sums = classes.select("elements").mapInPandas(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    sums = classes.select("elements").mapInPandas(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(RARITY_CELLS, np.int64)
-    out[sums["cell"].to_numpy(np.int64)] = sums["c"].to_numpy(np.int64)
+    out[sums["cell"].to_numpy()] = sums["c"].to_numpy()
     return out
 
 
