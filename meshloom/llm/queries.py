@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from meshloom.llm import exact_dedup, html_text, line_dedup, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, token_counts
+from meshloom.llm import exact_dedup, html_text, license_scan, line_dedup, lm_scoring, mixing, ngram_join, packing, periodic_runs, pii, quality_rules, token_alignment, token_counts
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_pii": pii.op9_pii,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_license_scan": license_scan.op12_license_scan,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
