@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.chunked import Chunk, answers, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_sorted, unpack_texts
+from meshloom.llm.chunked import CHUNK_BYTES, Chunk, answers, meet, pack, pack_ids, pack_sorted, pack_texts, scan_chunks, sizes_for, unpack, unpack_ids, unpack_sorted, unpack_texts
 from meshloom.llm.common import fresh_path, stored
 from meshloom.llm.tokens import default_path, piece_bytes, plain_encoder, spaced_piece_ids, token_bytes
 
 DDL = "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-#: Larger than elsewhere: a chunk then repeats fewer of its neighbours' units and pairs.
-CHUNK_BYTES = 16 << 20
+#: Units that are encoded and written down at once.
+BLOCK = 20_000
 #: Where a text is cut: before a space that follows something else than white space.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Ids of the second tokenizer are below this: a pair is one number, its first id times this plus its second.
@@ -83,18 +83,22 @@ class Alignment:
     """
 
     def __init__(self, units: list[str], a_path: str, b_path: str) -> None:
-        a_of, b_of = plain_encoder(a_path), spaced_piece_ids(units, b_path)
-        a_bytes, b_bytes = token_bytes(a_path), piece_bytes(b_path)
+        a_of, a_bytes, b_bytes = plain_encoder(a_path), token_bytes(a_path), piece_bytes(b_path)
         self.good: list[bool] = []
-        a_ids, b_ids = [], []
-        for unit, b in zip(units, b_of):
-            raw, a = unit.encode("utf-8", "surrogatepass"), a_of(unit)
-            good = b"".join([a_bytes[i] for i in a]) == raw == b"".join([b_bytes[i] for i in b])
-            self.good.append(good)
-            a_ids.append(a if good else [])
-            b_ids.append(b if good else [])
-        self.a_at, self.b_at = (np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, at[-1]) for ids, at in ((a_ids, self.a_at), (b_ids, self.b_at)))
+        a_ids, b_ids, a_many, b_many = array("q"), array("q"), [0], [0]
+        for start in range(0, len(units), BLOCK):
+            block = units[start : start + BLOCK]
+            for unit, b in zip(block, spaced_piece_ids(block, b_path)):
+                raw, a = unit.encode("utf-8", "surrogatepass"), a_of(unit)
+                good = b"".join([a_bytes[i] for i in a]) == raw == b"".join([b_bytes[i] for i in b])
+                self.good.append(good)
+                a_many.append(len(a) if good else 0)
+                b_many.append(len(b) if good else 0)
+                if good:
+                    a_ids.extend(a)
+                    b_ids.extend(b)
+        self.a_at, self.b_at = np.cumsum(a_many), np.cumsum(b_many)
+        a, b = np.frombuffer(a_ids, np.int64), np.frombuffer(b_ids, np.int64)
         lengths_a, lengths_b = (np.array([len(x) for x in table], np.int64) for table in (a_bytes, b_bytes))
         of_a, of_b = overlaps(np.cumsum(lengths_a[a]), np.cumsum(lengths_b[b]))
         self.link_at = np.searchsorted(of_a, self.a_at)
@@ -106,11 +110,17 @@ class Alignment:
         """Per unit its groups as text, and how many there are. A component's least node is its first token of a."""
         head_a, head_b = root[: len(a)], root[len(a) :]
         heads = np.flatnonzero(head_a == np.arange(len(a)))  # of a's tokens, those that begin a group
-        a_from, b_from = np.append(heads, len(a)).tolist(), np.append(np.searchsorted(head_b, heads), len(b)).tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_from, a_from[1:], b_from, b_from[1:])]
-        at = np.searchsorted(heads, self.a_at).tolist()
-        return [";".join(texts[i:j]) for i, j in zip(at, at[1:])], np.diff(at)
+        at, b_heads, out = np.searchsorted(heads, self.a_at), np.searchsorted(head_b, heads), []
+        for start in range(0, len(at) - 1, BLOCK):
+            ends = at[start : start + BLOCK + 1]
+            # the block's groups, and behind them where the next block's first one begins
+            a_from, b_from = (np.append(x, n)[ends[0] : ends[-1] + 1] for x, n in ((heads, len(a)), (b_heads, len(b))))
+            a_text, b_text = (list(map(str, ids[f[0] : f[-1]].tolist())) for ids, f in ((a, a_from), (b, b_from)))
+            i, j = (a_from - a_from[0]).tolist(), (b_from - b_from[0]).tolist()
+            texts = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:t]) for p, q, r, t in zip(i, i[1:], j, j[1:])]
+            cuts = (ends - ends[0]).tolist()
+            out += [";".join(texts[p:q]) for p, q in zip(cuts, cuts[1:])]
+        return out, np.diff(at)
 
 
 def units_of(text: str) -> list[str]:
@@ -121,24 +131,23 @@ class Corpus:
     """A chunk's documents as bags of distinct units, with those units' alignment."""
 
     def __init__(self, chunk: Chunk, a_path: str, b_path: str) -> None:
-        cut = [units_of(t) if t else [] for t in chunk.texts]
         self.places: dict[str, int] = {}
-        for us in cut:
-            for u in us:
-                self.places.setdefault(u, len(self.places))
+        put = self.places.setdefault
+        # a document as places of its units: the units' strings are kept once only
+        cut = [np.fromiter((put(u, len(self.places)) for u in (units_of(t) if t else ())), np.uint32) for t in chunk.texts]
         self.units = Alignment(list(self.places), a_path, b_path)
-        good, groups = self.units.good, self.units.groups
-        self.bags, self.digests = [], []
-        for us in cut:
-            at = [self.places[u] for u in us]
-            if not all(good[i] for i in at):
-                at = []
-            self.bags.append(Counter(at))
-            self.digests.append(hashlib.sha256(";".join([groups[i] for i in at]).encode()).hexdigest() if at else "")
-        #: (document, unit, times) of all bags, and how often each unit occurs.
-        self.doc = np.repeat(np.arange(len(self.bags)), [len(b) for b in self.bags])
-        self.unit = np.fromiter((u for b in self.bags for u in b), np.int64, len(self.doc))
-        self.times = np.fromiter((n for b in self.bags for n in b.values()), np.int64, len(self.doc))
+        good, groups = np.array(self.units.good, bool), self.units.groups
+        self.digests, units, times = [], [], []
+        for at in cut:
+            at = at if good[at].all() else at[:0]
+            self.digests.append(hashlib.sha256(";".join([groups[i] for i in at.tolist()]).encode()).hexdigest() if len(at) else "")
+            distinct, often = np.unique(at, return_counts=True)
+            units.append(distinct)
+            times.append(often)
+        #: Distinct units of each document; and (document, unit, times) of all of them.
+        self.bags = np.array([len(u) for u in units], np.int64)
+        self.doc = np.repeat(np.arange(len(units)), self.bags)
+        self.unit, self.times = np.concatenate(units).astype(np.int64), np.concatenate(times)
 
     def sums(self, per_unit: np.ndarray) -> np.ndarray:
         """Per document the sum over its units of a number that each unit has."""
@@ -194,9 +203,8 @@ def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None
         pairs, counts, place = c.pair_counts()
         where = _bucket(pairs, buckets)
         fixed = [c.sums(x) for x in (np.diff(u.a_at), np.diff(u.b_at), u.n_groups, np.diff(u.link_at))]
-        bags = np.array([len(b) for b in c.bags], np.uint32)
         # a row of documents has no bucket; a row for a bucket has pairs and their counts
-        yield (None, chunk.key, pack_ids(chunk.ids), *map(pack, fixed), pack_texts(c.digests), pack(bags), pack(c.unit.astype(np.uint32)), pack(c.times.astype(np.uint32)),
+        yield (None, chunk.key, pack_ids(chunk.ids), *map(pack, fixed), pack_texts(c.digests), pack(c.bags.astype(np.uint32)), pack(c.unit.astype(np.uint32)), pack(c.times.astype(np.uint32)),
                pack(np.diff(u.link_at).astype(np.uint32)), pack(place.astype(np.uint32)), pack(where.astype(np.uint32)), None, None)
         order = np.argsort(where, kind="stable")
         cuts = np.flatnonzero(np.diff(where[order])) + 1

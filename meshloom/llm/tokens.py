@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -111,7 +111,7 @@ class Ranked:
         import tiktoken
 
         self._cut = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
-        self._whole = tiktoken.Encoding("pre-token", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self._ranks = ranks
         self._special = special
         self._marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._runs = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
@@ -129,6 +129,13 @@ class Ranked:
         sign = _bytes_by_sign()
         return cls({bytes(sign[c] for c in token): rank for token, rank in vocabulary.items() if token not in special}, special)
 
+    @cached_property
+    def _whole(self):
+        """What takes a text for one pre-token."""
+        import tiktoken
+
+        return tiktoken.Encoding("pre-token", pat_str=r"(?s:.+)", mergeable_ranks=self._ranks, special_tokens={})
+
     def plain(self, text: str) -> list[int]:
         """Ids of a text in which special strings are plain text.
 
@@ -154,7 +161,6 @@ class Ranked:
         return out + self.plain(text[at:])
 
 
-@cache
 def _file(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
