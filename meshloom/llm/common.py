@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +63,12 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 
 @contextmanager
-def short_plans(spark: SparkSession, characters: int = 8192) -> Iterator[None]:
+def short_plans(spark: SparkSession, characters: int = 512) -> Iterator[None]:
     """Bounds the plan texts that the driver keeps of each job: a job of a long chain of joins has megabytes of them."""
     name = "spark.sql.maxPlanStringLength"
     before = spark.conf.get(name)

@@ -358,8 +358,8 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_, "key")
 
 
-def rarity(classes: DataFrame) -> np.ndarray:
-    """How many elements of all sets fall in each of RARITY_CELLS cells of a hash: a rough frequency, of bounded size."""
+def rarity(classes: DataFrame) -> bytes:
+    """How many elements of all sets fall in each of RARITY_CELLS cells of a hash: a rough frequency, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(RARITY_CELLS, np.int64)
@@ -372,7 +372,7 @@ def rarity(classes: DataFrame) -> np.ndarray:
     sums = classes.select("elements").mapInPandas(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(RARITY_CELLS, np.int64)
     out[sums["cell"].to_numpy()] = sums["c"].to_numpy()
-    return out
+    return pack(out)
 
 
 def _cell(elements: np.ndarray) -> np.ndarray:
@@ -388,9 +388,10 @@ def rare_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     (`onward`) is enough for a link, and if their sizes are: sets with little in common but a passage meet at the passage,
     with too little onward.
     """
-    frequency = rarity(classes)
+    packed = rarity(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequency = unpack(packed)
         for batch in batches:
             keys, nodes, sizes, onward = [], [], [], []
             for node, n, blob in zip(batch["node"].tolist(), batch["n"].tolist(), batch["elements"].tolist()):
