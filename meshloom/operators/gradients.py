@@ -177,6 +177,15 @@ def link_model_gradients(pairs: DataFrame, nodes: DataFrame, both: DataFrame, we
     return second.unionByName(first), vectors.select("kind", "node_id", F.col("e").alias("x"))
 
 
+def moved_weights(weights: DataFrame, gradient: DataFrame, rate: float, by: Sequence[str] = ()) -> DataFrame:
+    """weights(*by, layer, w, b) after a step against gradient(*by, layer, w, b); a layer without one stays."""
+    keys = [*by, "layer"]
+    step = lambda x, g: F.zip_with(x, g, lambda a, d: a - rate * d)
+    joined = weights.join(gradient.select(*keys, F.col("w").alias("gw"), F.col("b").alias("gb")), keys, "left")
+    w, b = F.zip_with("w", "gw", step), step("b", "gb")
+    return joined.select(*keys, F.when(F.col("gw").isNull(), F.col("w")).otherwise(w).alias("w"), F.when(F.col("gb").isNull(), F.col("b")).otherwise(b).alias("b"))
+
+
 def link_loss(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(bce_with_logits(F.col("score"), F.col("y").cast("double"))).alias("loss"), F.count(F.lit(1)).alias("n"))
 

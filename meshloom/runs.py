@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.functions.scalar import bce_with_logits, dot, log_softmax, unit
-from meshloom.operators import federate, graph, layers, metrics, partition, privacy, temporal, training
+from meshloom.functions.scalar import bce_with_logits, hash32, unit
+from meshloom.operators import clustered, federate, gradients, graph, layers, metrics, minibatch, partition, privacy, temporal, training
 from meshloom.operators.lowrank import compressed, decompressed, factor_entries, factor_mean
 from meshloom.session import durable
 from meshloom.sources import tables as T
@@ -24,6 +24,9 @@ TASKS = ("NC", "GC", "LP")
 PROTECTIONS = ("none", "masked", "private", "lowrank")
 LINK_METHODS = temporal.SLIDING + temporal.EXPANDING
 FEATURES, HIDDEN, CLASSES, VECTOR = 64, 16, 10, 8
+#: A graph's classes; the widths of its nodes' features, of the layers, and how many GIN layers there are.
+STATES = ("F", "O", "P")
+GRAPH_WIDTHS, GIN_LAYERS = (2, 8, len(STATES)), 1
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,8 @@ class RunSpec:
 
     task NC: nodes of one graph dealt out to clients, hops 0 or 2. GC: many small graphs. LP: pairs in time, by method.
     protection of what clients send: masked or private feature sums, or low-rank parameters; one at most, NC only.
+    batch_size > 0 (NC): each step takes so many of a client's training nodes, and fan_out neighbours a node, None for all.
+    cluster (GC): clients train in clusters that split. buffers > 0 (LP): each step takes one of so many parts of the pairs.
     """
 
     task: str
@@ -49,6 +54,10 @@ class RunSpec:
     method: str = "STFL"
     days: int = 3
     sample: int | None = None
+    batch_size: int = 0
+    fan_out: int | None = None
+    cluster: clustered.ClusterSpec | None = None
+    buffers: int = 0
     seed: int = 42
 
     def __post_init__(self) -> None:
@@ -66,6 +75,10 @@ class RunSpec:
             raise ValueError(f"unknown aggregator {self.aggregator!r}")
         if self.task == "LP" and self.method not in LINK_METHODS:
             raise ValueError(f"unknown method {self.method!r}")
+        if self.cluster is not None and self.task != "GC":
+            raise ValueError("clusters that split are for graph classification")
+        if self.batch_size < 0 or self.buffers < 0 or (self.fan_out is not None and self.fan_out < 1):
+            raise ValueError("batch_size and buffers must not be negative, fan_out at least 1")
         if self.rounds < 1 or self.local_steps < 1 or self.days < 1 or self.rate <= 0:
             raise ValueError("rounds, local_steps and days must be at least 1, and rate positive")
 
@@ -153,8 +166,11 @@ def run_nodes(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     sizes = nodes.where("split = 'train'").groupBy("client_id").agg(F.count(F.lit(1)).alias("size"))
 
     def local(mine: DataFrame, r: int) -> DataFrame:
-        for _ in range(spec.local_steps):
-            g = training.node_gradients(labelled.join(mine.select("client_id").distinct(), "client_id", "left_semi"), edges, training.from_params(mine), (FEATURES, HIDDEN, CLASSES))
+        for k in range(spec.local_steps):
+            some, ends = labelled.join(mine.select("client_id").distinct(), "client_id", "left_semi"), edges
+            if spec.batch_size:
+                some, ends = node_batch(some, edges, spec, r * spec.local_steps + k)
+            g = training.node_gradients(some, ends, training.from_params(mine), (FEATURES, HIDDEN, CLASSES))
             mine = durable(training.sgd(mine, training.to_params(g), spec.rate, spec.decay))
         return low_rank_round(mine, spec.rank) if spec.protection == "lowrank" else mine
 
@@ -165,6 +181,14 @@ def run_nodes(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     return _collected(frames).select("round", "split", "client_id", "n", "loss", "value")
 
 
+def node_batch(labelled: DataFrame, edges: DataFrame, spec: RunSpec, step: int) -> tuple[DataFrame, DataFrame]:
+    """One step's nodes, of which the seeds are trained on, and the edges that drew them, taken both ways."""
+    seeds = labelled.where("is_train").select("client_id", "node_id")
+    batch = minibatch.neighbour_batch(seeds, edges, spec.batch_size, 2, spec.fan_out, step, edges_by=("client_id",), seed=spec.seed)
+    some = labelled.drop("is_train").join(batch.nodes.select("client_id", "node_id", (F.col("hop") == 0).alias("is_train")), ["client_id", "node_id"])
+    return durable(some), durable(graph.undirected(batch.edges, ("client_id",)))
+
+
 def low_rank_round(params: DataFrame, rank: int) -> DataFrame:
     """Parameters as they come out of compression: matrices by their triplets of `rank`, biases as they are."""
     weights = params.where(F.col("name").endswith(".weight"))
@@ -180,52 +204,76 @@ def factor_round(matrices: DataFrame, rank: int) -> DataFrame:
     return factor_mean(factor_entries(compressed(matrices, "fixed", rank)))
 
 
-def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
-    """Graphs dealt out to clients; GIN layers as drawn, whose pooled sums the clients learn to read out.
+def graph_inputs(spark: SparkSession, sf_dir: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graphs(client_id, graph_id, y, split), nodes(client_id, graph_id, node_id, x) and edges(client_id, graph_id, src, dst).
 
-    With mu > 0 a client's step is drawn back to the merged parameters of the round before.
+    Each client's graphs are cut 80/10/10 by class into train, val and test. A graph without edges is left out.
     """
     graphs, edges = T.order_graphs(spark, sf_dir)
-    classes = ["F", "O", "P"]
-    d = graph.degrees(edges, ("graph_id",))
-    nodes = d.select("graph_id", "node_id", F.array(F.lit(1.0), F.log1p(F.col("degree").cast("double"))).alias("x"))
-    width = 8
-    drawn = layers.initial_weights(spark, [("pre", 2, width), ("conv0.0", width, width), ("conv0.1", width, width)], spec.seed)
-    x = _gin_features(nodes, edges, drawn, width)
-    dealt = partition.stratified_split(partition.graph_chunks(graphs, T.CLIENTS, spec.seed), "graph_id", "client_id", 0.8)
-    y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y")) - 1
-    rows = durable(dealt.join(graphs.select("graph_id", y.alias("y")), "graph_id").join(x, "graph_id"))
-    train = rows.where("is_train")
-    params = durable(training.to_params(layers.initial_weights(spark, [("readout", width, len(classes))], spec.seed, T.CLIENTS)))
-    sizes = train.groupBy("client_id").agg(F.count(F.lit(1)).alias("size"))
+    dealt = partition.graph_chunks(graphs, T.CLIENTS, seed)
+    cut = partition.stratified_split(dealt, "graph_id", "client_id", 0.8)
+    half = hash32("graph_id", seed=seed + 1) < F.lit(1 << 31)
+    split = F.when(F.col("is_train"), "train").when(half, "val").otherwise("test")
+    y = F.array_position(F.array(*[F.lit(c) for c in STATES]), F.col("y")) - 1
+    owned = durable(cut.select("client_id", "graph_id", split.alias("split")).join(graphs.select("graph_id", y.cast("int").alias("y")), "graph_id").select("client_id", "graph_id", "y", "split"))
+    ends = durable(edges.join(owned.select("client_id", "graph_id"), "graph_id").select("client_id", "graph_id", "src", "dst"))
+    d = graph.degrees(ends, ("client_id", "graph_id"))
+    nodes = durable(d.select("client_id", "graph_id", "node_id", F.array(F.lit(1.0), F.log1p(F.col("degree").cast("double"))).alias("x")))
+    return owned, nodes, ends
+
+
+def graph_metrics(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, params: DataFrame) -> DataFrame:
+    """(client_id, split, n, loss, value) of each client's graphs under its own model."""
+    scored = layers.gin(nodes, edges, training.from_params(params), GRAPH_WIDTHS[1], GIN_LAYERS, ("client_id", "graph_id"), ("client_id",))
+    joined = scored.join(graphs, ["client_id", "graph_id"])
+    loss, right = -F.element_at("x", F.col("y") + 1), (F.array_position("x", F.array_max("x")) - 1 == F.col("y")).cast("double")
+    return joined.groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"), F.avg(right).alias("value"))
+
+
+def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
+    """Graphs dealt out to clients, who train all layers of a GIN; metrics of all splits after each round.
+
+    With mu > 0 a client's step is drawn back to the merged parameters of the round before. With spec.cluster the clients
+    train in clusters that split, whose rows come with those of the split "best": a client's best test accuracy over the
+    models that it entered the cache with, in the last round.
+    """
+    graphs, nodes, edges = graph_inputs(spark, sf_dir, spec.seed)
+    features, hidden, classes = GRAPH_WIDTHS
+    train = durable(graphs.where("split = 'train'").join(nodes.select("client_id", "graph_id").distinct(), ["client_id", "graph_id"], "left_semi").select("client_id", "graph_id", "y"))
+    of_train = durable(nodes.join(train.select("client_id", "graph_id"), ["client_id", "graph_id"], "left_semi"))
+    shapes = [("pre", features, hidden), *[(f"conv{k}.{i}", hidden, hidden) for k in range(GIN_LAYERS) for i in (0, 1)], ("post", hidden, hidden), ("readout", hidden, classes)]
+    params = durable(training.to_params(layers.initial_weights(spark, shapes, spec.seed, T.CLIENTS)))
+    sizes = durable(train.groupBy("client_id").agg(F.count(F.lit(1)).alias("size")))
+
+    def gradient(mine: DataFrame) -> DataFrame:
+        own = mine.select("client_id").distinct()
+        some = (df.join(F.broadcast(own), "client_id", "left_semi") for df in (train, of_train))  # clients: a row each
+        return training.to_params(gradients.gin_gradients(*some, edges, training.from_params(mine), GRAPH_WIDTHS, GIN_LAYERS))
 
     def local(mine: DataFrame, r: int) -> DataFrame:
         start = mine
         for _ in range(spec.local_steps):
-            some = train.join(mine.select("client_id").distinct(), "client_id", "left_semi")
-            g = training.to_params(training.readout_gradient(some, training.from_params(mine), "readout", width, len(classes), ("client_id",)))
+            g = gradient(mine)
             if spec.mu:
                 gap = mine.join(start.select("client_id", "name", "pos", F.col("v").alias("r")), ["client_id", "name", "pos"])
                 g = g.unionByName(gap.select("client_id", "name", "pos", (spec.mu * (F.col("v") - F.col("r"))).alias("v"))).groupBy("client_id", "name", "pos").agg(F.sum("v").alias("v"))
             mine = durable(training.sgd(mine, g, spec.rate, spec.decay))
         return mine
 
-    frames = []
-    for r, params in training.rounds(params, local, sizes, T.CLIENTS, spec.rounds, spec.merge, _sampler(spec, T.CLIENTS)):
-        scored = layers.dense(rows, training.from_params(params), "readout", ("client_id",)).withColumn("p", log_softmax(F.col("x")))
-        split = F.when(F.col("is_train"), "train").otherwise("test").alias("split")
-        found = scored.groupBy("client_id", split).agg(F.count(F.lit(1)).alias("n"), F.avg(-F.element_at("p", (F.col("y") + 1).cast("int"))).alias("loss"), F.avg((F.array_position("p", F.array_max("p")) - 1 == F.col("y")).cast("double")).alias("value"))
-        frames.append(durable(found.withColumn("round", F.lit(r))))
-    return _collected(frames).select("round", "split", "client_id", "n", "loss", "value")
-
+    columns = ("round", "split", "client_id", "n", "loss", "value")
+    if spec.cluster is None:
+        frames = []
+        for r, params in training.rounds(params, local, sizes, T.CLIENTS, spec.rounds, spec.merge, _sampler(spec, T.CLIENTS)):
+            frames.append(durable(graph_metrics(graphs, nodes, edges, params).withColumn("round", F.lit(r))))
+        return _collected(frames).select(*columns)
 
-def _gin_features(nodes: DataFrame, edges: DataFrame, drawn: DataFrame, width: int) -> DataFrame:
-    """(graph_id, x): the mean over a graph's nodes of one GIN layer's values."""
-    moved = layers.dense(layers.dense(nodes, drawn, "pre"), drawn, "conv0.0", bias=False)
-    summed = layers.with_layer(graph.hop_sum(moved, edges, width, by=("graph_id",)), drawn, "conv0.0")
-    inner = layers.activated(summed.withColumn("x", layers.plus(F.col("x"), F.col("b"))).drop("w", "b"))
-    out = layers.activated(layers.dense(inner, drawn, "conv0.1"))
-    return out.groupBy("graph_id").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("x"))
+    score = lambda p: graph_metrics(graphs, nodes, edges, p).where("split = 'test'").select("client_id", "value")
+    norms = lambda p, r: federate.norms(gradient(p).where(F.col("name").startswith("conv")), "client_id")
+    done = list(clustered.clustered_rounds(params, local, sizes, spec.rounds, spec.cluster, score, norms))
+    frames = [graph_metrics(graphs, nodes, edges, c.params).withColumn("round", F.lit(c.number - 1)).select(*columns) for c in done]
+    best = clustered.best_of_cache(done, score).join(sizes, "client_id")
+    frames.append(best.select(F.lit(spec.rounds - 1).alias("round"), F.lit("best").alias("split"), "client_id", F.col("size").alias("n"), F.lit(None).cast("double").alias("loss"), "value"))
+    return _collected(frames)
 
 
 def link_days(spark: SparkSession, sf_dir: str, days: int) -> list[str]:
@@ -236,35 +284,49 @@ def link_days(spark: SparkSession, sf_dir: str, days: int) -> list[str]:
 
 
 def run_links(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
-    """Time steps in order: each is scored with the vectors as they are, then learned from in `rounds` steps.
+    """Time steps in order: the model learns from a slice in `rounds` steps and is scored on the slice after it.
 
-    The training slice slides by step or expands from the first one, by method; clients are the regions, and users
-    belong to one of them, so their vectors are the client's own while items' vectors are shared.
+    The model has a vector for each user and item and two layers over the slice's edges, with matrices for each kind of
+    node; a step moves all of them. The slice slides by step or expands from the first one, by method. Clients are the
+    regions, whose users are their own; a step's gradient is the mean over all clients' pairs, as if they merged after it.
+    With spec.buffers a step takes one part of the pairs, drawn by hash.
     """
     x = durable(T.interactions(spark, sf_dir))
     n_items = T.load(spark, sf_dir, "part").count()
-    steps = link_days(spark, sf_dir, spec.days)
+    steps = link_days(spark, sf_dir, spec.days + 1)
 
     def drawn(column: str) -> DataFrame:
         ids = x.select(F.col(column).alias("id")).distinct() if column == "user_id" else spark.range(n_items).toDF("id")
         return ids.select("id", F.array(*[(2 * unit(F.lit(column), "id", F.lit(k), seed=spec.seed) - 1) / 2 for k in range(VECTOR)]).alias("x"))
 
-    users, items, frames = durable(drawn("user_id")), durable(drawn("item_id")), []
+    nodes = durable(gradients.two_kinds(drawn("user_id"), drawn("item_id")))
+    named = [(f"{kind}.conv{k}.{part}", VECTOR, VECTOR) for kind in gradients.KINDS for k in (0, 1) for part in ("neighbours", "self")]
+    w = layers.initial_weights(spark, named, spec.seed)
+    weights = durable(w.select(F.substring_index("layer", ".", 1).alias("kind"), F.expr("substring(layer, instr(layer, '.') + 1)").alias("layer"), "w", "b"))
+    frames = []
+
+    def between(start: str, end: str) -> DataFrame:
+        return temporal.time_slice(x, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).select("client_id", "user_id", "item_id").distinct()
 
-    def labelled(start: str, end: str) -> DataFrame:
-        some = temporal.time_slice(x, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).select("client_id", "user_id", "item_id").distinct()
+    def labelled(some: DataFrame) -> DataFrame:
         return durable(temporal.labelled(some, temporal.negatives(some, x, n_items, seed=spec.seed)))
 
-    for k, (start, end) in enumerate(zip(steps, steps[1:])):
-        pairs = labelled(start, end)
-        scored = pairs.join(users.select(F.col("id").alias("user_id"), F.col("x").alias("u")), "user_id").join(items.select(F.col("id").alias("item_id"), F.col("x").alias("v")), "item_id")
-        scored = scored.select("client_id", "y", dot(F.col("u"), F.col("v")).alias("score"))
+    for k, (start, end, after) in enumerate(zip(steps, steps[1:], steps[2:])):
+        seen = durable(between(start if spec.method in temporal.SLIDING else steps[0], end))
+        both, pairs = durable(gradients.both_ways(seen.select("user_id", "item_id").distinct())), labelled(seen)
+        for r in range(spec.rounds):
+            some = pairs
+            if spec.buffers:
+                part = F.pmod(hash32("user_id", "item_id", seed=spec.seed), F.lit(spec.buffers))
+                some = pairs.where(part == F.pmod(hash32(F.lit(k), F.lit(r), seed=spec.seed), F.lit(spec.buffers)))
+            g, v = gradients.link_model_gradients(some, nodes, both, weights, VECTOR)
+            weights = durable(gradients.moved_weights(weights, g, spec.rate, ("kind",)))
+            moved = F.zip_with("x", "g", lambda a, b: a - spec.rate * b)
+            nodes = durable(nodes.join(v.select("kind", "node_id", F.col("x").alias("g")), ["kind", "node_id"]).select("kind", "node_id", moved.alias("x")))
+        _, output = gradients.link_forward(nodes, both, weights, VECTOR)
+        scored = durable(gradients.pair_scores(labelled(between(end, after)), output).select("client_id", "y", "score"))
         loss = scored.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.avg(bce_with_logits(F.col("score"), F.col("y").cast("double"))).alias("loss"))
         frames.append(durable(metrics.auroc(scored, "client_id").join(loss, "client_id").select(F.lit(k).alias("round"), F.lit("next").alias("split"), "client_id", "n", "loss", F.col("auroc").alias("value"))))
-        learn = pairs if spec.method in temporal.SLIDING or k == 0 else labelled(steps[0], end)
-        for _ in range(spec.rounds):
-            gu, gi = training.link_gradients(learn, users, items, VECTOR)
-            users, items = durable(training.moved_vectors(users, gu, spec.rate)), durable(training.moved_vectors(items, gi, spec.rate))
     return _collected(frames) if frames else spark.createDataFrame([], "round int, split string, client_id int, n long, loss double, value double")
 
 
