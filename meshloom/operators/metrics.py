@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import argmax
+from meshloom.session import durable
 
 
-#: Cells of a group's range of scores.
-CELLS = 1024
+#: Cells of a group's scores, about equally full.
+CELLS = 64
 
 
 def accuracy(scores: DataFrame, *by: str) -> DataFrame:
@@ -27,14 +28,15 @@ def weighted_metric(metrics: DataFrame, value: str, weight: str) -> DataFrame:
 def auroc(scores: DataFrame, by: str) -> DataFrame:
     """scores(by, score, y) -> (by, auroc): ties count half.
 
-    Rows are first counted per distinct score. Negatives below a score are those of the cells below its own, and those
-    below it in its cell: cells cut a group's range of scores into CELLS equal parts, so no window sees a whole group.
-    Null if a group lacks positives or negatives.
+    Rows are first counted per distinct score, and the counts kept in shared storage, as they are read more than once.
+    Negatives below a score are those of the cells below its own, and those below it in its cell: a group's scores are cut
+    at their quantiles, so a window sees about a CELLS-th of a group's distinct scores, wherever single scores lie. The
+    quantiles are approximate, which moves rows between cells and changes no result. Null if a group lacks positives or
+    negatives.
     """
-    per = scores.groupBy(by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    ends = per.groupBy(by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    per = per.join(ends, by).withColumn("cell", F.least(F.floor((F.col("score") - F.col("lo")) / width * CELLS), F.lit(CELLS - 1))).drop("lo", "hi")
+    per = durable(scores.groupBy(by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")))
+    ends = per.groupBy(by).agg(F.percentile_approx("score", [k / CELLS for k in range(1, CELLS)]).alias("ends"))
+    per = per.join(ends, by).withColumn("cell", F.size(F.filter("ends", lambda e: e < F.col("score")))).drop("ends")
     cells = per.groupBy(by, "cell").agg(F.sum("q").alias("c"))
     before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     per = per.join(cells.select(by, "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("under")), [by, "cell"])

@@ -109,7 +109,9 @@ def wrapped_sum(column: str) -> Column:
 def masked(sums: DataFrame, clients: int, *keys: str, scale: float = 1e6, seed: int = 42) -> DataFrame:
     """(client_id, *keys, m): fixed-point values under masks that cancel over all clients 0..clients-1.
 
-    Every client must have every key, or its masks stay in the sum; see masked_sum.
+    Every client must have every key, or its masks stay in the sum; see masked_sum. All masks follow from `seed`: they hide
+    nothing from who knows it, so outside tests give one that is secret. operators.shares has secrets by pair, and sums
+    that survive a missing client.
     """
     value = F.round(F.col("v") * scale).cast("long")
     low, high = value.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(value, HALF)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.operators import clustered, clusters, gradients, layers, minibatch, shares
+from meshloom.operators import clustered, clusters, gradients, layers, metrics, minibatch, shares
 
 
 def log_softmax(z):
@@ -221,3 +221,13 @@ def test_shares_of_any_three_give_the_seed_and_field_inverses_hold(spark):
         assert back.join(seeds, ["a", "b", "part", "v"]).count() == seeds.count() == 20
     one = spark.createDataFrame([(v,) for v in (1, 2, 3, 65537, shares.PRIME - 1)], "v long")
     assert {r[0] for r in one.select(shares.times(F.col("v"), shares.inverse(F.col("v")))).collect()} == {1}
+
+
+def test_auroc_with_ties_and_an_outlier(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(round(rng.normal(), 1 + g)), int(rng.random() < 0.4)) for g in range(2) for _ in range(400)] + [(0, 1e12, 0), (0, -1e12, 1), (2, 0.5, 1)]
+    got = {r["g"]: r["auroc"] for r in metrics.auroc(spark.createDataFrame(rows, "g int, score double, y int"), "g").collect()}
+    for g in range(2):
+        up, down = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
+        assert got[g] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in up for b in down]))
+    assert got[2] is None
