@@ -45,7 +45,7 @@ class DigestIndex:
         """Takes the index out of the session's catalog; its files stay, and results that were handed out stay valid."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_id: str | None = None) -> DataFrame:
         """Deduplicate docs against the index and among themselves, append what is new, and return a row per document.
 
         Of equal new texts, the one with the most code points, then the smallest id (null last) stays. A digest that an
@@ -54,6 +54,10 @@ class DigestIndex:
         all of them are kept or dropped together. Texts of any length are digested whole where they are read; only digests
         move. Other columns are ignored, whatever their names; an empty input gives an empty result and appends nothing.
 
+        A batch_id names the batch: if a job that fails after its append is run again with the same id and documents,
+        the digests that it appended are its own, so nothing is appended twice and the result is that of one run. Without
+        one each call is a batch of its own.
+
         Columns: doc_id, keep_id, group_size, kept, text_sha256.
         """
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -67,7 +71,7 @@ class DigestIndex:
         best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i")))
         batch = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
         batch = batch.select("digest", F.col("best.i").alias("keep_id"), (-F.col("best.c")).alias("keep_chars"), F.col("n").alias("members"))
-        name = uuid.uuid4().hex
+        name = batch_id or uuid.uuid4().hex
         new = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(name))
         new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meshloom.llm import license_rules, license_scan, periodic_runs, token_alignment, tokens
+from meshloom.llm import common, exact_dedup, license_rules, license_scan, periodic_runs, token_alignment, tokens
 
 SCHEMA = "doc_id long, text string, n_words string, runs string, collapsed int, detections int, bucket int, chunk string"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a a a a a a a a b"), (4, "a a a a a a a a b"), (None, "x y x y x y x y x y"), (5, "Same text"), (6, "<|endoftext|> <s> é 中文字 ﬁ \x00 <0x0A>"), (7, "a▁b c"), (8, "w" * 30000), (9, " ".join(f"w{i % 7}" for i in range(20000))), (10, "  a   b \n \n c\x1cd  "), (20, "Under the MIT License; CC BY-NC 4.0. Apache License, Version 2.0 cc by nc")]
@@ -249,3 +249,12 @@ def test_long_white_space_is_encoded_as_the_library_does():
         assert np.frombuffer(tokens.id_encoder(path)(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
         head, *rest = tokens.units(text)
         assert " ".join([head, *rest]) == text
+
+
+def test_a_batch_that_is_run_again_gives_the_same(spark, odd):
+    index = exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"))
+    first = sorted(map(str, index.ingest(odd, batch_id="monday").collect()))
+    n = index.rows().count()
+    assert sorted(map(str, index.ingest(odd, batch_id="monday").collect())) == first and index.rows().count() == n
+    assert not any(r["kept"] for r in index.ingest(odd, batch_id="tuesday").collect()) and index.rows().count() == n
+    index.close()
