@@ -19,16 +19,23 @@ SAGE_SHAPES = [(f"conv0.{side}", WIDTH, HIDDEN) for side in ("neighbours", "self
 GIN_SHAPES = [("pre", 2, GIN_HIDDEN), ("conv0.0", GIN_HIDDEN, GIN_HIDDEN), ("conv0.1", GIN_HIDDEN, GIN_HIDDEN), ("post", GIN_HIDDEN, GIN_HIDDEN), ("readout", GIN_HIDDEN, 3)]
 
 
+def _reset_clients(spark, sf_dir):
+    """A model for each client that owns nodes, drawn anew by hash: the same numbers for all, as after a reset."""
+    clients = T.owners(spark, sf_dir).select("client_id").distinct()
+    # a model is two rows
+    return clients.join(F.broadcast(layers.initial_weights(spark, NODE_SHAPES)))
+
+
 def initial_weights(spark, sf_dir):
-    """A two-layer model as drawn by hash, in long form."""
-    return training.to_params(layers.initial_weights(spark, NODE_SHAPES), ()).withColumn("v", r6("v"))
+    """Each client's two-layer model as drawn by hash, in long form."""
+    return training.to_params(_reset_clients(spark, sf_dir)).withColumn("v", r6("v"))
 
 
 def weights_round_trip(spark, sf_dir):
-    """A model from its long form: the sum of each layer's matrix and its sides."""
-    w = training.from_params(training.to_params(layers.initial_weights(spark, NODE_SHAPES), ()), ())
+    """Each client's model from its long form: the sum of each layer's matrix and its sides."""
+    w = training.from_params(training.to_params(_reset_clients(spark, sf_dir)))
     total = F.aggregate(F.flatten("w"), F.lit(0.0), lambda s, v: s + v)
-    return w.select("layer", F.size("w").alias("outputs"), F.size(F.col("w")[0]).alias("inputs"), r4(total).alias("total"))
+    return w.select("client_id", "layer", F.size("w").alias("outputs"), F.size(F.col("w")[0]).alias("inputs"), r4(total).alias("total"))
 
 
 def gcn_layer(spark, sf_dir):
@@ -176,6 +183,8 @@ def _w(name: str, layer: str, inputs: int, outputs: int) -> str:
 
 
 _H = cte("nodes", "xl", "edges") + ", h AS (SELECT src, dst FROM edges UNION ALL SELECT vec_id, vec_id FROM embeddings), d AS (SELECT src AS node_id, count(*)::DOUBLE AS d FROM h GROUP BY 1)"
+#: The clients that own nodes.
+_C = "c AS (SELECT DISTINCT (vec_id % 5)::INT AS client_id FROM embeddings)"
 _W0, _W1 = _w("w0", "conv0", WIDTH, HIDDEN), _w("w1", "conv1", HIDDEN, CLASSES)
 
 
@@ -235,8 +244,8 @@ def _warp(seq: str) -> str:
 
 
 ORACLE = {
-    "initial_weights": f"WITH {_W0}, {_W1} SELECT 'conv0.weight' AS name, j * {WIDTH} + i AS pos, round(w, 6) AS v FROM w0 UNION ALL SELECT 'conv1.weight', j * {HIDDEN} + i, round(w, 6) FROM w1 UNION ALL SELECT 'conv0.bias', p, 0.0 FROM range({HIDDEN}) t(p) UNION ALL SELECT 'conv1.bias', p, 0.0 FROM range({CLASSES}) t(p)",
-    "weights_round_trip": f"WITH {_W0}, {_W1} SELECT 'conv0' AS layer, {HIDDEN}::INT AS outputs, {WIDTH}::INT AS inputs, round(sum(w), 4) + 0.0 AS total FROM w0 UNION ALL SELECT 'conv1', {CLASSES}, {HIDDEN}, round(sum(w), 4) + 0.0 FROM w1",
+    "initial_weights": f"WITH {_C}, {_W0}, {_W1} SELECT client_id, name, pos, v FROM c CROSS JOIN (SELECT 'conv0.weight' AS name, j * {WIDTH} + i AS pos, round(w, 6) AS v FROM w0 UNION ALL SELECT 'conv1.weight', j * {HIDDEN} + i, round(w, 6) FROM w1 UNION ALL SELECT 'conv0.bias', p, 0.0 FROM range({HIDDEN}) t(p) UNION ALL SELECT 'conv1.bias', p, 0.0 FROM range({CLASSES}) t(p))",
+    "weights_round_trip": f"WITH {_C}, {_W0}, {_W1} SELECT client_id, layer, outputs, inputs, total FROM c CROSS JOIN (SELECT 'conv0' AS layer, {HIDDEN}::INT AS outputs, {WIDTH}::INT AS inputs, round(sum(w), 4) + 0.0 AS total FROM w0 UNION ALL SELECT 'conv1', {CLASSES}, {HIDDEN}, round(sum(w), 4) + 0.0 FROM w1)",
     "gcn_layer": f"{_H}, {_W0}, {_conv('c', 'xl', 'w0')} SELECT node_id, dim::INT AS dim, round(v, 4) + 0.0 AS v FROM c",
     "gcn_forward": f"{_H}, {_W0}, {_W1}, {_conv('c', 'xl', 'w0')}, r {_RELU} c), {_conv('z', 'r', 'w1')} " + _log_softmax("z"),
     "aggregated_forward": f"{_H}, {_W0}, {_W1}, g AS (SELECT h.src AS node_id, dim, sum(v) / any_value(d) AS v FROM h JOIN xl ON h.dst = xl.node_id JOIN d ON d.node_id = h.src GROUP BY h.src, dim), r AS (SELECT node_id, j AS dim, greatest(sum(v * w), 0) AS v FROM g JOIN w0 ON i = dim GROUP BY ALL), {_conv('z', 'r', 'w1')} " + _log_softmax("z"),

@@ -76,16 +76,22 @@ def param_stats(spark, sf_dir):
     return s.select("client_id", "name", *[r4(c).alias(c) for c in ("v_min", "v_max", "v_mean", "v_std")], "non_zero")
 
 
+def _clients_and_rounds(spark, sf_dir):
+    """Each client that owns nodes with each round; years of orders are the rounds, numbered from 0. Both lists are short."""
+    clients = T.owners(spark, sf_dir).select("client_id").distinct()
+    years = T.load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    rounds = years.select((F.col("year") - 1992).alias("epoch"))
+    return clients.join(rounds)
+
+
 def uniform_client_sampling(spark, sf_dir):
-    clients = spark.range(CLIENTS).withColumnRenamed("id", "client_id")
-    rounds = spark.range(10).withColumnRenamed("id", "epoch")
-    # clients and rounds are two short lists
-    return federate.uniform_sample(clients.join(F.broadcast(rounds)), CLIENTS, 2, F.col("epoch"))
+    """Two clients a round, in turn, out of those that own nodes."""
+    return federate.uniform_sample(_clients_and_rounds(spark, sf_dir), CLIENTS, 2, F.col("epoch"))
 
 
 def random_client_sampling(spark, sf_dir):
-    """The two clients of each of ten rounds with the least hashes."""
-    both = spark.range(CLIENTS).withColumnRenamed("id", "client_id").join(F.broadcast(spark.range(10).withColumnRenamed("id", "epoch")))
+    """The two clients of each round with the least hashes, out of those that own nodes."""
+    both = _clients_and_rounds(spark, sf_dir)
     drawn = both.groupBy("epoch").agg(F.slice(F.sort_array(F.collect_list(F.struct(unit("client_id", "epoch").alias("u"), "client_id"))), 1, 2).alias("c"))
     return drawn.select("epoch", F.explode("c.client_id").alias("client_id"))
 
@@ -147,8 +153,8 @@ ORACLE = {
     "pairwise_cosine": _P + _C + ", q AS (SELECT client_id, sqrt(sum(v * v)) AS x FROM ch GROUP BY 1), d AS (SELECT a.client_id AS a, b.client_id AS b, sum(a.v * b.v) AS dot FROM ch a JOIN ch b USING (name, pos) GROUP BY ALL) SELECT a, b, round(1 + dot / greatest(x.x * y.x, 1e-12), 4) + 0.0 AS similarity FROM d JOIN q x ON x.client_id = a JOIN q y ON y.client_id = b",
     "prox_term": _P + ", g AS (SELECT name, pos, sum(v) / 5 AS r FROM params GROUP BY ALL), l AS (SELECT client_id, name, sqrt(sum((v - r) * (v - r))) AS x FROM params JOIN g USING (name, pos) GROUP BY ALL) SELECT client_id, round(sum(x) * 0.005::DOUBLE, 4) AS prox FROM l GROUP BY 1",
     "param_stats": _P + " SELECT client_id, name, round(min(v), 4) AS v_min, round(max(v), 4) AS v_max, round(avg(v), 4) AS v_mean, round(stddev_samp(v), 4) AS v_std, count(*) FILTER (v <> 0) AS non_zero FROM params GROUP BY ALL",
-    "uniform_client_sampling": "SELECT c AS client_id, e AS epoch FROM range(5) a(c), range(10) b(e) WHERE ((c - 2 * e) % 5 + 5) % 5 < 2",
-    "random_client_sampling": f"SELECT epoch, client_id FROM (SELECT c AS client_id, e AS epoch, row_number() OVER (PARTITION BY e ORDER BY {sql_hash('c', 'e')}, c) AS r FROM range(5) a(c), range(10) b(e)) WHERE r <= 2",
+    "uniform_client_sampling": "WITH c AS (SELECT DISTINCT (vec_id % 5)::INT AS client_id FROM embeddings), e AS (SELECT DISTINCT (year(o_orderdate) - 1992)::INT AS epoch FROM orders) SELECT client_id, epoch FROM c, e WHERE ((client_id - 2 * epoch) % 5 + 5) % 5 < 2",
+    "random_client_sampling": f"WITH c AS (SELECT DISTINCT (vec_id % 5)::INT AS client_id FROM embeddings), e AS (SELECT DISTINCT (year(o_orderdate) - 1992)::INT AS epoch FROM orders) SELECT epoch, client_id FROM (SELECT client_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY {sql_hash('client_id', 'epoch')}, client_id) AS r FROM c, e) WHERE r <= 2",
     "gcfl_split_predicate": "WITH p AS (SELECT year(o_orderdate) AS yr, c_nationkey, avg(o_totalprice / 1e6) AS u FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), o AS (SELECT yr, abs(avg(u - 0.25)) AS mean_norm, max(abs(u - 0.25)) AS max_norm, count(*) AS size FROM p GROUP BY 1) SELECT yr::INT AS yr, size, mean_norm < 0.05 AND max_norm > 0.1 AND size > 2 AND yr - 1974 > 20 AS split FROM o",
     "scale_aligned_mean": _P + ", q AS (SELECT *, CASE WHEN client_id % 2 = 0 THEN 100.0 ELSE 1000.0 END::DOUBLE AS scale FROM params), t AS (SELECT name, max(scale) AS big FROM q GROUP BY 1) SELECT name, pos, round(avg(v * scale * big / scale) / any_value(big), 6) + 0.0 AS value, any_value(big) AS scale FROM q JOIN t USING (name) GROUP BY ALL",
     "param_scale": _P + " SELECT client_id, name, CASE WHEN max(abs(v)) < 1e-3 THEN 1000.0 ELSE 100.0 END::DOUBLE AS scale FROM params GROUP BY ALL",

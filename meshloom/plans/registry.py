@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("q_graph", "q_partition", "q_params", "q_links", "q_private", "q_models", "q_gradients", "q_shares", "q_reports")
+MODULES = ("q_graph", "q_partition", "q_params", "q_links", "q_private", "q_models", "q_gradients", "q_shares", "q_kept", "q_reports")
 
 
 def _modules():
