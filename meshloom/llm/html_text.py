@@ -5,7 +5,8 @@ body's share of link text. A node's score is the sum of its children's densities
 on the path from the body to the densest-scoring node. The tree is walked from the top through branches that reach the
 threshold; in each the subtree with the largest sum of densities is content (after Sun, Song and Liao, 2011). Density
 grows with a part's size, so a title or a short section beside a long one stays below the threshold; a branch is also
-walked if no larger a share of its text lies in links than of the best subtree's.
+walked if no larger a share of its text lies in links than of the best subtree's and its structure says that it goes on
+with it: headings, running text, and parts that repeat the tag (of a div: the class too) of what holds the content.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ KINDS = {"item": ("li", "ul ol menu"), "term": ("dt dd", "dl"), "row": ("tr", "t
 ENDS = {tag: kind for kind, (ends, _) in KINDS.items() for tag in ends.split()}
 KINDS_OF = {tag: tuple(k for k, sides in KINDS.items() if tag in " ".join(sides).split()) for sides in KINDS.values() for tag in " ".join(sides).split()}
 #: Words in class, id or role that mark what stands beside an article: parts of a name cut at - and _ and case.
-BESIDE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices notification pagination popup promo promotion promoted recommended related respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split())
+BESIDE_WORDS = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies discussion disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices notification pagination popup promo promotion promoted recommended related respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget".split())
 #: Of these, words that an article may also be about: inside the content they count only for short or linked text.
-TOPICS = frozenset("banner consent cookie cookies menu navigation notice notices notification popup promotion recommended related replies respond search share sharing skip social subscription toc widget".split())
+TOPICS = frozenset("banner consent cookie cookies discussion menu navigation notice notices notification popup promotion recommended related replies respond search share sharing skip social subscription toc widget".split())
 #: Words that say nothing of what a part holds, beside which a word of BESIDE_WORDS is the whole name.
-PLAIN_WORDS = frozenset("area article bar block body bottom box btn button buttons col column container content global group header holder icon icons inner item items left link links list main middle module outer page panel post primary region right row secondary section site slot text top unit wrap wrapper".split())
+PLAIN_WORDS = frozenset("area article bar block body bottom box btn button buttons col column container content global group header holder icon icons inner item items left link links list main middle module outer page panel post primary reader readers region right row secondary section site slot text thread threads top unit user users visitor visitors wrap wrapper".split())
+#: Elements that hold a run of text or a heading, not a part of the page.
+TEXT_TAGS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tbody thead tr td th caption figure figcaption center".split())
 #: Text of more characters than this is not short.
 SHORT = 200
 
@@ -61,10 +64,10 @@ class Node:
     skip is NO, MAYBE (left out unless it stands inside the content) or YES.
     """
 
-    __slots__ = ("tag", "parent", "parts", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "skip", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", skip: int) -> None:
-        self.tag, self.parent, self.skip, self.parts = tag, parent, skip, []
+        self.tag, self.parent, self.skip, self.parts, self.names = tag, parent, skip, [], ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -152,6 +155,8 @@ def parse(page: str) -> Node:
         if (kind := ENDS.get(tag)) and stacks.get(kind) and ENDS.get(stacks[kind][-1].tag) == kind:
             at = closed(at, stacks[kind][-1])
         child = Node(tag, at, _beside(tag, attributes, at))
+        if attributes and tag not in TEXT_TAGS:
+            child.names = " ".join(sorted(v.strip("\"'") for n, v in ATTRIBUTE.findall(attributes) if n.lower() == "class"))
         at.parts.append(child)
         # a slash ends an element unless it belongs to a bare value
         if tag not in VOID and not re.search(r"(?:^|[\s\"'])/$", attributes):
@@ -229,14 +234,22 @@ def score(root: Node) -> list[Node]:
     return nodes
 
 
+def _goes_on(part: Node, best: Node, shapes: set[tuple[str, str]]) -> bool:
+    """Whether a part below the threshold belongs to the content: no more links than the best subtree has, and text by its
+    element, or of the shape of an element that holds the content."""
+    if part.link_chars * best.chars > best.link_chars * part.chars:
+        return False
+    return part.tag in TEXT_TAGS or (part.tag, part.names) in shapes
+
+
 def content(page: str) -> tuple[Node, set[int]] | None:
     """The root and the ids of the nodes under it that are no content; None if the page has no text.
 
     The threshold is the least density on the path from the body to the node with the largest density sum. From the root,
-    a branch that neither reaches it nor is as free of links as that node is dropped. In each other branch the largest-sum
-    subtree is marked: nothing is dropped inside it. What else the branch has is judged in the same way. Inside the best
-    subtree a MAYBE stays if its text isn't mostly links and, unless an article or main element says that all of it is
-    content, isn't short.
+    a branch that neither reaches it nor goes on with the content (see _goes_on) is dropped. In each other branch the
+    largest-sum subtree is marked: nothing is dropped inside it. What else the branch has is judged in the same way. Inside
+    the best subtree a MAYBE stays if its text isn't mostly links and it is a run of text or a heading; another part also
+    if an article or main element says that all of it is content or it isn't short.
     """
     root = parse(page)
     chars, links = settle_names(root)
@@ -244,7 +257,8 @@ def content(page: str) -> tuple[Node, set[int]] | None:
     body = next((n for n in nodes if n.tag == "body"), root)
     if not root.chars:
         return None
-    best = max(nodes, key=lambda n: (n.total, n.chars))
+    # of equal sums the deeper node's
+    best = max(reversed(nodes), key=lambda n: (n.total, n.chars))
     path, node = [best], best
     while node is not body and node.parent is not None:
         node = node.parent
@@ -255,6 +269,7 @@ def content(page: str) -> tuple[Node, set[int]] | None:
     while node is not None:
         above.add(id(node))
         node = node.parent
+    shapes = {(n.tag, n.names) for n in path if n is not body and (n.tag != "div" or n.names)}
     # the largest-sum node of each subtree (a node without elements counts by its own density), and who holds a block
     top: dict[int, Node] = {}
     holds: set[int] = set()
@@ -276,7 +291,7 @@ def content(page: str) -> tuple[Node, set[int]] | None:
     while todo:
         for part in todo.pop().parts:
             if isinstance(part, Node):
-                if part.skip == MAYBE and 2 * links[id(part)] <= chars[id(part)] and (sure or chars[id(part)] > SHORT):
+                if part.skip == MAYBE and 2 * links[id(part)] <= chars[id(part)] and (sure or part.tag in TEXT_TAGS or chars[id(part)] > SHORT):
                     part.skip = NO
                 if part.skip == NO:
                     todo.append(part)
@@ -309,7 +324,7 @@ def content(page: str) -> tuple[Node, set[int]] | None:
                 run, text = [], 0
                 if part is None or not part.chars:
                     continue
-                if id(part) in above or part.density >= threshold or part.link_chars * best.chars <= best.link_chars * part.chars:
+                if id(part) in above or part.density >= threshold or _goes_on(part, best, shapes):
                     todo.append(part)
                 elif id(part) not in marked:
                     dropped.add(id(part))

@@ -82,3 +82,40 @@ def test_clashing_columns_give_way(spark):
     df = spark.createDataFrame([(1, "<p>a b", "t", 5, "x")], "page_id long, html string, text string, n_chars int, _html string")
     out = html_text.add_main_text(df, keep=("page_id", "html", "text", "n_chars", "_html"))
     assert out.columns == ["page_id", "html", "_html", "text", "n_chars"] and tuple(out.first()) == (1, "<p>a b", "x", "a b", 3)
+
+
+def _short(page):
+    return html_text.extract_text(page).replace(PROSE.strip(), "PROSE").split("\n\n")
+
+
+def test_readers_entries_go_wherever_they_stand():
+    entries = "<p>First!</p><p>Nice text, I liked the part on words.</p>"
+    assert _short(f"<body><article><h1>T</h1><p>{PROSE}</p><section class='user-comments'>{entries}</section></article></body>") == ["T", "PROSE"]
+    assert _short(f"<body><div id=main><p>{PROSE}</p><p>{PROSE}</p></div><div class='discussion'>{entries}<p>{PROSE}</p></div></body>") == ["PROSE", "PROSE"]
+
+
+def test_a_paragraph_of_the_content_stays_whatever_its_class():
+    odd = "<p class='ad-hoc'>Ad hoc networks are nice.</p>"
+    assert _short(f"<body><div id=main><p>{PROSE}</p>{odd}<p>{PROSE}</p></div></body>") == ["PROSE", "Ad hoc networks are nice.", "PROSE"]
+    assert _short(f"<body><article><p>{PROSE}</p>{odd}</article></body>") == ["PROSE", "Ad hoc networks are nice."]
+
+
+def test_unnamed_parts_beside_the_content_go_by_density():
+    side = "<div><p>About us</p><p>We write texts.</p></div>"
+    page = f"<body><div class=content><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>{side}<div>Copyright 2024 by us</div></body>"
+    assert _short(page) == ["PROSE"] * 3
+    assert _short(page.replace("div class=content", "div")) == ["PROSE"] * 3
+
+
+def test_headings_and_repeated_parts_beside_the_densest_stay():
+    long, part = f"<section><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></section>", "<section><h2>More</h2><p>Short.</p></section>"
+    assert _short(f"<body><h1>T</h1>{long}{part}</body>") == ["T", "PROSE", "PROSE", "PROSE", "More", "Short."]
+    div = f"<div class=part><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div class=part><p>Short.</p></div><div class=else><p>Aside.</p></div>"
+    assert _short(f"<body>{div}</body>") == ["PROSE", "PROSE", "PROSE", "Short."]
+
+
+def test_density_finds_the_article_without_the_class_words(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    with_words = [html_text.extract_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "BESIDE_WORDS", frozenset())
+    assert 10 * sum(a != html_text.extract_text(p) for a, p in zip(with_words, pages)) <= len(pages)
