@@ -13,6 +13,7 @@ from meshloom.session import shared_folder
 from meshloom.sources import tables as T
 from meshloom.sources.id_map import IdMap
 from meshloom.sources.tables import cte
+from meshloom.streaming import keyed
 
 #: Batches that the events arrive in; the first window's days, how many windows there are.
 BATCHES, FROM, UPTO, WINDOWS = 3, date(1998, 6, 1), date(1998, 7, 1), 10
@@ -62,13 +63,35 @@ def range_top_value(spark, sf_dir):
     return factors.where("side = 's'").select("client_id", r4("v").alias("s"))
 
 
-QUERIES = {f.__name__: f for f in (extended_id_map, advanced_slices, range_round_trip, range_top_value)}
+def keyed_tests(spark, sf_dir):
+    """Users' vectors learned from a stream of events that comes in three parts, each scored before it is learned from; features are whole.
+
+    The stream ends after each part and is taken up again from its state when the next has come.
+    """
+    events = T.load(spark, sf_dir, "events").select("event_id", "user_id", F.array(F.lit(1.0), F.coalesce(F.floor("value"), F.lit(0)).cast("double")).alias("x"))
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - (low or 0)) * BATCHES / ((high or 0) - (low or 0) + 1))
+    name = f"keyed-tests-{uuid.uuid4().hex}"
+    source, run = f"{shared_folder(spark)}/{name}/source", keyed.KeyedRun(spark, name)
+    for k in range(BATCHES):
+        events.where(part == k).drop("event_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.drop("event_id").schema).parquet(source)
+        run.upto_now(keyed.keyed_tests(stream, "user_id", 2))
+    return run.tests().select("user_id", "n", "seen", "score")
+
+
+QUERIES = {f.__name__: f for f in (extended_id_map, advanced_slices, range_round_trip, range_top_value, keyed_tests)}
 
 _TALL = "WITH RECURSIVE m AS (SELECT (o_custkey % 5)::INT AS client_id, o_custkey AS i, month(o_orderdate)::INT AS j, count(*)::DOUBLE AS v FROM orders GROUP BY ALL)"
 
 ORACLE = {
     "extended_id_map": "SELECT user_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS idx FROM events GROUP BY user_id",
     "advanced_slices": cte("inter") + f", d AS (SELECT DATE '{UPTO}' + t.k::INT - 1 AS last, DATE '{FROM}' + t.k::INT AS first FROM range({WINDOWS}) t(k)) SELECT strftime(last, '%Y-%m-%d') AS day, user_id, count(*) AS degree, count(*)::DOUBLE AS ones, sum(p_size)::DOUBLE AS size FROM d JOIN inter ON ts::DATE BETWEEN first AND last JOIN part ON p_partkey = item_id GROUP BY ALL",
+    "keyed_tests": f"""WITH b AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
+ e AS (SELECT user_id, floor((event_id - low) * {BATCHES} / (high - low + 1)) AS part, coalesce(floor(value), 0)::DOUBLE AS v FROM events, b),
+ p AS (SELECT user_id, part, count(*) AS n, sum(v) AS s FROM e GROUP BY ALL),
+ w AS (SELECT *, coalesce(sum(n) OVER before, 0)::BIGINT AS seen, coalesce(sum(s) OVER before, 0) AS learned FROM p WINDOW before AS (PARTITION BY user_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT user_id, n, seen, n * seen + s * learned AS score FROM w""",
     "range_round_trip": _TALL + " SELECT client_id, i, j::BIGINT AS j, v FROM m",
     # power steps on the twelve-sided Gram matrix, whose entries are all positive
     "range_top_value": _TALL + """, g AS (SELECT a.client_id, a.j, b.j AS l, sum(a.v * b.v) AS v FROM m a JOIN m b USING (client_id, i) GROUP BY ALL),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from meshloom.operators import range_finder, slices
 from meshloom.sources.id_map import IdMap
+from meshloom.streaming import keyed
 
 
 def _entries(spark, matrices):
@@ -86,3 +87,19 @@ def test_a_window_opens_only_the_months_that_it_needs(spark, tmp_path):
     some = slices.days_of(spark, str(tmp_path / "e"), date(2024, 2, 10), date(2024, 3, 2))
     assert some.count() == 2 and {f.split("month=")[1][:7] for f in some.inputFiles()} >= {"2024-02", "2024-03"}
     assert "PartitionFilters: [isnotnull(month" in some._jdf.queryExecution().explainString(some.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_keyed_stream_taken_up_again_gives_what_a_batch_run_gives(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    parts = [[(None if k == 3 else int(k), [1.0, float(v)] if v else None) for k, v in zip(rng.integers(0, 4, 30), rng.integers(0, 5, 30))] for _ in range(3)]
+    run, ddl = keyed.KeyedRun(spark, f"test-{tmp_path.name}"), "k long, x array<double>"
+    want, vectors, counts = [], {}, {}
+    for rows in parts:
+        spark.createDataFrame(rows, ddl).write.mode("append").parquet(str(tmp_path / "in"))
+        run.upto_now(keyed.keyed_tests(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), "k", 2, rate=0.5))
+        for key in {k for k, x in rows if x}:
+            some = np.array([x for k, x in rows if k == key and x])
+            want.append((key, len(some), float((some @ vectors.get(key, np.zeros(2))).sum()), counts.get(key, 0)))
+            vectors[key], counts[key] = vectors.get(key, np.zeros(2)) + 0.5 * some.sum(0), counts.get(key, 0) + len(some)
+    got = [(None if r["k"] is None else int(r["k"]), r["n"], r["score"], r["seen"]) for r in run.tests().collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
