@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import bce_with_logits, dot, relu, scaled, vector_sum
 from meshloom.operators.graph import degrees, hop_sum
+from meshloom.operators.graph_blocks import LARGE, block_gradients, graph_blocks
 from meshloom.operators.layers import add_pool, linear, plus, with_layer
-from meshloom.operators.training import outer_sums, softmax_error
+from meshloom.operators.training import from_params, outer_sums, softmax_error, to_params
 from meshloom.session import durable
 
 
@@ -38,13 +39,31 @@ def dense_gradient(rows: DataFrame, layer: str, error: str, value: str, outputs:
     return joined.select(*by, F.lit(layer).alias("layer"), "w", "b")
 
 
-def gin_gradients(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, weights: DataFrame, widths: tuple[int, int, int], layers: int = 1, by: Sequence[str] = ("client_id",)) -> DataFrame:
+def gin_gradients(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, weights: DataFrame, widths: tuple[int, int, int], layers: int = 1, by: Sequence[str] = ("client_id",), blocks: DataFrame | None = None, large: int = LARGE) -> DataFrame:
     """Gradients (*by, layer, w, b) of a GIN by the mean negative log-likelihood of each model's graphs.
 
     graphs(*by, graph_id, y), nodes(*by, graph_id, node_id, x), edges(*by, graph_id, src, dst) both ways; widths are those
     of features, hidden layers and classes. The model is that of layers.gin: pre, conv0.0, conv0.1, ..., post, readout.
-    A graph without nodes has no part in it.
+    A graph without nodes has no part in it. blocks are those of graph_blocks of the same tables, if they are kept.
     """
+    blocks = graph_blocks(nodes, edges, graphs, by, large) if blocks is None else blocks
+    sums = durable(block_gradients(blocks, weights, layers, by))
+    apart = sums.where("large IS NOT NULL").select(*by, F.col("large").alias("graph_id"))
+    sums = sums.where("large IS NULL").select(*by, "name", "pos", "v")
+    if not apart.isEmpty():
+        of_graph = [*by, "graph_id"]
+        theirs = [df.join(F.broadcast(apart), of_graph, "left_semi") for df in (graphs, nodes, edges)]  # few: each has LARGE rows
+        n = durable(theirs[0].join(theirs[1].select(*of_graph).distinct(), of_graph, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")))
+        mean = to_params(gin_gradients_by_joins(*theirs, weights, widths, layers, by), by)
+        more = _with(mean, n, by).select(*by, "name", "pos", (F.col("v") * F.col("n")).alias("v"))
+        more = more.unionByName(n.select(*by, F.lit("").alias("name"), F.lit(0).cast("long").alias("pos"), F.col("n").alias("v")))
+        sums = durable(sums.unionByName(more).groupBy(*by, "name", "pos").agg(F.sum("v").alias("v")))
+    n = sums.where("name = ''").select(*by, F.col("v").alias("n"))
+    return from_params(_with(sums.where("name <> ''"), n, by).select(*by, "name", "pos", (F.col("v") / F.col("n")).alias("v")), by)
+
+
+def gin_gradients_by_joins(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, weights: DataFrame, widths: tuple[int, int, int], layers: int = 1, by: Sequence[str] = ("client_id",)) -> DataFrame:
+    """The same for graphs of any size, by joins: no graph is in one task."""
     features, hidden, classes = widths
     of_graph, of_node = [*by, "graph_id"], [*by, "graph_id", "node_id"]
     out = linear(F.col("x"), F.col("w"))

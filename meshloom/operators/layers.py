@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import dot, log_softmax, relu, unit, vector_sum
 from meshloom.operators.graph import degrees, hop_sum
+from meshloom.operators.graph_blocks import LARGE, block_scores, graph_blocks
+from meshloom.session import durable
 
 #: (layer, inputs, outputs)
 Shape = tuple[str, int, int]
@@ -142,11 +144,23 @@ def sage(nodes: DataFrame, edges: DataFrame, weights: DataFrame, widths: Sequenc
     return _stack(sage_layer, nodes, edges, weights, widths, by, share, False)
 
 
-def gin(nodes: DataFrame, edges: DataFrame, weights: DataFrame, hidden: int, layers: int, by: Sequence[str] = ("graph_id",), model_by: Sequence[str] = ()) -> DataFrame:
+def gin(nodes: DataFrame, edges: DataFrame, weights: DataFrame, hidden: int, layers: int, by: Sequence[str] = ("graph_id",), model_by: Sequence[str] = (), blocks: DataFrame | None = None, large: int = LARGE) -> DataFrame:
     """Log-probabilities per graph: a dense layer, GIN layers with ReLU, the sum over nodes, a dense ReLU, the readout.
 
-    by names the graph; model_by, a part of it, the client whose model it is.
+    by names the graph: graph_id, after the client whose model it is, model_by. blocks are those of graph_blocks of the
+    same tables, if they are kept.
     """
+    blocks = graph_blocks(nodes, edges, None, model_by, large) if blocks is None else blocks
+    found = durable(block_scores(blocks, weights, layers, model_by))
+    scores, apart = found.where("x IS NOT NULL").select(*by, "x"), found.where("x IS NULL").select(*by)
+    if apart.isEmpty():
+        return scores
+    theirs = [df.join(F.broadcast(apart), list(by), "left_semi") for df in (nodes, edges)]  # few: each has LARGE rows
+    return scores.unionByName(gin_by_joins(*theirs, weights, hidden, layers, by, model_by).select(*by, "x"))
+
+
+def gin_by_joins(nodes: DataFrame, edges: DataFrame, weights: DataFrame, hidden: int, layers: int, by: Sequence[str] = ("graph_id",), model_by: Sequence[str] = ()) -> DataFrame:
+    """The same for graphs of any size, by joins: no graph is in one task."""
     x = dense(nodes, weights, "pre", model_by)
     for k in range(layers):
         moved = dense(x, weights, f"conv{k}.0", model_by, bias=False)

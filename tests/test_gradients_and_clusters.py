@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.operators import clustered, clusters, gradients, layers, metrics, minibatch, shares
+from meshloom.operators import clustered, clusters, gradients, layers, metrics, minibatch, shares, training
 
 
 def log_softmax(z):
@@ -231,3 +231,35 @@ def test_auroc_with_ties_and_an_outlier(spark):
         up, down = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
         assert got[g] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in up for b in down]))
     assert got[2] is None
+
+
+def test_gin_blocks_equal_joins(spark):
+    """Blocks of whole graphs and joins agree, with graphs that no block holds and with several models."""
+    rng, shapes = np.random.default_rng(3), [("pre", 2, 3), ("conv0.0", 3, 3), ("conv0.1", 3, 3), ("conv1.0", 3, 3), ("conv1.1", 3, 3), ("post", 3, 3), ("readout", 3, 3)]
+    weights = layers.initial_weights(spark, shapes, 5, 2).withColumn("b", F.transform("b", lambda v, i: 0.05 * (i + 1)))
+    graphs = [(c, g, int((g + c) % 3)) for c in (0, 1) for g in range(12)]
+    nodes = [(c, g, 5 * i, rng.normal(size=2).tolist()) for c, g, _ in graphs for i in range(30 if g == 7 else 2 + g % 4)]
+    edges = {(c, g, i, j) for c, g, i, _ in nodes for d, h, j, _ in nodes if (c, g) == (d, h) and i < j and (i + j) % 3}
+    edges = sorted(edges | {(c, g, j, i) for c, g, i, j in edges} | {(1, 3, 999, 0)})  # 999 is known by an edge only
+    graphs = spark.createDataFrame([*graphs, (0, 99, 1)], "client_id int, graph_id long, y int")  # 99 has no nodes
+    nodes, edges = spark.createDataFrame(nodes, "client_id int, graph_id long, node_id long, x array<double>"), spark.createDataFrame(edges, "client_id int, graph_id long, src long, dst long")
+    by, model = ("client_id", "graph_id"), ("client_id",)
+    flat = lambda df: {(r.client_id, r.name, r.pos): r.v for r in df.collect()}
+    expected = flat(training.to_params(gradients.gin_gradients_by_joins(graphs, nodes, edges, weights, (2, 3, 3), 2)))
+    scores = {(r.client_id, r.graph_id): r.x for r in layers.gin_by_joins(nodes, edges, weights, 3, 2, by, model).collect()}
+    for large in (100, 1 << 21):
+        got = flat(training.to_params(gradients.gin_gradients(graphs, nodes, edges, weights, (2, 3, 3), 2, large=large)))
+        assert got.keys() == expected.keys() and np.allclose([got[k] for k in expected], list(expected.values()))
+        got = {(r.client_id, r.graph_id): r.x for r in layers.gin(nodes, edges, weights, 3, 2, by, model, large=large).collect()}
+        assert got.keys() == scores.keys() and np.allclose([got[k] for k in scores], list(scores.values()))
+
+
+def test_gin_steps_take_few_jobs(spark):
+    """A step over kept blocks plans no join per layer: it had more jobs than this for its layers alone."""
+    from meshloom.operators.graph_blocks import graph_blocks
+
+    weights = layers.initial_weights(spark, [("pre", 2, 3), ("conv0.0", 3, 3), ("conv0.1", 3, 3), ("post", 3, 3), ("readout", 3, 3)])
+    graphs, nodes = spark.createDataFrame([(1, 2)], "graph_id long, y int"), spark.createDataFrame([(1, 1, [1.0, 2.0])], "graph_id long, node_id long, x array<double>")
+    edges = spark.createDataFrame([], "graph_id long, src long, dst long")
+    plan = gradients.gin_gradients(graphs, nodes, edges, weights, (2, 3, 3), by=(), blocks=graph_blocks(nodes, edges, graphs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
