@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import bce_with_logits, hash32, unit
 from meshloom.operators import clustered, federate, gradients, graph, layers, metrics, minibatch, partition, privacy, temporal, training
+from meshloom.operators.graph_blocks import graph_blocks
 from meshloom.operators.lowrank import compressed, decompressed, factor_entries, factor_mean
 from meshloom.session import durable
 from meshloom.sources import tables as T
@@ -222,9 +223,9 @@ def graph_inputs(spark: SparkSession, sf_dir: str, seed: int) -> tuple[DataFrame
     return owned, nodes, ends
 
 
-def graph_metrics(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, params: DataFrame) -> DataFrame:
+def graph_metrics(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, params: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(client_id, split, n, loss, value) of each client's graphs under its own model."""
-    scored = layers.gin(nodes, edges, training.from_params(params), GRAPH_WIDTHS[1], GIN_LAYERS, ("client_id", "graph_id"), ("client_id",))
+    scored = layers.gin(nodes, edges, training.from_params(params), GRAPH_WIDTHS[1], GIN_LAYERS, ("client_id", "graph_id"), ("client_id",), blocks)
     joined = scored.join(graphs, ["client_id", "graph_id"])
     loss, right = -F.element_at("x", F.col("y") + 1), (F.array_position("x", F.array_max("x")) - 1 == F.col("y")).cast("double")
     return joined.groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"), F.avg(right).alias("value"))
@@ -240,15 +241,13 @@ def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     graphs, nodes, edges = graph_inputs(spark, sf_dir, spec.seed)
     features, hidden, classes = GRAPH_WIDTHS
     train = durable(graphs.where("split = 'train'").join(nodes.select("client_id", "graph_id").distinct(), ["client_id", "graph_id"], "left_semi").select("client_id", "graph_id", "y"))
-    of_train = durable(nodes.join(train.select("client_id", "graph_id"), ["client_id", "graph_id"], "left_semi"))
+    blocks, of_train = (durable(graph_blocks(nodes, edges, some, ("client_id",))) for some in (None, train))
     shapes = [("pre", features, hidden), *[(f"conv{k}.{i}", hidden, hidden) for k in range(GIN_LAYERS) for i in (0, 1)], ("post", hidden, hidden), ("readout", hidden, classes)]
     params = durable(training.to_params(layers.initial_weights(spark, shapes, spec.seed, T.CLIENTS)))
     sizes = durable(train.groupBy("client_id").agg(F.count(F.lit(1)).alias("size")))
 
     def gradient(mine: DataFrame) -> DataFrame:
-        own = mine.select("client_id").distinct()
-        some = (df.join(F.broadcast(own), "client_id", "left_semi") for df in (train, of_train))  # clients: a row each
-        return training.to_params(gradients.gin_gradients(*some, edges, training.from_params(mine), GRAPH_WIDTHS, GIN_LAYERS))
+        return training.to_params(gradients.gin_gradients(train, nodes, edges, training.from_params(mine), GRAPH_WIDTHS, GIN_LAYERS, blocks=of_train))
 
     def local(mine: DataFrame, r: int) -> DataFrame:
         start = mine
@@ -264,13 +263,13 @@ def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     if spec.cluster is None:
         frames = []
         for r, params in training.rounds(params, local, sizes, T.CLIENTS, spec.rounds, spec.merge, _sampler(spec, T.CLIENTS)):
-            frames.append(durable(graph_metrics(graphs, nodes, edges, params).withColumn("round", F.lit(r))))
+            frames.append(durable(graph_metrics(graphs, nodes, edges, params, blocks).withColumn("round", F.lit(r))))
         return _collected(frames).select(*columns)
 
-    score = lambda p: graph_metrics(graphs, nodes, edges, p).where("split = 'test'").select("client_id", "value")
+    score = lambda p: graph_metrics(graphs, nodes, edges, p, blocks).where("split = 'test'").select("client_id", "value")
     norms = lambda p, r: federate.norms(gradient(p).where(F.col("name").startswith("conv")), "client_id")
     done = list(clustered.clustered_rounds(params, local, sizes, spec.rounds, spec.cluster, score, norms))
-    frames = [graph_metrics(graphs, nodes, edges, c.params).withColumn("round", F.lit(c.number - 1)).select(*columns) for c in done]
+    frames = [graph_metrics(graphs, nodes, edges, c.params, blocks).withColumn("round", F.lit(c.number - 1)).select(*columns) for c in done]
     best = clustered.best_of_cache(done, score).join(sizes, "client_id")
     frames.append(best.select(F.lit(spec.rounds - 1).alias("round"), F.lit("best").alias("split"), "client_id", F.col("size").alias("n"), F.lit(None).cast("double").alias("loss"), "value"))
     return _collected(frames)
