@@ -95,3 +95,18 @@ def test_sections_in_fallback_order(spark):
 def test_offline_windows_differ_by_method():
     a, b = (temporal.window_bounds(False, m) for m in ("STFL", "4D-FED-GNN+"))
     assert (a[1] - a[0]).days == 19 and (b[1] - b[0]).days == 1 and a[2] == b[2] == 1
+
+
+def test_partitions_grow_with_line_items(spark, sf_dir, monkeypatch):
+    """Line items are dealt to partitions of a bounded size, so that a task's memory does not grow with them."""
+    from meshloom.sources import tables
+
+    assert tables.parts_for(spark, sf_dir, "lineitem") == 1
+    expected = {(r.client_id, r.name, r.pos): (r.v, r.n) for r in tables.params(spark, sf_dir).collect()}
+    monkeypatch.setattr(tables, "PART_ROWS", 300)
+    few = tables.parts_for(spark, sf_dir, "lineitem")
+    assert few == -(-tables.load(spark, sf_dir, "lineitem").count() // 300) > 4
+    for df in (tables.order_graphs(spark, sf_dir)[1], tables.interactions(spark, sf_dir)):
+        assert "REPARTITION_BY_NUM" in (plan := df._jdf.queryExecution().executedPlan().toString()) and f", {few})" in plan
+    got = {(r.client_id, r.name, r.pos): (r.v, r.n) for r in tables.params(spark, sf_dir).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k][0] - v) < 1e-12 and got[k][1] == n for k, (v, n) in expected.items())
