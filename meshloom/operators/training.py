@@ -48,14 +48,39 @@ def softmax_error(scores: Column, y: Column) -> Column:
 
 
 def readout_gradient(rows: DataFrame, weights: DataFrame, layer: str, inputs: int, outputs: int, by: Sequence[str] = ()) -> DataFrame:
-    """rows(*by, x, y) -> gradient(*by, layer, w, b) of the mean negative log-likelihood of a dense softmax layer."""
-    scored = with_layer(rows, weights, layer, by)
-    error = softmax_error(plus(linear(F.col("x"), F.col("w")), F.col("b")), F.col("y"))
-    errors = scored.select(*by, "x", error.alias("e"))
-    total = errors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), vector_sum(F.col("e"), outputs).alias("b"))
-    w = outer_sums(errors, "e", "x", inputs, by)
-    joined = w.join(total, list(by)) if by else w.crossJoin(F.broadcast(total))
-    return joined.select(*by, F.lit(layer).alias("layer"), F.transform("w", lambda r: scaled(r, 1 / F.col("n"))).alias("w"), scaled(F.col("b"), 1 / F.col("n")).alias("b"))
+    """rows(*by, x, y) -> gradient(*by, layer, w, b) of the mean negative log-likelihood of a dense softmax layer.
+
+    A task adds up sums of the model's size over its rows, whose scores are one matrix product a batch; models come to
+    every task whole.
+    """
+    models = {tuple(m[k] for k in by): (np.array(m["w"], float), np.array(m["b"], float)) for m in weights.where(F.col("layer") == layer).select(*by, "w", "b").collect()}
+    schema = T.StructType([*rows.select(*by).schema.fields, T.StructField("name", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("v", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            for key, part in batch.groupby(list(by)) if by else [((), batch)]:
+                if key not in models or not len(part):
+                    continue
+                w, b = models[key]
+                x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
+                scores = x @ w.T + b
+                e = np.exp(scores - scores.max(1, keepdims=True))
+                e /= e.sum(1, keepdims=True)
+                there = np.flatnonzero((y >= 0) & (y < outputs))
+                e[there, y[there].astype(int)] -= 1
+                found = [(e.T @ x).ravel(), e.sum(0), np.array([float(len(part))])]
+                sums[key] = [a + c for a, c in zip(sums[key], found)] if key in sums else found
+        for key, found in sums.items():
+            for name, v in zip((f"{layer}.weight", f"{layer}.bias", ""), found):
+                yield pd.DataFrame({**{k: [u] * len(v) for k, u in zip(by, key)}, "name": name, "pos": np.arange(len(v)), "v": v})
+
+    known = rows.where("x IS NOT NULL").select(*by, "x", F.coalesce("y", F.lit(-1)).alias("y"))
+    total = known.mapInPandas(run, schema).groupBy(*by, "name", "pos").agg(F.sum("v").alias("v"))
+    n = total.where("name = ''").select(*by, F.col("v").alias("n"))
+    total = total.where("name <> ''")
+    mean = total.join(F.broadcast(n), list(by)) if by else total.crossJoin(F.broadcast(n))  # a row per model
+    return from_params(mean.select(*by, "name", "pos", (F.col("v") / F.col("n")).alias("v")), by)
 
 
 def node_gradients(nodes: DataFrame, edges: DataFrame, weights: DataFrame, widths: tuple[int, int, int], by: Sequence[str] = ("client_id",)) -> DataFrame:

@@ -263,3 +263,25 @@ def test_gin_steps_take_few_jobs(spark):
     edges = spark.createDataFrame([], "graph_id long, src long, dst long")
     plan = gradients.gin_gradients(graphs, nodes, edges, weights, (2, 3, 3), by=(), blocks=graph_blocks(nodes, edges, graphs))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_readout_gradient_adds_up_in_batches(spark):
+    """No lambda runs per row and place; a class that is missing or beyond the layer counts in no place."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 3)), [None if i == 5 else i % 4 for i in range(40)]
+    rows = spark.createDataFrame([(i % 2, x[i].tolist(), y[i]) for i in range(40)], "client_id int, x array<double>, y int")
+    got = training.readout_gradient(rows, layers.initial_weights(spark, [("readout", 3, 3)], 5, 2), "readout", 3, 3, ("client_id",))
+    weights = arrays_of(layers.initial_weights(spark, [("readout", 3, 3)], 5, 2), "client_id")
+    partial = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in partial and "log(" not in partial.lower()
+    found = arrays_of(got, "client_id")
+    for c in (0, 1):
+        p = np.exp(x[c::2] @ weights[c, "readout", "w"].T + weights[c, "readout", "b"])
+        e = p / p.sum(1, keepdims=True) - np.array([[v == j for j in range(3)] for v in y[c::2]])
+        assert np.allclose(found[c, "readout", "w"], e.T @ x[c::2] / 20) and np.allclose(found[c, "readout", "b"], e.mean(0))
+
+
+def test_mean_over_clients_scores_once(spark, sf_dir):
+    from meshloom.plans import q_links
+
+    assert "embeddings" not in q_links.mean_over_clients(spark, sf_dir)._jdf.queryExecution().toString()
