@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.scalar import bce_with_logits, dot, epoch_of, hash32, log_softmax
 from meshloom.operators import metrics, temporal
 from meshloom.plans.common import WIDTH, r4, sql_hash
+from meshloom.session import durable
 from meshloom.sources import tables as T
 from meshloom.sources.tables import cte
 
@@ -134,8 +135,8 @@ def hit_rate_subset(spark, sf_dir):
 
 
 def mean_over_clients(spark, sf_dir):
-    a = metrics.auroc(_scores(spark, sf_dir), "client_id")
-    h = metrics.hit_rate(_scores(spark, sf_dir), 2, "client_id")
+    scores = durable(_scores(spark, sf_dir))  # read by both
+    a, h = metrics.auroc(scores, "client_id"), metrics.hit_rate(scores, 2, "client_id")
     return a.join(h, "client_id").agg(r4(F.avg("auroc")).alias("auroc"), r4(F.avg("hit_rate")).alias("hit_rate"))
 
 
