@@ -154,54 +154,53 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         yield from map(tuple, sent)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        """Totals t of all keys that a chunk asked for, and o, without the fold that weights are learned from, of that fold's keys."""
         out = {"chunk": [*rows["chunk"], None], "bucket": [*rows["bucket"], rows["bucket"].iloc[0]]}
         for order in (1, 2, 3):
             asked = [unpack_sorted(blob) for blob in rows[f"k{order}"]]
             every = np.concatenate(asked)
             distinct, at = np.unique(every, return_inverse=True)
             ends = np.cumsum([len(a) for a in asked])[:-1]
-            for what in ("t", "h"):
-                sums = np.bincount(at, weights=np.concatenate([unpack(blob) for blob in rows[f"{what}{order}"]]), minlength=len(distinct)).astype(np.int64)
-                out[f"{what}{order}"] = [pack(part.astype(np.uint32) if part.max(initial=0) < 1 << 32 else part) for part in np.split(sums[at], ends)] + [None]
-                if order == 1:
+            theirs = {what: [unpack(blob) for blob in rows[f"{what}{order}"]] for what in "th"}
+            totals = {what: np.bincount(at, weights=np.concatenate(found), minlength=len(distinct)).astype(np.int64) for what, found in theirs.items()}
+            parts = np.split(totals["t"][at], ends)
+            others = [part[own > 0] for part, own in zip(np.split((totals["t"] - totals["h"])[at], ends), theirs["h"])]
+            for what, found in (("t", parts), ("o", others)):
+                out[f"{what}{order}"] = [pack(part.astype(np.uint32) if part.max(initial=0) < 1 << 32 else part) for part in found] + [None]
+            if order == 1:
+                for what, sums in totals.items():
                     end = distinct == (mix64(np.array([EOS]))[0] >> np.uint64(64 - BITS[0]))
                     seen = (int((sums > 0).sum()), int(sums.sum()), int(sums[end].sum()))
                     out[f"types_{what}"], out[f"total_{what}"], out[f"docs_{what}"] = ([None] * len(rows) + [x] for x in seen)
         return pd.DataFrame(out)
 
-    def lookup(tokens: Tokens, right: pd.DataFrame, whats: str, some: np.ndarray | None = None) -> list[list[np.ndarray]]:
-        """For each of `whats`, the totals by order of the tokens (of those where `some` holds)."""
-        out: list[list[np.ndarray]] = [[] for _ in whats]
+    def lookup(tokens: Tokens, right: pd.DataFrame, what: str) -> list[np.ndarray]:
+        """The totals by order of the tokens; right has those of their distinct keys."""
+        found = []
         for order in (1, 2, 3):
             keys = tokens.keys[order - 1]
-            if some is None:
-                at = np.unique(keys, return_inverse=True)[1].astype(np.int32)
-            else:
-                distinct = np.sort(keys)
-                distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])] if len(keys) else distinct
-                at = np.searchsorted(distinct, keys[some])
-            for what, found in zip(whats, out):
-                parts = {b: unpack(blob) for b, blob in zip(right["bucket"], right[f"{what}{order}"])}
-                found.append(np.concatenate([parts[b] for b in sorted(parts)])[at].astype(np.int64) if len(keys) else np.empty(0, np.int64))
-        return out
+            at = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+            parts = {b: unpack(blob) for b, blob in zip(right["bucket"], right[f"{what}{order}"])}
+            found.append(np.concatenate([parts[b] for b in sorted(parts)])[at].astype(np.int64) if len(keys) else np.empty(0, np.int64))
+        return found
 
     def only_fold(chunk: Chunk) -> Iterator[tuple]:
-        yield chunk.key, pack(np.array([fold_of(i) for i in chunk.ids], np.int64)), pack_texts(chunk.raw)
+        yield chunk.key, pack_texts([t for i, t in zip(chunk.ids, chunk.raw) if fold_of(i) == DELETED])
 
     ask_ddl = "bucket int, chunk string, " + ", ".join(f"k{o} binary, t{o} binary, h{o} binary" for o in (1, 2, 3))
-    answer_ddl = "chunk string, bucket int, " + ", ".join(f"t{o} binary, h{o} binary" for o in (1, 2, 3)) + ", types_t long, total_t long, docs_t long, types_h long, total_h long, docs_h long"
+    answer_ddl = "chunk string, bucket int, " + ", ".join(f"t{o} binary, o{o} binary" for o in (1, 2, 3)) + ", types_t long, total_t long, docs_t long, types_h long, total_h long, docs_h long"
     answered = durable(answers(scan_chunks(docs, ask, ask_ddl, chunk_bytes), answer, answer_ddl))
     known = answered.where(F.col("chunk").isNull()).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types_t", "total_t", "docs_t", "total_h", "docs_h")]).first()
     types, total, n_docs = known["types_t"], known["total_t"], known["docs_t"]
     kept_total, kept_docs = total - known["total_h"], n_docs - known["docs_h"]
     uniform = 1.0 / (types + 1)
     answered = answered.where(F.col("chunk").isNotNull())
+    # the histogram needs a fifth of the counts and the texts, the scores the rest: each meets what it needs
+    asked_of = {what: answered.select("chunk", "bucket", *[f"{what}{o}" for o in (1, 2, 3)]) for what in "to"}
 
     def cells(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens = Tokens(unpack_texts(left["texts"].iloc[0]))
-        mine = np.repeat(unpack(left["ids"].iloc[0]), tokens.sizes) == DELETED
-        counts = [t - h for t, h in zip(*lookup(tokens, right, "th", mine))]  # of whole documents, so neighbours stay
-        bucket, f = estimates(counts, tokens.place[mine], kept_docs, kept_total)
+        bucket, f = estimates(lookup(tokens, right, "o"), tokens.place, kept_docs, kept_total)
         step = np.where(f > 0, np.minimum(-np.log2(f, out=np.zeros_like(f), where=f > 0), STEPS).astype(np.int64), STEPS + 1)
         code = bucket
         for s in step:
@@ -210,13 +209,13 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         sums = [np.bincount(at, weights=w, minlength=len(distinct)) for w in (np.ones(len(code)), *f)]
         return pd.DataFrame({"code": distinct, "bucket": distinct // (STEPS + 2) ** 3, "n": sums[0], "s1": sums[1], "s2": sums[2], "s3": sums[3]})
 
-    histogram = meet(scan_chunks(docs, only_fold, "chunk string, ids binary, texts binary", chunk_bytes), answered, cells, "code long, bucket long, n double, s1 double, s2 double, s3 double")
+    histogram = meet(scan_chunks(docs, only_fold, "chunk string, texts binary", chunk_bytes), asked_of["o"], cells, "code long, bucket long, n double, s1 double, s2 double, s3 double")
     sums = histogram.groupBy("code", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3")])
     weights = learn_weights(pd.DataFrame([r.asDict() for r in sums.orderBy("code").toLocalIterator()], columns=["code", "bucket", "n", "s1", "s2", "s3"]), uniform)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens = Tokens(unpack_texts(left["texts"].iloc[0]))
-        (counts,) = lookup(tokens, right, "t")
+        counts = lookup(tokens, right, "t")
         bucket, f = estimates(counts, tokens.place, n_docs, total)
         w = weights[bucket]
         log_p = np.log10(w[:, 0] * uniform + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2])
@@ -237,7 +236,7 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         )
 
     ddl = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = meet(scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes), answered, score, ddl)
+    out = meet(scan_chunks(docs, keep, "chunk string, ids binary, texts binary", chunk_bytes), asked_of["t"], score, ddl)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

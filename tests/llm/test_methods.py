@@ -83,6 +83,18 @@ def test_scores_are_those_of_plain_counting(docs):
         assert got[d] == pytest.approx(np.log10(p.sum(1)).sum(), rel=1e-6), d
 
 
+def test_lm_histogram_gets_its_fold_only_and_scores_no_counts_without_it(docs, monkeypatch):
+    met, real = [], lm_scoring.meet
+    monkeypatch.setattr(lm_scoring, "meet", lambda packed, answered, *rest: met.append((packed, answered)) or real(packed, answered, *rest))
+    lm_scoring.score_documents(docs)
+    (packed, others), (_, totals) = met
+    fold = [r["text"] or "" for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == lm_scoring.DELETED]
+    assert sorted(t.decode() for r in packed.collect() for t in chunked.unpack_texts(r["texts"])) == sorted(fold)
+    assert totals.columns == ["chunk", "bucket", "t1", "t2", "t3"] and others.columns == ["chunk", "bucket", "o1", "o2", "o3"]
+    sent = {what: sum(len(chunked.unpack(r[f"{what}{n}"])) for r in df.collect() for n in (1, 2, 3)) for what, df in (("t", totals), ("o", others))}
+    assert 0 < 2 * sent["o"] < sent["t"]
+
+
 def exact_marginals(crf, graph):
     n, y = len(graph.doc), crf.chain.shape[0]
     own = crf.node[np.array(graph.features)].sum(1)
