@@ -185,11 +185,11 @@ def link_model_gradients(pairs: DataFrame, nodes: DataFrame, both: DataFrame, we
     hidden, output = link_forward(nodes, both, weights, width)
     scored = pair_scores(pairs, output)
     n = pairs.agg(F.count(F.lit(1)).alias("n"))
-    errors = scored.crossJoin(F.broadcast(n)).select("user_id", "item_id", "u", "v", ((1 / (1 + F.exp(-F.col("score"))) - F.col("y")) / F.col("n")).alias("e"))
+    errors = durable(scored.crossJoin(F.broadcast(n)).select("user_id", "item_id", "u", "v", ((1 / (1 + F.exp(-F.col("score"))) - F.col("y")) / F.col("n")).alias("e")))
     to_user = errors.groupBy(F.col("user_id").cast("long").alias("node_id")).agg(vector_sum(scaled(F.col("v"), F.col("e")), width).alias("e"))
     to_item = errors.groupBy((-F.col("item_id").cast("long") - 1).alias("node_id")).agg(vector_sum(scaled(F.col("u"), F.col("e")), width).alias("e"))
     zeros = F.array_repeat(F.lit(0.0), width)
-    top = hidden.join(to_user.unionByName(to_item), "node_id", "left").select("kind", "node_id", "x", F.coalesce("e", zeros).alias("e"))
+    top = durable(hidden.join(to_user.unionByName(to_item), "node_id", "left").select("kind", "node_id", "x", F.coalesce("e", zeros).alias("e")))
     second, error = kind_layer_back(top, both, weights, "conv1", width, width)
     error = error.select("kind", "node_id", where_positive(F.col("e"), F.col("x")).alias("e"))
     first, vectors = kind_layer_back(nodes.join(error, ["kind", "node_id"]), both, weights, "conv0", width, width)

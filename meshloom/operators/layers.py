@@ -44,9 +44,9 @@ def plus(x: Column, y: Column) -> Column:
 
 
 def with_layer(rows: DataFrame, weights: DataFrame, layer: str, by: Sequence[str] = ()) -> DataFrame:
-    """rows with the columns w and b of one layer: a row per model, so this is a join by model, or with the one row."""
-    one = weights.where(F.col("layer") == layer).select(*by, "w", "b")
-    return rows.join(one, list(by)) if by else rows.crossJoin(F.broadcast(one))
+    """rows with the columns w and b of one layer. A row per model is sent to all tasks: dealt by model, rows would go to as few tasks as there are models."""
+    one = F.broadcast(weights.where(F.col("layer") == layer).select(*by, "w", "b"))
+    return rows.join(one, list(by)) if by else rows.crossJoin(one)
 
 
 def dense(rows: DataFrame, weights: DataFrame, layer: str, by: Sequence[str] = (), x: str = "x", bias: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.scalar import hash32
 from meshloom.operators.ranking import positions, spaced_positions
+from meshloom.session import durable
 
 SLIDING, EXPANDING = ("4D-FED-GNN+",), ("STFL", "StaticGNN", "FedLink")
 FIRST_DAY = date(2012, 4, 3)
@@ -85,17 +86,34 @@ def negatives(positives: DataFrame, edges: DataFrame, items: int, per: int = 2,
     """(client_id, user_id, item_id, k): for the k-th of `per` negatives of each positive pair, an item without an edge.
 
     Candidates are drawn by hash from the items 0..items-1, `tries` for each negative; the first without an edge is it.
+    Later tries are made only where the first one has an edge, which few have, and each step's result is kept.
     A negative whose candidates all have edges takes one of the user's items without an edge by a hashed rank, so only a
     user with edges to all items has none.
     """
     pos = positives.select("client_id", "user_id", F.col("item_id").alias("of")).distinct()
     known = edges.select("user_id", "item_id", F.lit(True).alias("_edge")).distinct()
-    slots = pos.select("*", F.explode(F.sequence(F.lit(0), F.lit(per * tries - 1))).alias("kt"))
-    slots = slots.withColumn("k", F.floor(F.col("kt") / tries).cast("int")).withColumn("t", F.pmod("kt", F.lit(tries)))
-    slots = slots.withColumn("item_id", F.pmod(hash32("user_id", "of", "kt", seed=seed), F.lit(items)))
-    slots = slots.join(known, ["user_id", "item_id"], "left")
     key = ["client_id", "user_id", "of", "k"]
-    drawn = slots.groupBy(*key).agg(F.min_by("item_id", F.when(F.col("_edge").isNull(), F.col("t"))).alias("item_id"))
+
+    def tried(slots: DataFrame, first: int, last: int) -> DataFrame:
+        """slots(*key) with their candidates of tries first..last, t, and whether each has an edge."""
+        drawn = slots.select(*key, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t")).withColumn("kt", tries * F.col("k") + F.col("t"))
+        drawn = drawn.withColumn("item_id", F.pmod(hash32("user_id", "of", "kt", seed=seed), F.lit(items)))
+        # a pair of slots and edges first: few candidates have one, and the edges need no sorting for that
+        met = drawn.join(known, ["user_id", "item_id"]).select(*key, "t", "_edge")
+        return drawn.join(met, [*key, "t"], "left").select(*key, "t", "item_id", "_edge")
+
+    begun = durable(tried(pos.select("*", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("k")), 0, 0).select(*key, "item_id", "_edge"))
+    taken, found = begun.where("_edge is not null").select(*key), begun.where("_edge is null").select(*key, "item_id")
+    if taken.isEmpty():
+        return found
+    if tries > 1:
+        later = tried(taken, 1, tries - 1).groupBy(*key).agg(F.min_by("item_id", F.when(F.col("_edge").isNull(), F.col("t"))).alias("item_id"))
+        drawn = durable(later)
+    else:
+        drawn = taken.withColumn("item_id", F.lit(None).cast(begun.schema["item_id"].dataType))
+    found = found.unionByName(drawn.where("item_id is not null"))
+    if drawn.where("item_id is null").isEmpty():
+        return found
 
     # the rest: free items are listed for users with open negatives only, who have edges to a large share of the items,
     # as tries hardly ever fail otherwise; the list is about as long as their edges
@@ -107,7 +125,7 @@ def negatives(positives: DataFrame, edges: DataFrame, items: int, per: int = 2,
     left = left.join(counts, "user_id").withColumn("_kt", F.lit(per * tries) + F.col("k"))
     left = left.withColumn("_rank", F.pmod(hash32("user_id", "of", "_kt", seed=seed), F.col("_n")))
     rest = left.join(listed, ["user_id", "_rank"]).select(*key, F.col("item_id").cast(drawn.schema["item_id"].dataType))
-    return drawn.where("item_id is not null").unionByName(rest)
+    return found.unionByName(rest)
 
 
 def labelled(positives: DataFrame, negative: DataFrame) -> DataFrame:

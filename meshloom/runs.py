@@ -291,11 +291,15 @@ def run_links(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     With spec.buffers a step takes one part of the pairs, drawn by hash.
     """
     x = durable(T.interactions(spark, sf_dir))
+    # all steps look up the same pairs: they are told apart once, and lie where the lookups look for them
+    known = durable(x.select("user_id", "item_id").repartition(T.parts_for(spark, sf_dir, "lineitem"), "user_id", "item_id").distinct())
     n_items = T.load(spark, sf_dir, "part").count()
     steps = link_days(spark, sf_dir, spec.days + 1)
+    if len(steps) > 2:
+        recent = durable(temporal.time_slice(x, F.lit(steps[0]).cast("timestamp"), F.lit(steps[-1]).cast("timestamp")))
 
     def drawn(column: str) -> DataFrame:
-        ids = x.select(F.col(column).alias("id")).distinct() if column == "user_id" else spark.range(n_items).toDF("id")
+        ids = known.select(F.col(column).alias("id")).distinct() if column == "user_id" else spark.range(n_items).toDF("id")
         return ids.select("id", F.array(*[(2 * unit(F.lit(column), "id", F.lit(k), seed=spec.seed) - 1) / 2 for k in range(VECTOR)]).alias("x"))
 
     nodes = durable(gradients.two_kinds(drawn("user_id"), drawn("item_id")))
@@ -304,11 +308,19 @@ def run_links(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     weights = durable(w.select(F.substring_index("layer", ".", 1).alias("kind"), F.expr("substring(layer, instr(layer, '.') + 1)").alias("layer"), "w", "b"))
     frames = []
 
+    pair = ["client_id", "user_id", "item_id"]
+
     def between(start: str, end: str) -> DataFrame:
-        return temporal.time_slice(x, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).select("client_id", "user_id", "item_id").distinct()
+        return temporal.time_slice(recent, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")).select(*pair).distinct()
+
+    if len(steps) > 2:
+        # a pair's negatives are the same in every slice that it is in
+        negative = durable(temporal.negatives(recent.select(*pair).distinct(), known, n_items, seed=spec.seed))
 
     def labelled(some: DataFrame) -> DataFrame:
-        return durable(temporal.labelled(some, temporal.negatives(some, x, n_items, seed=spec.seed)))
+        at = some.select(F.col("client_id").alias("_client"), F.col("user_id").alias("_user"), F.col("item_id").alias("_of"))
+        mine = (F.col("client_id") == F.col("_client")) & (F.col("user_id") == F.col("_user")) & F.col("of").eqNullSafe(F.col("_of"))
+        return durable(temporal.labelled(some, negative.join(at, mine, "left_semi")))
 
     for k, (start, end, after) in enumerate(zip(steps, steps[1:], steps[2:])):
         seen = durable(between(start if spec.method in temporal.SLIDING else steps[0], end))

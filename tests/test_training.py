@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom import runs
-from meshloom.operators import clusters, federate, layers, training
+from meshloom.operators import clusters, federate, layers, temporal, training
 
 N, FEATURES, HIDDEN, CLASSES = 7, 5, 4, 3
 
@@ -193,3 +193,26 @@ def test_timers_add_up_by_phase(spark):
         with timers.phase(name):
             pass
     assert {r["phase"]: r["times"] for r in timers.table(spark).collect()} == {"a": 2, "b": 1}
+
+
+def test_rows_are_not_dealt_by_model(spark):
+    rows = spark.range(100).select((F.col("id") % 2).cast("int").alias("client_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    weights = layers.initial_weights(spark, [("conv0", 2, 3)], clients=2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layers.with_layer(rows, weights, "conv0", ("client_id",))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(client_id" not in plan
+
+
+def test_later_tries_of_negatives_are_made_where_the_first_has_an_edge(spark, monkeypatch):
+    kept, real = [], temporal.durable
+    monkeypatch.setattr(temporal, "durable", lambda df: kept.append(real(df)) or kept[-1])
+    edges = spark.createDataFrame([(0, u, i) for u in range(20) for i in range(40) if (u * 7 + i) % 5 or u < 2], "client_id int, user_id long, item_id long")
+    found = temporal.negatives(edges, edges, 40).collect()
+    there, open_ = {(r["user_id"], r["item_id"]) for r in edges.collect()}, {u for u in range(2, 20)}
+    assert len(found) == 2 * sum(r["user_id"] in open_ for r in edges.collect())
+    assert not any((r["user_id"], r["item_id"]) in there for r in found)
+    assert kept[0].count() == 2 * len(there) and kept[1].count() == kept[0].where("_edge is not null").count()
