@@ -64,7 +64,7 @@ def update_norms(change: DataFrame, members: DataFrame, sizes: DataFrame) -> Dat
 
     The mean is over members, each scaled by its share of the cluster's rows.
     """
-    member = members.join(sizes, "client_id")
+    member = F.broadcast(members.join(F.broadcast(sizes), "client_id"))  # a row per client
     total = member.groupBy("cluster_id").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("members"))
     largest = federate.norms(change, "client_id").join(members, "client_id").groupBy("cluster_id").agg(F.max("norm").alias("max_norm"))
     sums = change.join(member, "client_id").groupBy("cluster_id", *federate.KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
@@ -76,7 +76,7 @@ def update_norms(change: DataFrame, members: DataFrame, sizes: DataFrame) -> Dat
 
 def alike_by_angle(change: DataFrame, members: DataFrame) -> DataFrame:
     """similarity(cluster_id, a, b, similarity) of members of one cluster: 1 + cosine of their changes."""
-    return _within(federate.pairwise_cosine(change.join(members, "client_id", "left_semi")).where("a < b"), members)
+    return _within(federate.pairwise_cosine(change.join(F.broadcast(members), "client_id", "left_semi")).where("a < b"), members)
 
 
 def alike_by_sequence(norms: DataFrame, members: DataFrame, last: int, standardise: bool) -> DataFrame:
@@ -109,14 +109,14 @@ def clustered_rounds(
 
     local(params, round) gives the clients' parameters after their steps; only their change is used. score(params) gives
     (client_id, value), say the accuracy of each client with its model: when a cluster is cut, its members' values of the
-    round before enter the cache. gradient_norms(params, round) gives (client_id, norm) for gcfl_plus. Each round's tables
+    round before enter the cache, and only then are they made. gradient_norms(params, round) gives (client_id, norm) for gcfl_plus. Each round's tables
     are kept in shared storage.
     """
     if spec.method == "gcfl_plus" and gradient_norms is None:
         raise ValueError("gcfl_plus needs the clients' gradient norms")
     least = sizes.agg(F.min("client_id").alias("cluster_id"))
     members = durable(sizes.select("client_id").crossJoin(F.broadcast(least)))
-    norms, since, values = None, 0, None
+    norms, since = None, 0
     for r in range(1, count + 1):
         change = durable(federate.deltas(local(params, r), params))
         if spec.method != "gcfl":
@@ -130,12 +130,10 @@ def clustered_rounds(
         if not decided.where("split").isEmpty():
             cut = members.join(decided.where("split"), "cluster_id", "left_semi").select("client_id", "cluster_id")
             alike = alike_by_angle(change, cut) if spec.method == "gcfl" else alike_by_sequence(norms, cut, spec.last, spec.standardise)
-            cached = None if values is None else values.join(cut, "client_id", "left_semi")
+            cached = None if score is None or r == 1 else durable(score(params).join(F.broadcast(cut), "client_id", "left_semi"))
             members = durable(cut_members(members, clusters.split_clusters(alike)))
             norms, since = None, 0
         params = durable(federate.clusterwise(params, change, members, sizes))
-        if score is not None:
-            values = durable(score(params))
         yield Round(r, params, members, decided, cached)
 
 

@@ -21,7 +21,7 @@ def mean(params: DataFrame, clients: int, prefix: str | None = None) -> DataFram
 def weighted_mean(params: DataFrame, sizes: DataFrame) -> DataFrame:
     """Mean weighted by sizes(client_id, size) over all clients of sizes."""
     total = sizes.agg(F.sum("size").alias("total"))
-    weighed = params.join(sizes, "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
+    weighed = params.join(F.broadcast(sizes), "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
     return weighed.crossJoin(F.broadcast(total)).select(*KEY, (F.col("s") / F.col("total")).alias("v"))
 
 
@@ -33,11 +33,12 @@ def deltas(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def clusterwise(old: DataFrame, change: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     """Every client's parameters plus its cluster's weighted mean change: (client_id, name, pos, v)."""
-    member = clusters.join(sizes, "client_id")
-    total = member.groupBy("cluster_id").agg(F.sum("size").alias("total"))
+    # a row per client or cluster: dealt by client, parameters would go to as few tasks as there are clients
+    member = F.broadcast(clusters.join(F.broadcast(sizes), "client_id"))
+    total = F.broadcast(member.groupBy("cluster_id").agg(F.sum("size").alias("total")))
     moved = change.join(member, "client_id").groupBy("cluster_id", *KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
     moved = moved.join(total, "cluster_id").select("cluster_id", *KEY, (F.col("s") / F.col("total")).alias("d"))
-    held = old.select("client_id", *KEY, "v").join(clusters, "client_id")
+    held = old.select("client_id", *KEY, "v").join(F.broadcast(clusters), "client_id")
     out = held.join(moved, ["cluster_id", *KEY], "left")
     return out.select("client_id", *KEY, (F.col("v") + F.coalesce("d", F.lit(0.0))).alias("v"))
 
@@ -53,7 +54,7 @@ def max_update_norm(change: DataFrame) -> DataFrame:
 def mean_update_norm(change: DataFrame, sizes: DataFrame) -> DataFrame:
     """Norm of the mean over clients of changes scaled by size / total size."""
     one = sizes.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("k"))
-    scaled = change.join(sizes, "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
+    scaled = change.join(F.broadcast(sizes), "client_id").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("size")).alias("s"))
     per = scaled.crossJoin(F.broadcast(one)).select((F.col("s") / F.col("total") / F.col("k")).alias("m"))
     return per.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("mean_norm"))
 

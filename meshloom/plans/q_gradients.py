@@ -113,7 +113,7 @@ def neighbour_batch_nodes(spark, sf_dir):
 
 
 def _cluster_rounds(spark, sf_dir):
-    p = T.params(spark, sf_dir)
+    p = durable(T.params(spark, sf_dir))
     targets, sizes = durable(p.select("client_id", "name", "pos", F.col("v").alias("t"))), durable(_sizes(p))
     keys = ["client_id", "name", "pos"]
 

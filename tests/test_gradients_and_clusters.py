@@ -285,3 +285,26 @@ def test_mean_over_clients_scores_once(spark, sf_dir):
     from meshloom.plans import q_links
 
     assert "embeddings" not in q_links.mean_over_clients(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_scores_are_made_where_a_cluster_is_cut_only(spark):
+    targets = spark.createDataFrame([(c, "a", i, float(c // 3)) for c in range(6) for i in range(4)], "client_id int, name string, pos long, v double")
+    sizes = spark.createDataFrame([(c, 1) for c in range(6)], "client_id int, size long")
+    keys, asked = ["client_id", "name", "pos"], []
+
+    def local(params, r):
+        return params.join(targets.withColumnRenamed("v", "t"), keys).select(*keys, (F.col("v") + 0.5 * (F.col("t") - F.col("v"))).alias("v"))
+
+    def score(params):
+        asked.append(params)
+        return params.groupBy("client_id").agg(F.avg("v").alias("value"))
+
+    start = targets.select(*keys, F.lit(0.0).alias("v"))
+    done = list(clustered.clustered_rounds(start, local, sizes, 4, clustered.ClusterSpec(eps1=1.0, eps2=0.01, after=2), score))
+    cut = [r.number for r in done if r.cached is not None]
+    assert cut and len(asked) == len(cut) < 4
+    for r in done:
+        if r.cached is not None:
+            before = {x["client_id"]: x["value"] for x in done[r.number - 2].params.groupBy("client_id").agg(F.avg("v").alias("value")).collect()}
+            for x in r.cached.collect():
+                assert x["value"] == pytest.approx(before[x["client_id"]])
