@@ -98,7 +98,7 @@ def node_gradients(nodes: DataFrame, edges: DataFrame, weights: DataFrame, width
     train = nodes.where("is_train")
     counts = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     # every node takes part, with zeros where it has no label: it counts in its neighbours' degrees
-    labelled = scores.join(train.select(*keys, "y"), keys, "left").join(counts, list(by))
+    labelled = scores.join(train.select(*keys, "y"), keys, "left").join(F.broadcast(counts), list(by))  # a row per model
     error = F.when(F.col("y").isNull(), F.array_repeat(F.lit(0.0), classes)).otherwise(scaled(softmax_error(plus(F.col("x"), F.col("b")), F.col("y")), 1 / F.col("n")))
     errors = durable(labelled.select(*keys, error.alias("x")))
     back = durable(hop_sum(errors, edges, classes, "sym", by=tuple(by)).withColumnRenamed("x", "t"))

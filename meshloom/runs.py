@@ -171,7 +171,7 @@ def run_nodes(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
             some, ends = labelled.join(mine.select("client_id").distinct(), "client_id", "left_semi"), edges
             if spec.batch_size:
                 some, ends = node_batch(some, edges, spec, r * spec.local_steps + k)
-            g = training.node_gradients(some, ends, training.from_params(mine), (FEATURES, HIDDEN, CLASSES))
+            g = training.node_gradients(some, ends, durable(training.from_params(mine)), (FEATURES, HIDDEN, CLASSES))
             mine = durable(training.sgd(mine, training.to_params(g), spec.rate, spec.decay))
         return low_rank_round(mine, spec.rank) if spec.protection == "lowrank" else mine
 
