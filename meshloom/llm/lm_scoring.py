@@ -36,6 +36,8 @@ BUCKETS = 1 + 2 * LEVELS
 #: Estimates are binned by powers of two down to this one; with 0 there are STEPS + 2 values.
 STEPS = 24
 EM_ROUNDS = 60
+#: Tokens that a task works on at once; of a whole chunk it keeps narrow arrays only.
+BLOCK_TOKENS = 1 << 18
 BOS, EOS = np.uint64(0x5DEECE66D), np.uint64(0xB5026F5AA9661)
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,15 +57,48 @@ class Tokens:
             parts += [np.array([BOS, BOS]), words, np.array([EOS])]
             sizes.append(len(words) + 1)
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        del parts
         self.sizes = np.array(sizes, np.int64)
-        at = np.arange(len(flat)) if not len(sizes) else np.concatenate([np.arange(s) for s in self.sizes]) + np.repeat(np.cumsum(self.sizes + 2) - self.sizes, self.sizes)
-        self.place = np.concatenate([np.arange(s) for s in self.sizes]) if len(sizes) else np.empty(0, np.int64)
-        w, v, u = flat[at], flat[at - 1], flat[at - 2]
-        with np.errstate(over="ignore"):
-            one = mix64(w)
-            two = mix64(v * _A + one)
-            three = mix64((u * _A + v) * _A + two)
-        self.keys = [k >> np.uint64(64 - bits) for k, bits in zip((one, two, three), BITS)]
+        ends = np.cumsum(self.sizes)
+        n = int(ends[-1]) if sizes else 0
+        starts = ends - self.sizes
+        self.place = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), self.sizes)
+        begins = starts + 2 * np.arange(len(sizes))
+        real = np.ones(len(flat), bool)  # what is no mark of a beginning
+        real[begins] = real[begins + 1] = False
+        self.keys = [np.empty(n, np.uint64) for _ in BITS]
+        done = 0
+        for lo, hi in blocks(len(flat)):
+            at = lo + np.flatnonzero(real[lo:hi])
+            w, v, u = flat[at], flat[at - 1], flat[at - 2]
+            with np.errstate(over="ignore"):
+                one = mix64(w)
+                two = mix64(v * _A + one)
+                three = mix64((u * _A + v) * _A + two)
+            for out, k, bits in zip(self.keys, (one, two, three), BITS):
+                out[done : done + len(at)] = k >> np.uint64(64 - bits)
+            done += len(at)
+
+    def taken(self, order: int) -> np.ndarray:
+        """The keys of an order, which are given up: a task doesn't hold all three longer than it must."""
+        keys, self.keys[order - 1] = self.keys[order - 1], None
+        return keys
+
+
+def blocks(n: int) -> Iterator[tuple[int, int]]:
+    return ((lo, min(lo + BLOCK_TOKENS, n)) for lo in range(0, n, BLOCK_TOKENS))
+
+
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Each key's place among the sorted distinct keys, as np.unique's inverse, in a third of its memory."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    del ordered
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return out
 
 
 def counted(keys: np.ndarray, bits: int, train: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +136,14 @@ def estimates(counts: list[np.ndarray], place: np.ndarray, docs: int, total: int
     return bucket, np.stack([f1, np.minimum(f2, 1.0), np.minimum(f3, 1.0)])
 
 
+def estimates_of(counts: list[np.ndarray], place: np.ndarray, docs: int, total: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """estimates, block by block of tokens: (from, to, context buckets, estimates). A block needs the token before it."""
+    for lo, hi in blocks(len(place)):
+        before = max(lo - 1, 0)
+        bucket, f = estimates([c[before:hi] for c in counts], place[before:hi], docs, total)
+        yield lo, hi, bucket[lo - before :], f[:, lo - before :]
+
+
 def learn_weights(cells: pd.DataFrame, uniform: float) -> np.ndarray:
     """EM over cells(bucket, n, s1, s2, s3: sums of the estimates): weights per bucket for uniform, f1, f2 and f3.
 
@@ -143,14 +186,15 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
 
     def ask(chunk: Chunk) -> Iterator[tuple]:
         tokens = Tokens(chunk.raw)
-        fold = np.repeat(np.array([fold_of(i) for i in chunk.ids], np.int64), tokens.sizes)
+        fold = np.array([fold_of(i) for i in chunk.ids], np.int64)
+        train, deleted = np.repeat(fold != TEST, tokens.sizes), np.repeat(fold == DELETED, tokens.sizes)
         sent: list[list] = [[b, chunk.key] for b in range(buckets)]
-        for keys, bits in zip(tokens.keys, BITS):
-            distinct, train, deleted = counted(keys, bits, fold != TEST, fold == DELETED)
+        for order, bits in enumerate(BITS, 1):
+            distinct, n_train, n_deleted = counted(tokens.taken(order), bits, train, deleted)
             cuts = cuts_of(distinct, bits, buckets)
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
-                sent[b] += [pack_sorted(distinct[lo:hi]), pack(train[lo:hi]), pack(deleted[lo:hi])]
+                sent[b] += [pack_sorted(distinct[lo:hi]), pack(n_train[lo:hi]), pack(n_deleted[lo:hi])]
         yield from map(tuple, sent)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -175,13 +219,12 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         return pd.DataFrame(out)
 
     def lookup(tokens: Tokens, right: pd.DataFrame, what: str) -> list[np.ndarray]:
-        """The totals by order of the tokens; right has those of their distinct keys."""
+        """The totals by order of the tokens, whose keys are given up; right has those of their distinct keys."""
         found = []
         for order in (1, 2, 3):
-            keys = tokens.keys[order - 1]
-            at = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+            at = ranks(tokens.taken(order))
             parts = {b: unpack(blob) for b, blob in zip(right["bucket"], right[f"{what}{order}"])}
-            found.append(np.concatenate([parts[b] for b in sorted(parts)])[at].astype(np.int64) if len(keys) else np.empty(0, np.int64))
+            found.append(np.concatenate([parts[b] for b in sorted(parts)])[at] if len(at) else np.empty(0, np.int64))
         return found
 
     def only_fold(chunk: Chunk) -> Iterator[tuple]:
@@ -216,10 +259,11 @@ def score_documents(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens = Tokens(unpack_texts(left["texts"].iloc[0]))
         counts = lookup(tokens, right, "t")
-        bucket, f = estimates(counts, tokens.place, n_docs, total)
-        w = weights[bucket]
-        log_p = np.log10(w[:, 0] * uniform + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2])
-        base = np.log10((counts[0] + 0.5) / (total + 0.5 * (types + 1)))
+        log_p, base = np.empty(len(tokens.place)), np.empty(len(tokens.place))
+        for lo, hi, bucket, f in estimates_of(counts, tokens.place, n_docs, total):
+            w = weights[bucket]
+            log_p[lo:hi] = np.log10(w[:, 0] * uniform + w[:, 1] * f[0] + w[:, 2] * f[1] + w[:, 3] * f[2])
+            base[lo:hi] = np.log10((counts[0][lo:hi] + 0.5) / (total + 0.5 * (types + 1)))
         starts = np.cumsum(tokens.sizes) - tokens.sizes
         ids = unpack_ids(left["ids"].iloc[0])
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x

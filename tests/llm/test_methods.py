@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -95,6 +96,27 @@ def test_lm_histogram_gets_its_fold_only_and_scores_no_counts_without_it(docs, m
     assert 0 < 2 * sent["o"] < sent["t"]
 
 
+def test_lm_tokens_and_estimates_take_little_memory_a_token(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(0, 5000, n)) for n in (0, 1, 150_000, 3, 250_000)]
+    lm_scoring.Tokens(texts)  # what word hashes keep for later texts is there
+    whole = lm_scoring.Tokens(texts)
+    monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 1000)
+    tracemalloc.start()
+    small = lm_scoring.Tokens(texts)
+    taken, n = tracemalloc.get_traced_memory()[1], sum(small.sizes)
+    tracemalloc.stop()
+    assert taken < 64 * n
+    counts = [rng.integers(0, 40, n).astype(np.uint32) for _ in range(3)]
+    bucket, f = lm_scoring.estimates(counts, whole.place, 5, 1000)
+    found = list(lm_scoring.estimates_of(counts, small.place, 5, 1000))
+    assert (np.concatenate([b for _, _, b, _ in found]) == bucket).all() and (np.concatenate([e for *_, e in found], 1) == f).all()
+    for order in (1, 2, 3):
+        keys = whole.taken(order)
+        assert (small.taken(order) == keys).all() and (lm_scoring.ranks(keys) == np.unique(keys, return_inverse=True)[1]).all()
+    assert len(lm_scoring.ranks(np.empty(0, np.uint64))) == 0 and len(lm_scoring.Tokens([]).place) == 0
+
+
 def exact_marginals(crf, graph):
     n, y = len(graph.doc), crf.chain.shape[0]
     own = crf.node[np.array(graph.features)].sum(1)
