@@ -110,3 +110,35 @@ def test_partitions_grow_with_line_items(spark, sf_dir, monkeypatch):
         assert "REPARTITION_BY_NUM" in (plan := df._jdf.queryExecution().executedPlan().toString()) and f", {few})" in plan
     got = {(r.client_id, r.name, r.pos): (r.v, r.n) for r in tables.params(spark, sf_dir).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k][0] - v) < 1e-12 and got[k][1] == n for k, (v, n) in expected.items())
+
+
+def test_parameters_sort_no_line_items_and_orders_go_to_bounded_partitions(spark, sf_dir, tmp_path, monkeypatch):
+    """Sorts of line items took a task's memory; a part or order twice, or unknown, counts as in a plain join."""
+    monkeypatch.setattr(T, "SORT_ROWS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where customers, orders and parts are large
+    try:
+        plan = T.params(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("ShuffledHashJoin") == 2
+        rows = sum(T.load(spark, sf_dir, t).count() for t in ("orders", "customer"))
+        assert "hashpartitioning(o_custkey#" in plan and f", {-(-rows // 100)})" in plan
+        for t in ("region", "nation", "customer", "orders", "lineitem", "part"):
+            df = T.load(spark, sf_dir, t)
+            if t in ("orders", "part"):
+                df = df.union(df.limit(20))
+            if t == "part":
+                df = df.withColumn("p_size", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size"))).where("p_partkey % 7 <> 0")
+            if t == "lineitem":
+                df = df.withColumn("l_discount", F.when(F.col("l_partkey") % 11 != 0, F.col("l_discount")))
+            df.write.parquet(f"{tmp_path}/{t}.parquet")
+            spark.read.parquet(f"{tmp_path}/{t}.parquet").createOrReplaceTempView(f"odd_{t}")
+        want = spark.sql(
+            "SELECT n_regionkey, 'layer' || (p_size % 3), l_partkey, avg(l_discount), count(*) FROM odd_lineitem JOIN odd_orders ON l_orderkey = o_orderkey JOIN odd_customer ON o_custkey = c_custkey"
+            " JOIN odd_nation ON c_nationkey = n_nationkey JOIN odd_part ON l_partkey = p_partkey GROUP BY 1, 2, 3"
+        )
+        key = lambda df: {tuple(r)[:3]: tuple(r)[3:] for r in df.collect()}
+        got, expected = key(T.params(spark, str(tmp_path))), key(want)
+        assert got.keys() == expected.keys() and any(k[1] is None for k in got)
+        assert all(got[k][1] == n and (got[k][0] is v is None or abs(got[k][0] - v) < 1e-12) for k, (v, n) in expected.items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
