@@ -236,10 +236,16 @@ def score(root: Node) -> list[Node]:
 
 def _goes_on(part: Node, best: Node, shapes: set[tuple[str, str]]) -> bool:
     """Whether a part below the threshold belongs to the content: no more links than the best subtree has, and text by its
-    element, or of the shape of an element that holds the content."""
+    element, of the shape of an element that holds the content, or a div without a class, as the best subtree is one, that isn't
+    short and whose text is several paragraphs in the main."""
     if part.link_chars * best.chars > best.link_chars * part.chars:
         return False
-    return part.tag in TEXT_TAGS or (part.tag, part.names) in shapes
+    if part.tag in TEXT_TAGS or (part.tag, part.names) in shapes:
+        return True
+    if part.tag != "div" or part.names or best.tag != "div" or best.names or part.chars <= SHORT:
+        return False
+    paragraphs = [n.chars for n in part.parts if isinstance(n, Node) and not n.skip and n.tag == "p" and n.chars]
+    return len(paragraphs) > 1 and 2 * sum(paragraphs) > part.chars
 
 
 def content(page: str) -> tuple[Node, set[int]] | None:
