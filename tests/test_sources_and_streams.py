@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.operators import logs, privacy, reports, run_logs, temporal
+from meshloom.operators import logs, lowrank, privacy, reports, run_logs, temporal
 from meshloom.sources import datasets
 from meshloom.sources import tables as T
 from meshloom.streaming import online
@@ -142,3 +142,25 @@ def test_parameters_sort_no_line_items_and_orders_go_to_bounded_partitions(spark
         assert all(got[k][1] == n and (got[k][0] is v is None or abs(got[k][0] - v) < 1e-12) for k, (v, n) in expected.items())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ranks_by_energy_go_through_blocks_and_move_values_once(spark, monkeypatch):
+    """A window over a whole layer's parts held them all in one task; a matrix of a null name or of zeros' tail counts too."""
+    monkeypatch.setattr(lowrank, "RANK_BLOCK", 10, raising=False)
+    sizes = {"a": 95, "b": 1, "c": 10, None: 31}
+    rows = [(name, k, 0.0 if name == "c" and k > 4 else float(1 + k * k % 7)) for name, n in sizes.items() for k in range(3, 3 + n)]
+    values = spark.createDataFrame(rows, "name string, k long, s double").repartition(3)
+    for share in (0.0, 0.05, 0.5, 0.9, 1.0, 2.0):
+        got = lowrank.rank_by_energy(values, share, "name")
+        expected = {}
+        for name in sizes:
+            squares = [s * s for n, _, s in rows if n == name]
+            shares = [sum(squares[: i + 1]) / sum(squares) for i in range(len(squares))]
+            expected[name] = min(sum(e < share for e in shares) + 1, len(shares))
+        assert {r.name: r["rank"] for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line and "[k#" in line]
+    assert windows and all("block#" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in windows)
+    values.createOrReplaceTempView("singular_values")
+    plain = spark.sql("SELECT name, sum(s * s) OVER (PARTITION BY name ORDER BY k) / sum(s * s) OVER (PARTITION BY name) AS e FROM singular_values").where("e < 0.9")
+    assert {r.name: r["rank"] - 1 for r in lowrank.rank_by_energy(values, 0.9, "name").collect()} == {n: 0 for n in sizes} | {r.name: r["count"] for r in plain.groupBy("name").count().collect()}
