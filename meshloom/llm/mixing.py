@@ -136,20 +136,22 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tu
     running = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = durable(counts.withColumn("from", F.coalesce(F.sum("slots").over(running), F.lit(0).cast("long"))))
     got = counts.groupBy("source_id").agg(F.sum("slots").alias("got"))
-    balance = targets.select("source_id", "wanted").join(got, "source_id", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
+    about = ("source_id", "source_size", "blocks", "wanted", "last_words")
+    balance = targets.select(*about).join(got, "source_id", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
     balance = balance.withColumn("over", F.greatest(F.col("got") - F.col("wanted"), F.lit(0))).withColumn("under", F.greatest(F.col("wanted") - F.col("got"), F.lit(0)))
     prior = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
     balance = balance.withColumn("over_from", F.coalesce(F.sum("over").over(prior), F.lit(0).cast("long"))).withColumn("under_from", F.coalesce(F.sum("under").over(prior), F.lit(0).cast("long")))
-    # a shard's share of a source is a bounded number of slots; they are dealt out anew before they become rows
-    spread = counts.where(F.col("slots") > 0).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SLOTS)), "shard", "source_id")
-    numbered = spread.select("shard", "source_id", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("slots") - 1)).alias("number"))
-    numbered = numbered.join(balance.select("source_id", "wanted", "over_from"), "source_id")
-    fits = numbered.where(F.col("number") < F.col("wanted")).select("shard", "source_id", "number")
-    spare = numbered.where(F.col("number") >= F.col("wanted")).select("shard", (F.col("over_from") + F.col("number") - F.col("wanted")).alias("spare"))
-    lacks = balance.where(F.col("under") > 0).select("source_id", F.col("got").alias("first"), "under_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)).alias("j"))
-    lacks = lacks.select("source_id", (F.col("first") + F.col("j")).alias("number"), (F.col("under_from") + F.col("j")).alias("spare"))
-    slots = fits.unionByName(spare.join(lacks, "spare").select("shard", "source_id", "number"))
-    slots = slots.join(targets.select("source_id", "source_size", "blocks", "wanted", "last_words"), "source_id")
+    # a shard's share of a source is a bounded number of slots; it learns all about its source, and shares are dealt out
+    # anew, before they become rows: Spark takes slots for as small as their shares and would send them to every task
+    spread = counts.where(F.col("slots") > 0).join(balance.select(*about, "over_from"), "source_id").withColumn("end", F.col("from") + F.col("slots"))
+    spread = spread.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_SLOTS)), "shard", "source_id")
+    fits = spread.where(F.col("from") < F.col("wanted")).select("shard", *about, F.explode(F.sequence("from", F.least("end", "wanted") - 1)).alias("number"))
+    handed_on = F.sequence(F.greatest("from", "wanted"), F.col("end") - 1)
+    spare = spread.where(F.col("end") > F.col("wanted")).select("shard", (F.col("over_from") - F.col("wanted")).alias("shift"), F.explode(handed_on).alias("number"))
+    spare = spare.select("shard", (F.col("shift") + F.col("number")).alias("spare"))
+    lacks = balance.where(F.col("under") > 0).select(*about, F.col("got").alias("first"), "under_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)).alias("j"))
+    lacks = lacks.select(*about, (F.col("first") + F.col("j")).alias("number"), (F.col("under_from") + F.col("j")).alias("spare"))
+    slots = fits.unionByName(spare.join(lacks.hint("merge"), "spare").drop("spare"))
     turn = F.floor(F.col("number") / F.col("blocks"))
     block = permuted(F.col("number") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("source_id"), turn))
     slots = slots.withColumn("block", block)

@@ -84,3 +84,17 @@ def test_permutation_and_its_inverse(spark):
     for r in sorted(got, key=lambda r: r["i"]):
         seen[r["n"], r["k"]].append(r["p"])
     assert all(sorted(p) == list(range(n)) for (n, _), p in seen.items()) and seen[97, 1] != seen[97, 2] != list(range(97))
+
+
+def broadcast_rows(plan):
+    """Rows of each table that a plan that has run sent to all tasks."""
+    out = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName().startswith("BroadcastExchange") else []
+    below = [getattr(plan, name)() for name, kind in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")) if plan.getClass().getSimpleName().endswith(kind)]
+    return out + [n for p in below or [plan.children().apply(i) for i in range(plan.children().size())] for n in broadcast_rows(p)]
+
+
+def test_slots_are_not_sent_to_every_task(docs):
+    _, slots, _ = mixing.mix(docs, block_words=4)
+    n = len(slots.collect())
+    sent = broadcast_rows(slots._jdf.queryExecution().executedPlan())
+    assert n > 8 * mixing.CELLS and all(r < mixing.CELLS for r in sent)
