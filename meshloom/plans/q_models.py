@@ -167,10 +167,10 @@ def train_links(spark, sf_dir):
 
 
 def train_graphs(spark, sf_dir):
-    """Graph classification with a proximal term; metrics by round."""
+    """Graph classification with a proximal term, which acts in the second local step; metrics by round."""
     from meshloom.runs import RunSpec, run
 
-    return run(spark, sf_dir, RunSpec(task="GC", rounds=2, rate=0.1, mu=0.01))
+    return run(spark, sf_dir, RunSpec(task="GC", rounds=2, local_steps=2, rate=0.1, mu=0.01))
 
 
 QUERIES = {f.__name__: f for f in (initial_weights, weights_round_trip, gcn_layer, gcn_forward, aggregated_forward, sage_layer, neighbour_mean, batch_norm, graph_pool, gin_forward, readout_gradient, sgd_step, adam_step, proximal_gradient, link_gradient, update_sequences, warp_distances, warp_distances_standardised, cluster_cut, train_nodes, train_links, train_graphs)}

@@ -35,6 +35,7 @@ class RunSpec:
     """What to run. Wrong values are an error here, before any job starts; what isn't given has the default below.
 
     task NC: nodes of one graph dealt out to clients, hops 0 or 2. GC: many small graphs. LP: pairs in time, by method.
+    mu (GC): how strongly a step is drawn back to where the round began, which needs local steps after the first.
     protection of what clients send: masked or private feature sums, or low-rank parameters; one at most, NC only.
     batch_size > 0 (NC): each step takes so many of a client's training nodes, and fan_out neighbours a node, None for all.
     cluster (GC): clients train in clusters that split. buffers > 0 (LP): each step takes one of so many parts of the pairs.
@@ -78,6 +79,8 @@ class RunSpec:
             raise ValueError(f"unknown method {self.method!r}")
         if self.cluster is not None and self.task != "GC":
             raise ValueError("clusters that split are for graph classification")
+        if self.mu < 0 or (self.mu and (self.task != "GC" or self.local_steps < 2)):
+            raise ValueError("mu must not be negative, and is for graph classification with more than one local step")
         if self.batch_size < 0 or self.buffers < 0 or (self.fan_out is not None and self.fan_out < 1):
             raise ValueError("batch_size and buffers must not be negative, fan_out at least 1")
         if self.rounds < 1 or self.local_steps < 1 or self.days < 1 or self.rate <= 0:
@@ -234,9 +237,10 @@ def graph_metrics(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, params:
 def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
     """Graphs dealt out to clients, who train all layers of a GIN; metrics of all splits after each round.
 
-    With mu > 0 a client's step is drawn back to the merged parameters of the round before. With spec.cluster the clients
-    train in clusters that split, whose rows come with those of the split "best": a client's best test accuracy over the
-    models that it entered the cache with, in the last round.
+    With mu > 0 a client's steps are drawn back to the merged parameters of the round before, where its first step begins;
+    so the term acts from the second step on. With spec.cluster the clients train in clusters that split, whose rows come
+    with those of the split "best": a client's best test accuracy over the models that it entered the cache with, in the
+    last round.
     """
     graphs, nodes, edges = graph_inputs(spark, sf_dir, spec.seed)
     features, hidden, classes = GRAPH_WIDTHS
@@ -251,9 +255,9 @@ def run_graphs(spark: SparkSession, sf_dir: str, spec: RunSpec) -> DataFrame:
 
     def local(mine: DataFrame, r: int) -> DataFrame:
         start = mine
-        for _ in range(spec.local_steps):
+        for k in range(spec.local_steps):
             g = gradient(mine)
-            if spec.mu:
+            if spec.mu and k:
                 gap = mine.join(start.select("client_id", "name", "pos", F.col("v").alias("r")), ["client_id", "name", "pos"])
                 g = g.unionByName(gap.select("client_id", "name", "pos", (spec.mu * (F.col("v") - F.col("r"))).alias("v"))).groupBy("client_id", "name", "pos").agg(F.sum("v").alias("v"))
             mine = durable(training.sgd(mine, g, spec.rate, spec.decay))

@@ -1,11 +1,14 @@
 """Layers and gradients against dense numpy, and whole runs."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshloom import runs
 from meshloom.operators import clusters, federate, layers, temporal, training
+from meshloom.plans import q_models
 
 N, FEATURES, HIDDEN, CLASSES = 7, 5, 4, 3
 
@@ -216,3 +219,19 @@ def test_later_tries_of_negatives_are_made_where_the_first_has_an_edge(spark, mo
     assert len(found) == 2 * sum(r["user_id"] in open_ for r in edges.collect())
     assert not any((r["user_id"], r["item_id"]) in there for r in found)
     assert kept[0].count() == 2 * len(there) and kept[1].count() == kept[0].where("_edge is not null").count()
+
+
+@pytest.mark.parametrize("void", [{"task": "GC", "mu": 0.01}, {"task": "NC", "mu": 0.01, "local_steps": 2}, {"task": "GC", "mu": -1.0, "local_steps": 2}])
+def test_a_proximal_term_without_effect_is_refused(void):
+    with pytest.raises(ValueError):
+        runs.RunSpec(**void)
+
+
+def test_the_proximal_term_of_train_graphs_changes_its_results(spark, sf_dir, monkeypatch):
+    asked = []
+    with monkeypatch.context() as m:
+        m.setattr(runs, "run", lambda spark, sf_dir, spec: asked.append(spec))
+        q_models.train_graphs(spark, sf_dir)
+    spec = replace(asked[0], rounds=1)
+    drawn, free = ({(r["split"], r["client_id"]): r["loss"] for r in runs.run(spark, sf_dir, s).collect()} for s in (spec, replace(spec, mu=0.0)))
+    assert spec.mu > 0 and len(drawn) == 15 and all(abs(drawn[k] - free[k]) > 1e-9 for k in free)
